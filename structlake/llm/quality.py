@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import WordHasher, mix64, text_blocks, windows, written
 
-ORDER = 5
+ORDER, MIN_DOCS = 5, 2
 #: Of the model's arrays (16 bytes an n-gram); beyond it scoring is a join.
 BROADCAST_BYTES = 128 << 20
 SHARDS = 64
@@ -123,42 +123,51 @@ def _passes(hasher: WordHasher, data: np.ndarray, offsets: np.ndarray) -> np.nda
     return (n_words >= FEWEST_WORDS) & (100 * _repeat_words(owner, hashes, n) <= REPEAT_PERCENT * n_words)
 
 
-def ngram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
+def ngram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, min_docs: int = MIN_DOCS) -> DataFrame:
     """lang, gram, n: highest-order counts over all texts that pass the base rules.
 
-    Each task counts its blocks before the shuffle. Null languages are one
-    language.
+    N-grams of fewer than ``min_docs`` documents are left out, so that no document
+    is predicted by itself alone. Each task counts its blocks before the shuffle.
+    Null languages are one language.
     """
     ship(docs.sparkSession)
+    low = np.uint64((1 << 8 * order) - 1)
+    owner_bits = np.uint64(64 - 8 * order)
+
+    def summed(keys: np.ndarray, n: np.ndarray, docs_: np.ndarray) -> tuple[np.ndarray, ...]:
+        at = np.argsort(keys)
+        keys = keys[at]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+        return keys[first], *(np.add.reduceat(x[at], first) if len(first) else x[:0] for x in (n, docs_))
+
     def run(batches):
         import pyarrow as pa
 
         hasher = WordHasher(lower=False)
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            held: list[tuple[np.ndarray, np.ndarray]] = []
+            held = []
             names: dict = {}
             for lo, hi, data, offsets in text_blocks(batch.column(1)):
                 owner, gram = _packed(data, offsets, order)
+                keep = _passes(hasher, data, offsets)[owner]
+                # by n-gram and text, then by n-gram and language
+                both = np.sort(gram[keep] << owner_bits | owner[keep].astype(np.uint64))
+                first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, dtype=np.int64)
                 number = np.array([names.setdefault(x, len(names)) for x in langs[lo:hi]], dtype=np.uint64)
-                good = _passes(hasher, data, offsets)
-                keep = good[owner]
-                keys, n = np.unique(gram[keep] | number[owner[keep]] << np.uint64(8 * order), return_counts=True)
-                held.append((keys, n))
+                keys = both[first] >> owner_bits | number[both[first] & (np.uint64(1) << owner_bits) - np.uint64(1)] << np.uint64(8 * order)
+                held.append(summed(keys, np.diff(np.append(first, len(both))), np.ones(len(first), dtype=np.int64)))
             if not held:
                 continue
-            keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate([x for _, x in held]), minlength=len(keys)).astype(np.int64)
+            keys, n, seen = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
             of = (keys >> np.uint64(8 * order)).astype(np.int64)
             for name, k in names.items():
                 part = of == k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * int(part.sum()), pa.string()), pa.array((keys[part] & np.uint64((1 << 8 * order) - 1)).astype(np.int64)), pa.array(n[part])],
-                    names=["lang", "gram", "n"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([name] * int(part.sum()), pa.string()), pa.array((keys[part] & low).astype(np.int64)), pa.array(n[part]), pa.array(seen[part])], names=["lang", "gram", "n", "docs"])
 
     picked = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = picked.mapInArrow(run, "lang string, gram long, n long, docs long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return counted.filter(F.col("docs") >= min_docs).select("lang", "gram", "n")
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -167,7 +176,8 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     The highest order has raw counts, the lower ones the number of different
     bytes seen before the n-gram. Discounts come from the counts of counts of
     each language and order (0.5, 1, 1.5 where a language has too few).
-    ``backoff`` is the log weight of the n-gram as a context; the lowest order
+    ``backoff`` is the log weight of the n-gram as a context (a context that is no
+    n-gram itself has a null ``logp``); the lowest order
     falls back to 256 equal bytes.
     """
     tables = {order: counts.select("lang", "gram", "n")}
@@ -201,7 +211,9 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     for k, table, _ in model:
         if k < order:
             nxt = model[k][2].select(F.col("lang").alias("_l"), F.col("context").alias("_g"), F.log(F.col("cut") / F.col("total")).alias("backoff"))
-            table = table.join(nxt, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("gram") == F.col("_g")), "left")
+            # contexts that begin a text never end an n-gram: they have a weight only
+            on = F.col("lang").eqNullSafe(F.col("_l")) & (F.col("gram") == F.col("_g"))
+            table = table.join(nxt, on, "full").withColumns({"lang": F.when(F.col("gram").isNull(), F.col("_l")).otherwise(F.col("lang")), "gram": F.coalesce("gram", "_g")})
         else:
             table = table.withColumn("backoff", F.lit(0.0))
         out.append(table.select("lang", F.lit(k).alias("k"), "gram", F.log("p").alias("logp"), F.coalesce("backoff", F.lit(0.0)).alias("backoff")))
@@ -232,7 +244,7 @@ def hash_arrays(model: DataFrame, shards: int = SHARDS) -> DataFrame:
             salt = np.array([salts[x] for x in zip(lang, k, strict=True)], dtype=np.uint64)
             with np.errstate(over="ignore"):
                 h = mix64(gram + salt)
-            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(32)).astype(np.int64) * shards >> 32), pa.array(h.view(np.int64)), batch.column(3), batch.column(4)], names=["shard", "h", "logp", "backoff"])
+            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(32)).astype(np.int64) * shards >> 32), pa.array(h.view(np.int64)), batch.column(3).fill_null(float("nan")), batch.column(4)], names=["shard", "h", "logp", "backoff"])
 
     rows = model.select("lang", "k", "gram", "logp", "backoff").mapInArrow(hashed, "shard long, h long, logp double, backoff double")
     # unsigned order: the sign bit turned
@@ -286,7 +298,7 @@ class HashArrays:
                     total[todo] += np.log(1 / 256)
                     break
                 at = self.find(mix64((gram[todo] & np.uint64((1 << 8 * k) - 1)) + salts[k][todo]))
-                hit = at >= 0
+                hit = (at >= 0) & ~np.isnan(self.logp[at])
                 total[todo[hit]] += self.logp[at[hit]]
                 todo = todo[~hit]
         return total
