@@ -40,15 +40,14 @@ def _packed(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarr
     Texts are preceded by order - 1 nought bytes.
     """
     n = len(offsets) - 1
-    lengths = np.diff(offsets)
-    owner = np.repeat(np.arange(n), lengths)
-    room = np.zeros(len(data) + n * (order - 1), dtype=np.uint64)
+    owner = np.repeat(np.arange(n), np.diff(offsets))
     at = np.arange(len(data)) + (owner + 1) * (order - 1)
+    room = np.zeros(len(data) + n * (order - 1), dtype=np.uint64)
     room[at] = data
-    gram = np.zeros(len(data), dtype=np.uint64)
-    for k in range(order - 1, -1, -1):
-        gram = (gram << np.uint64(8)) | room[at - k]
-    return owner, gram
+    gram = room.copy()
+    for k in range(1, order):
+        gram[k:] |= room[:-k] << np.uint64(8 * k)
+    return owner, gram[at]
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -59,9 +58,12 @@ def _repeat_words(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     at, window = windows(owner, hashes, REPEAT_WIDTH)
     if not len(at):
         return np.zeros(n, dtype=np.int64)
-    text = owner[at]
-    order = np.lexsort((window, text))
-    same = (window[order][1:] == window[order][:-1]) & (text[order][1:] == text[order][:-1])
+    # windows of different texts differ by a part made of the text's number
+    with np.errstate(over="ignore"):
+        window = window + mix64(np.arange(1, n + 1, dtype=np.uint64))[owner[at]]
+    order = np.argsort(window)
+    window = window[order]
+    same = window[1:] == window[:-1]
     twice = np.zeros(len(at), dtype=bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -258,48 +260,55 @@ class HashArrays:
 
     def __init__(self, hashes: np.ndarray, logp: np.ndarray, backoff: np.ndarray):
         self.hashes, self.logp, self.backoff = hashes, logp, backoff
-        bits = max(4, int(np.ceil(np.log2(max(len(hashes), 2)))))
+        bits = max(4, int(np.ceil(np.log2(max(len(hashes), 2)))) + 1)
         self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int64)
+        self.first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
         runs = np.diff(np.append(self.first, len(hashes)))
         self.longest = int(runs.max()) if len(runs) else 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Position of each hash, -1 where it is absent."""
-        at = self.first[h >> self.shift]
-        out = np.full(len(h), -1, dtype=np.int64)
-        todo = np.arange(len(h))
-        for _ in range(self.longest + 1):
+        if not len(self.hashes):
+            return np.full(len(h), -1, dtype=np.int32)
+        at = self.first[(h >> self.shift).view(np.int64)]
+        last = np.int32(len(self.hashes) - 1)
+        value = self.hashes[np.minimum(at, last)]
+        out = np.where(value == h, at, np.int32(-1))
+        todo = np.flatnonzero(value < h)
+        for _ in range(self.longest):
+            here = at[todo] + 1
+            inside = here <= last
+            todo, here = todo[inside], here[inside]
             if not len(todo):
                 break
-            here = at[todo]
-            inside = here < len(self.hashes)
-            todo, here = todo[inside], here[inside]
+            at[todo] = here
             value = self.hashes[here]
             hit = value == h[todo]
             out[todo[hit]] = here[hit]
-            more = value < h[todo]
-            todo = todo[more]
-            at[todo] += 1
+            todo = todo[value < h[todo]]
         return out
 
-    def score(self, gram: np.ndarray, salts: list[np.ndarray], order: int) -> np.ndarray:
-        """Log probability of the last byte of every n-gram."""
-        total = np.zeros(len(gram))
-        todo = np.arange(len(gram))
+    def score(self, gram: np.ndarray, owner: np.ndarray, salts: np.ndarray, order: int) -> np.ndarray:
+        """Log probability of the last byte of every n-gram; salts by text and order."""
         with np.errstate(over="ignore"):
-            for k in range(order, -1, -1):
+            at = self.find(mix64(gram + salts[:, order][owner]))
+            total = self.logp[at].astype(np.float64) if len(self.logp) else np.zeros(len(gram))
+            todo = np.flatnonzero((at < 0) | np.isnan(total))
+            total[todo] = 0.0
+            for k in range(order - 1, -1, -1):
                 if not len(todo):
                     break
-                if k < order:
-                    context = self.find(mix64((gram[todo] >> np.uint64(8) & np.uint64((1 << 8 * k) - 1)) + salts[k][todo]))
+                part, salt = gram[todo], salts[:, k][owner[todo]]
+                context = self.find(mix64((part >> np.uint64(8) & np.uint64((1 << 8 * k) - 1)) + salt))
+                if len(self.backoff):
                     total[todo] += np.where(context >= 0, self.backoff[context], 0.0)
                 if k == 0:
                     total[todo] += np.log(1 / 256)
                     break
-                at = self.find(mix64((gram[todo] & np.uint64((1 << 8 * k) - 1)) + salts[k][todo]))
-                hit = (at >= 0) & ~np.isnan(self.logp[at])
-                total[todo[hit]] += self.logp[at[hit]]
+                at = self.find(mix64((part & np.uint64((1 << 8 * k) - 1)) + salt))
+                found = self.logp[at] if len(self.logp) else np.zeros(len(at))
+                hit = (at >= 0) & ~np.isnan(found)
+                total[todo[hit]] += found[hit]
                 todo = todo[~hit]
         return total
 
@@ -340,9 +349,10 @@ def counted_and_scored(docs: DataFrame, model: DataFrame, id_col: str = "doc_id"
                     for x in set(langs[lo:hi]) - table.keys():
                         table[x] = [_salt(x, k) for k in range(order + 1)]
                     per = np.array([table[x] for x in langs[lo:hi]], dtype=np.uint64)
-                    scores = arrays.score(gram, [per[owner, k] for k in range(order + 1)], order)
-                    sums = np.bincount(owner, weights=scores, minlength=hi - lo)
-                    value = [-s / m if m else None for s, m in zip(sums.tolist(), np.diff(offsets).tolist(), strict=True)]
+                    # the texts' bytes lie one after another, so their sums do too
+                    sums = np.concatenate([[0.0], np.cumsum(arrays.score(gram, owner, per, order))])
+                    lengths = np.diff(offsets)
+                    value = [-s / m if m else None for s, m in zip((sums[offsets[1:]] - sums[offsets[:-1]]).tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(x.astype(np.int64)) for x in counts), pa.array(value, pa.float64())],
                     names=["id", "lang", *COUNTS, "log_ppl"],
