@@ -14,10 +14,15 @@ nothing. Skip merging: the long lists (the common values) are never merged; for
 each pair that meets in a prefix the remaining coordinates are counted from the
 signatures, and pairs below T are skipped.
 
-Links are confirmed on the full sets. The result is connected components, so
-pairs inside one component need no look: in star rounds each list compares its
-members with one of them, and what is linked falls together. What a list still
-holds of several components is compared in blocks, without emitting its pairs.
+Links are confirmed on the full sets. Shingles that no other candidate has can't
+be shared: with n shingles, u of its own, a document shares at most n - u, which
+bounds the similarity of any pair; documents and pairs below are left out.
+
+The result is connected components, so pairs inside one component need no look:
+in star rounds each list compares its members with one of them (first the one
+with the fewest shingles of its own), and what is linked falls together. What a
+list still holds of several components is compared in blocks, and only pairs that
+pass the bound and share T coordinates come out.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from .components import connected_components
 K, T, WIDTH = 48, 28, 5
 #: Members of one list that a block holds; pairs of blocks are compared in a task.
 BLOCK_ROWS = 256
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
 def _sets_of(hasher: WordHasher, data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,36 +161,40 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.groupBy("a1", "slot1").cogroup(right.groupBy("a2", "slot2")).applyInArrow(run, "a long, b long")
 
 
-def _matching(pairs: DataFrame, reps: DataFrame, t: int) -> DataFrame:
-    """Pairs that share at least t coordinates (skip merging of the long lists)."""
-    sig = reps.select("id", "sig")
-    joined = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    same = F.size(F.filter(F.arrays_zip("sa", "sb"), lambda z: z["sa"] == z["sb"]))
-    return joined.filter(same >= t).select("a", "b")
+def _matching(pairs: DataFrame, reps: DataFrame, t: int, percent: int) -> DataFrame:
+    """Pairs that pass the bound and share t coordinates (the long lists are skipped)."""
+    side = lambda x: reps.select(F.col("id").alias(x), F.struct("sig", "n", "u").alias(f"s{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    most = F.least(F.col("sa.n") - F.col("sa.u"), F.col("sb.n") - F.col("sb.u"))
+    bound = 100 * most >= percent * (F.col("sa.n") + F.col("sb.n") - most)
+    same = F.size(F.filter(F.arrays_zip(F.col("sa.sig").alias("x"), F.col("sb.sig").alias("y")), lambda z: z["x"] == z["y"]))
+    return joined.filter(bound).filter(same >= t).select("a", "b")
 
 
-def _blocks(mixed: DataFrame, reps: DataFrame, t: int) -> DataFrame:
-    """Pairs across components, of lists that hold several, sharing t coordinates."""
-    size = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n"))
-    placed = mixed.join(size, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+def _blocks(mixed: DataFrame, reps: DataFrame, t: int, percent: int) -> DataFrame:
+    """Pairs across components, of lists that hold several, by the same two tests."""
+    size = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = mixed.join(size, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # block i meets every block j; the pair of blocks is named by (low, high)
-    spread = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", "id", "component", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).join(reps.select("id", "sig"), "id")
+    spread = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "id", "component", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).join(reps.select("id", "sig", "n", "u"), "id")
 
     def run(key, table):
         import pyarrow as pa
 
-        ids, comp, block = (np.array(table.column(c).to_numpy()) for c in ("id", "component", "i"))
-        sig = np.array(table.column("sig").to_pylist(), dtype=np.int32).reshape(len(ids), -1)
+        ids, comp, block, n, u = (np.array(table.column(c).to_numpy()) for c in ("id", "component", "i", "n", "u"))
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         lo, hi = key[1].as_py(), key[2].as_py()
         one, two = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        share = n - u
         a, b = [], []
         for x in one.tolist():
-            other = two[(comp[two] != comp[x]) & ((lo != hi) | (two > x))]
+            most = np.minimum(share[two], share[x])
+            fits = (comp[two] != comp[x]) & (100 * most >= percent * (n[two] + n[x] - most))
+            other = two[fits & ((two > x) | (lo != hi))]
             hit = other[(sig[other] == sig[x]).sum(axis=1) >= t]
             a.extend([int(ids[x])] * len(hit))
             b.extend(ids[hit].tolist())
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return spread.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
@@ -204,28 +213,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = sigs.filter("id is not null and set_hash is not null")
     first = usable.groupBy("set_hash").agg(F.min("id").alias("rep"))
     member = written(usable.select("id", "set_hash").distinct().join(first, "set_hash").select("id", "rep"), "members")
-    reps = written(usable.join(first.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "sig"), "representatives")
+    reps = written(usable.join(first.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "sig", F.col("n_shingles").alias("n")), "representatives")
     lists = written(prefix_postings(reps, k, t), "postings")
     wanted = lists.select("id").distinct()
     sets = written(shingle_sets(docs.join(wanted, docs[id_col] == wanted["id"], "left_semi").dropDuplicates([id_col]), id_col, text_col, width), "shingle-sets")
+    alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("u"))
+    able = reps.join(wanted, "id", "left_semi").join(alone, "id", "left").withColumn("u", F.coalesce("u", F.lit(0))).filter(100 * (F.col("n") - F.col("u")) >= percent * F.col("n"))
+    reps = written(able, "candidates")
+    lists = written(lists.join(reps.select("id"), "id", "left_semi"), "candidate-lists")
 
-    links, labels = None, lists.select("id").distinct().withColumn("component", F.col("id"))
+    links, labels = None, reps.select("id", (F.col("u") / F.col("n")).alias("own"), F.col("id").alias("component"))
     for turn in range(STAR_ROUNDS + 1):
         labelled = lists.join(labels, "id")
-        several = labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min(F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("o"), F.col("id").alias("id"), F.col("component").alias("c"))).alias("hub")).filter("c1 <> c2")
+        first_of = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("own")).alias("o"), F.col("id").alias("id"), F.col("component").alias("c"))
+        several = labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min(first_of).alias("hub")).filter("c1 <> c2")
         mixed = written(labelled.join(several, "key").select("key", "id", "component", F.col("hub.id").alias("hub"), F.col("hub.c").alias("hub_c")), "open-lists")
         if mixed.isEmpty():
             break
         if turn < STAR_ROUNDS:
             star = mixed.filter("component <> hub_c").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-            found = _matching(star, reps, t)
+            found = _matching(star, reps, t, percent)
         else:
-            found = _blocks(mixed.select("key", "id", "component"), reps, t)
+            found = _blocks(mixed.select("key", "id", "component"), reps, t, percent)
         new = written(_confirmed(written(found, "matches"), sets, percent), "links")
         links = new if links is None else links.unionByName(new)
         if not new.isEmpty():
             known = connected_components(links)
-            labels = written(wanted.join(known, wanted["id"] == known["node"], "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
+            labels = written(reps.select("id", (F.col("u") / F.col("n")).alias("own")).join(known, F.col("id") == F.col("node"), "left").select("id", "own", F.coalesce("component", "id").alias("component")), "labels")
     whole = member.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = sigs.join(whole, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
