@@ -229,13 +229,13 @@ def ternary_hull_table(spark, sf_dir):
 WITH c AS (SELECT l_orderkey AS key, l_returnflag AS element, count(*) AS n, sum(l_extendedprice) AS part FROM lineitem GROUP BY ALL),
 r AS (SELECT key, sum(part) AS e, sum(n) AS natoms, count(*) AS kinds, min(element) AS element FROM c GROUP BY key),
 mu AS (SELECT element, min(e / natoms) AS mu FROM r WHERE kinds = 1 GROUP BY element)
-SELECT key, round((any_value(e) - sum(n * mu)) / any_value(natoms), 2) AS formation FROM c JOIN r USING (key) JOIN mu ON c.element = mu.element GROUP BY key
+SELECT key, round((any_value(e) - sum(n * mu)) / any_value(natoms), 6) AS formation FROM c JOIN r USING (key) JOIN mu ON c.element = mu.element GROUP BY key
 """)
 def formation_energy(spark, sf_dir):
     counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key"), F.col("l_returnflag").alias("element")).agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("part"))
     rows = counts.groupBy("key").agg(F.sum("part").alias("e"), F.sum("n").alias("natoms"), F.count("*").alias("kinds"), F.min("element").alias("element"))
     mu = hull.elemental_references(rows.withColumn("per", F.col("e") / F.col("natoms")), F.col("kinds") == 1, "element", "per")
-    return hull.formation_energy(rows.select("key", "e"), counts.select("key", "element", "n"), mu, "key", "e").select("key", F.round("formation", 2).alias("formation"))
+    return hull.formation_energy(rows.select("key", "e"), counts.select("key", "element", "n"), mu, "key", "e").select("key", F.round("formation", 6).alias("formation"))
 
 
 # --- evaluation -------------------------------------------------------------------------
