@@ -21,8 +21,9 @@ bounds the similarity of any pair; documents and pairs below are left out.
 The result is connected components, so pairs inside one component need no look:
 in star rounds each list compares its members with one of them (first the one
 with the fewest shingles of its own), and what is linked falls together. What a
-list still holds of several components is compared in blocks, and only pairs that
-pass the bound and share T coordinates come out.
+list still holds of several components is compared in blocks: pairs across
+components that pass the bound and share T coordinates are confirmed on the full
+sets in the same task, and only the links that join components come out.
 """
 
 from __future__ import annotations
@@ -38,8 +39,11 @@ from .common import WordHasher, mix64, text_blocks, windows, written
 from .components import connected_components
 
 K, T, WIDTH = 48, 28, 5
-#: Members of one list that a block holds; pairs of blocks are compared in a task.
-BLOCK_ROWS = 256
+#: Pairs of one document that a task confirms.
+SLOT_ROWS = 256
+#: Members of one list that a block holds, and their shingles, about; pairs of
+#: blocks are compared in a task.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 21
 STAR_ROUNDS = 2
 
 
@@ -106,7 +110,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = K, width: i
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """id and the sorted distinct shingle hashes of its text."""
+    """id and the distinct shingle hashes of its text, sorted as signed numbers."""
 
     def run(batches):
         import pyarrow as pa
@@ -115,7 +119,8 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH
         for batch in batches:
             for lo, hi, data, offsets in text_blocks(batch.column(1)):
                 sets, starts = _sets_of(hasher, data, offsets, width)
-                values = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(sets.view(np.int64)))
+                signed = np.concatenate([np.sort(sets[i:j].view(np.int64)) for i, j in zip(starts, starts[1:])] or [sets.view(np.int64)])
+                values = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(signed))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), values], names=["id", "shingles"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -137,7 +142,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Pairs of one ``a`` are dealt to slots of about 256 by ``b``'s hash.
     """
-    counted = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("slots"))
+    counted = pairs.groupBy("a").agg(F.ceil(F.count("*") / SLOT_ROWS).cast("int").alias("slots"))
     dealt = pairs.join(counted, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"))
     named = sets.select(F.col("id").alias("_i"), F.col("shingles").alias("_s"))
     left = counted.select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot")).join(named, F.col("a") == F.col("_i")).select(F.col("a").alias("a1"), F.col("slot").alias("slot1"), F.col("_s").alias("one"))
@@ -171,18 +176,26 @@ def _matching(pairs: DataFrame, reps: DataFrame, t: int, percent: int) -> DataFr
     return joined.filter(bound).filter(same >= t).select("a", "b")
 
 
-def _blocks(mixed: DataFrame, reps: DataFrame, t: int, percent: int) -> DataFrame:
-    """Pairs across components, of lists that hold several, by the same two tests."""
-    size = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    placed = mixed.join(size, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _blocks(mixed: DataFrame, reps: DataFrame, sets: DataFrame, t: int, percent: int) -> DataFrame:
+    """Confirmed links across components, of lists that hold several.
+
+    A task sees two blocks of one list. It keeps its own labels, so a block of
+    one component gives at most one link for each that it joins.
+    """
+    able = mixed.join(reps.select("id", "n", "u"), "id")
+    size = able.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = able.join(size, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # block i meets every block j; the pair of blocks is named by (low, high)
-    spread = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "id", "component", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).join(reps.select("id", "sig", "n", "u"), "id")
+    spread = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "id", "component", "i", "n", "u", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    full = spread.join(reps.select("id", "sig"), "id").join(sets, "id")
 
     def run(key, table):
         import pyarrow as pa
 
         ids, comp, block, n, u = (np.array(table.column(c).to_numpy()) for c in ("id", "component", "i", "n", "u"))
         sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        shingles = table.column("shingles").combine_chunks()
+        values, at = shingles.flatten().to_numpy(), np.concatenate([[0], np.cumsum(n)])
         lo, hi = key[1].as_py(), key[2].as_py()
         one, two = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         share = n - u
@@ -191,12 +204,21 @@ def _blocks(mixed: DataFrame, reps: DataFrame, t: int, percent: int) -> DataFram
             most = np.minimum(share[two], share[x])
             fits = (comp[two] != comp[x]) & (100 * most >= percent * (n[two] + n[x] - most))
             other = two[fits & ((two > x) | (lo != hi))]
-            hit = other[(sig[other] == sig[x]).sum(axis=1) >= t]
-            a.extend([int(ids[x])] * len(hit))
-            b.extend(ids[hit].tolist())
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    return spread.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+            other = other[(sig[other] == sig[x]).sum(axis=1) >= t]
+            if not len(other):
+                continue
+            mine = values[at[x] : at[x + 1]]
+            theirs = np.concatenate([values[at[y] : at[y + 1]] for y in other.tolist()])
+            place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            both = np.add.reduceat((mine[place] == theirs).astype(np.int64), np.concatenate([[0], np.cumsum(n[other])[:-1]]))
+            for y in other[100 * both >= percent * (n[other] + n[x] - both)].tolist():
+                if comp[y] != comp[x]:
+                    a.append(int(ids[x]))
+                    b.append(int(ids[y]))
+                    comp[comp == comp[y]] = comp[x]
+        return pa.table({"a": pa.array(np.minimum(a, b).astype(np.int64)), "b": pa.array(np.maximum(a, b).astype(np.int64))})
+
+    return full.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = K, t: int = T, width: int = WIDTH) -> DataFrame:
@@ -232,10 +254,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         if turn < STAR_ROUNDS:
             star = mixed.filter("component <> hub_c").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-            found = _matching(star, reps, t, percent)
+            new = written(_confirmed(written(_matching(star, reps, t, percent), "matches"), sets, percent), "links")
         else:
-            found = _blocks(mixed.select("key", "id", "component"), reps, t, percent)
-        new = written(_confirmed(written(found, "matches"), sets, percent), "links")
+            new = written(_blocks(mixed.select("key", "id", "component"), reps, sets, t, percent), "links")
         links = new if links is None else links.unionByName(new)
         if not new.isEmpty():
             known = connected_components(links)
