@@ -20,7 +20,7 @@ def read_record_texts(spark: SparkSession, paths: list[str] | str, whole: bool =
     """fname, text: one row per record."""
     reader = spark.read
     if whole:
-        rows = reader.option("wholetext", True).text(paths)
+        rows = reader.text(paths, wholetext=True)
         texts = rows.select(F.col("_metadata.file_path").alias("fname"), F.explode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"(?m)^END[^\n]*$")).alias("text"))
     else:
         rows = reader.option("lineSep", "\nEND\n").text(paths)

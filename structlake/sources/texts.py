@@ -10,7 +10,7 @@ from ..functions import chem
 
 def scan_extxyz(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """fname, frame, natoms, metadata (map), atoms (array of species, x, y, z)."""
-    whole = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("fname"), "value")
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("fname"), "value")
     frame = r"(?m)^[ \t]*(\d+)[ \t]*\n([^\n]*)\n((?:[ \t]*[A-Z][a-z]?[ \t][^\n]*(?:\n|\z))+)"
     parts = F.arrays_zip(*(F.regexp_extract_all("value", F.lit(frame), k).alias(n) for k, n in ((1, "n"), (2, "info"), (3, "body"))))
     rows = whole.select("fname", F.posexplode(parts).alias("frame", "_p"))
@@ -42,7 +42,7 @@ def extxyz_to_records(frames: DataFrame) -> DataFrame:
 
 def scan_castep(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """fname, energies, forces and stresses (arrays of 3), species, per file."""
-    whole = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("fname"), "value")
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("fname"), "value")
     number = r"([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)"
     energy = F.transform(F.regexp_extract_all("value", F.lit(r"Final free energy[^=\n]*=\s*" + number), 1), lambda x: x.cast("double"))
     force = F.lit(r"(?m)^\s*\*\s+([A-Z][a-z]?)\s+\d+\s+" + r"\s+".join([number] * 3) + r"\s+\*\s*$")
