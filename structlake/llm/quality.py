@@ -28,8 +28,9 @@ ORDER, MIN_DOCS = 5, 2
 #: Of the model's arrays (16 bytes an n-gram); beyond it scoring is a join.
 BROADCAST_BYTES = 128 << 20
 SHARDS = 64
-#: Half width of a band, in robust standard deviations and at least in nats.
-UPPER_WIDTH, LOWER_WIDTH, LEAST_NATS = 8.0, 10.0, 0.25
+#: Half width of a band: robust standard deviations, and at least so many nats (a
+#: factor of two in perplexity), since short clean texts vary that much.
+UPPER_WIDTH, LOWER_WIDTH, LEAST_NATS = 8.0, 10.0, 0.75
 SYMBOLS = "#*$%&|<>"
 FEWEST_WORDS, REPEAT_PERCENT, REPEAT_WIDTH = 10, 20, 5
 
