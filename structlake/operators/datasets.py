@@ -135,3 +135,24 @@ def load_features(spark, path: str, version: str = "1.0") -> DataFrame:
     if other:
         raise ValueError(f"version {other.version} instead of {version}")
     return got.drop("version")
+
+
+def feature_text(features: DataFrame, label: str, atom: str, vector: str, blocks: list[int], meta: Column) -> DataFrame:
+    """label, text: a meta line, then for each atom a line per block of slots.
+
+    ``blocks`` are the lengths of the blocks in vector order (one-body slots
+    first); ``meta`` is computed from columns that a structure's rows share.
+    Numbers have 14 digits after the point; the last is rounded from the shortest
+    decimal form of the double.
+    """
+    edges = [0, *itertools.accumulate(blocks)]
+    line = lambda lo, n: F.concat_ws(" ", F.transform(F.slice(vector, lo + 1, n), lambda x: F.format_string("%.14f", x.cast("double"))))
+    lines = F.concat_ws("\n", *(line(lo, n) for lo, n in zip(edges, blocks)))
+    rows = features.select(label, meta.alias("_meta"), F.struct(F.col(atom).alias("a"), lines.alias("l")).alias("_r"))
+    packed = rows.groupBy(label).agg(F.min("_meta").alias("_meta"), F.array_sort(F.collect_list("_r")).alias("_r"))
+    return packed.select(label, F.concat_ws("\n", F.col("_meta"), F.array_join(F.transform("_r", lambda r: r["l"]), "\n")).alias("text"))
+
+
+def export_feature_text(features: DataFrame, path: str, *arguments) -> None:
+    """Writes the texts of ``feature_text``, a part file per task."""
+    feature_text(features, *arguments).select(F.col("text").alias("value")).write.text(path)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.paths import scratch
+from ..sources.paths import kept
 
 TOLERANCE, SINGULAR = 1e-8, 1e-12
 
@@ -48,16 +48,10 @@ def simplices(points: DataFrame, coords: list[str], energy: str) -> DataFrame:
     for k in range(1, n + 1):
         out = out.join(_vertices(points, coords, energy, f"v{k}"), F.col(f"v{k - 1}key") < F.col(f"v{k}key"))
     edge = [[F.col(f"v{k}{c}") - F.col(f"v0{c}") for c in coords] for k in range(1, n + 1)]
-    out = _kept(out.withColumn("det", _det(edge)).filter(F.abs("det") >= SINGULAR), "simplices")
+    out = kept(out.withColumn("det", _det(edge)).filter(F.abs("det") >= SINGULAR), "simplices")
     unit = lambda c: [F.lit(1.0 if d == c else 0.0) for d in coords]
     forms = {f"w{k}_{c}": _det([unit(c) if j == k - 1 else row for j, row in enumerate(edge)]) / F.col("det") for k in range(1, n + 1) for c in coords}
-    return _kept(out.withColumns(forms), "simplex-forms")
-
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept(out.withColumns(forms), "simplex-forms")
 
 
 def _det(m: list[list[Column]]) -> Column:
@@ -83,7 +77,7 @@ def point_in_simplex(points: DataFrame, facets: DataFrame, coords: list[str], en
 
 def e_above_hull(points: DataFrame, candidates: DataFrame, coords: list[str], energy: str) -> DataFrame:
     """points with ``e_above_hull``; null where no simplex holds the point."""
-    points = _kept(points, "hull-points")
+    points = kept(points, "hull-points")
     held = point_in_simplex(points.select("key", *coords), simplices(candidates, coords, energy), coords, energy)
     best = held.groupBy("key").agg(F.min("hull").alias("_hull"))
     return points.join(best, "key", "left").withColumn("e_above_hull", F.col(energy) - F.col("_hull")).drop("_hull")
@@ -91,7 +85,7 @@ def e_above_hull(points: DataFrame, candidates: DataFrame, coords: list[str], en
 
 def decomposition(points: DataFrame, candidates: DataFrame, coords: list[str], energy: str) -> DataFrame:
     """key, product, fraction: stable products of the lowest simplex at each point."""
-    points = _kept(points, "hull-points")
+    points = kept(points, "hull-points")
     held = point_in_simplex(points.select("key", *coords), simplices(candidates, coords, energy), coords, energy)
     n = len(coords) + 1
     parts = F.array(*(F.struct(F.col(f"v{k}key").alias("product"), F.col(f"bary{k}").alias("fraction")) for k in range(n)))

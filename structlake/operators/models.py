@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -140,3 +140,20 @@ def committee_force_error(forces: DataFrame, label: str) -> DataFrame:
 def walk_forward_join(data: DataFrame, models: DataFrame, gen: str = "gen") -> DataFrame:
     """Each generation's data with the model of the generation before."""
     return data.join(models.select((F.col(gen) + 1).alias(gen), *(c for c in models.columns if c != gen)), gen)
+
+
+def save_models(models: DataFrame, path: str) -> None:
+    """models: model_id, weight, params (array), sizes (array of layer widths, null for linear)."""
+    models.select("model_id", "weight", "params", "sizes").write.parquet(path)
+
+
+def load_models(spark: SparkSession, path: str) -> DataFrame:
+    """Saved members with ``position`` by the number in their id, and ``kind``.
+
+    A member with layer widths is an ``mlp``, one without ``linear``. The table
+    has a row per member.
+    """
+    got = spark.read.parquet(path)
+    number = F.regexp_extract("model_id", r"(\d+)", 1).try_cast("long")
+    kind = F.when(F.size("sizes") > 0, "mlp").otherwise("linear")
+    return got.withColumn("position", F.row_number().over(Window.orderBy(number.asc_nulls_last(), "model_id"))).withColumn("kind", kind)

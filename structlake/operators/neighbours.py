@@ -41,15 +41,18 @@ def neighbour_pairs(atoms: DataFrame, rcut: float, box: float, label: str = "lab
     return moved.withColumn("r", r).filter((F.col("r") > 0) & (F.col("r") <= rcut)).select("label", "i", "j", "sx", "sy", "sz", "dx", "dy", "dz", "r", *(f"{k}_{s}" for k in keep for s in "ij"))
 
 
-def neighbour_triplets(pairs: DataFrame, rcut: float, keep: tuple[str, ...] = ()) -> DataFrame:
-    """label, i, j, k, rij, rik, rjk: both neighbours of i, each pair {j, k} once."""
+def neighbour_triplets(pairs: DataFrame, rcut: float, keep: tuple[str, ...] = (), vectors: bool = False) -> DataFrame:
+    """label, i, j, k, rij, rik, rjk: both neighbours of i, each pair {j, k} once.
+
+    ``vectors`` adds dx1 ... dz2, from i to j and from i to k.
+    """
     names = ["j", "sx", "sy", "sz", "dx", "dy", "dz", "r"]
     one = pairs.select("label", "i", *(F.col(c).alias(f"{c}1") for c in names), *(F.col(f"{k}_j").alias(f"{k}_1") for k in keep), *(f"{k}_i" for k in keep))
     two = pairs.select("label", "i", *(F.col(c).alias(f"{c}2") for c in names), *(F.col(f"{k}_j").alias(f"{k}_2") for k in keep))
     after = F.struct("j2", "sx2", "sy2", "sz2") > F.struct("j1", "sx1", "sy1", "sz1")
     rjk = F.sqrt(sum(((F.col(f"{d}1") - F.col(f"{d}2")) ** 2 for d in ("dx", "dy", "dz")), F.lit(0.0)))
     both = one.join(two, ["label", "i"]).filter(after).withColumn("rjk", rjk).filter((F.col("rjk") <= rcut) & (F.col("rjk") > 0))
-    return both.select("label", "i", F.col("j1").alias("j"), F.col("j2").alias("k"), F.col("r1").alias("rij"), F.col("r2").alias("rik"), "rjk", *(f"{k}_{s}" for k in keep for s in ("i", "1", "2")))
+    return both.select("label", "i", F.col("j1").alias("j"), F.col("j2").alias("k"), F.col("r1").alias("rij"), F.col("r2").alias("rik"), "rjk", *(f"{k}_{s}" for k in keep for s in ("i", "1", "2")), *(f"d{c}{e}" for c in "xyz" for e in "12" if vectors))
 
 
 def filter_min_separation(structures: DataFrame, pairs: DataFrame, threshold: float, label: str = "label") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chem
-from ..operators import datasets, evaluate, features, hull, models, neighbours, records
+from ..operators import datasets, evaluate, features, fitting, forces, generate, hull, models, neighbours, records
 from ..sources import shelx, texts
 from ..streaming import jobs
 
@@ -540,6 +540,91 @@ def walk_forward_eval(spark, sf_dir):
     return models.walk_forward_join(li, fitted).groupBy("gen").agg(F.round(F.avg(F.abs(F.col("l_extendedprice") - F.col("l_quantity") * F.col("w"))), 3).alias("mae"))
 
 
+# --- forces, bonded units, shaken copies, fits --------------------------------------------------
+
+_CORE = 0.08
+_BONDS = f"""{_PAIRS}, sp(pi, p) AS (VALUES (0, 2.0::DOUBLE), (1, 4.5::DOUBLE)), blocks(sa, sb, b) AS (VALUES ('A', 'A', 0), ('A', 'B', 1), ('B', 'A', 2), ('B', 'B', 3)),
+bo AS (SELECT label, i, j, dx, dy, dz, r, (3 + b * 2 + pi) / 10.0::DOUBLE * p * pow({_F2}, p - 1) * (-2.0::DOUBLE / {_RC}) AS g FROM prs, sp, blocks WHERE species_i = sa AND species_j = sb
+       UNION ALL SELECT label, i, j, dx, dy, dz, r, -2 * {_CORE} / (r * r) * 2 * (2 * ({_CORE} / r - 1)) FROM prs WHERE r < {_CORE})"""
+
+
+def _bonds(spark, sf_dir):
+    spec, pairs = _spec(spark), _pairs(spark, sf_dir)
+    slopes = spec.select("slot", (F.col("slot") / 10.0).alias("slope"))
+    core = forces.core_bonds(pairs.filter(F.col("r") < _CORE), chem.core_repulsion_grad(F.col("r"), _CORE, 2))
+    return forces.two_body_bonds(pairs, spec, slopes, _RC).unionByName(core)
+
+
+@query(f"""WITH {_BONDS}, e AS (SELECT label, i AS atom, g * dx / r AS fx, g * dy / r AS fy, g * dz / r AS fz FROM bo UNION ALL SELECT label, j, -g * dx / r, -g * dy / r, -g * dz / r FROM bo),
+s AS (SELECT label, atom, sum(fx) AS fx, sum(fy) AS fy, sum(fz) AS fz FROM e GROUP BY ALL), f AS (SELECT label, atom, coalesce(fx, 0) AS fx, coalesce(fy, 0) AS fy, coalesce(fz, 0) AS fz FROM a LEFT JOIN s USING (label, atom))
+SELECT label, atom, round(fx - avg(fx) OVER w, 3) + 0.0 AS fx, round(fy - avg(fy) OVER w, 3) + 0.0 AS fy, round(fz - avg(fz) OVER w, 3) + 0.0 AS fz FROM f WINDOW w AS (PARTITION BY label)""")
+def score_forces(spark, sf_dir):
+    got = forces.score_forces(_bonds(spark, sf_dir), _atoms(spark, sf_dir))
+    return got.select("label", "atom", *((F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("fx", "fy", "fz")))
+
+
+@query(f"WITH {_BONDS}, s AS (SELECT label, -sum(g * dx * dx / r) / 2 AS sxx, -sum(g * dx * dy / r) / 2 AS sxy, -sum(g * dz * dz / r) / 2 AS szz FROM bo GROUP BY label) SELECT label, round(coalesce(sxx, 0), 3) + 0.0 AS sxx, round(coalesce(sxy, 0), 3) + 0.0 AS sxy, round(coalesce(szz, 0), 3) + 0.0 AS szz FROM (SELECT DISTINCT label FROM a) LEFT JOIN s USING (label)")
+def score_stress(spark, sf_dir):
+    volumes = _atoms(spark, sf_dir).select("label", F.lit(2.0).alias("volume")).distinct()
+    return forces.score_stress(_bonds(spark, sf_dir), volumes).select("label", *((F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("sxx", "sxy", "szz")))
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, t AS (SELECT DISTINCT label, i, j FROM prs WHERE r <= 0.1), reach AS (SELECT label, atom, atom AS root FROM a UNION SELECT reach.label, t.j, root FROM reach JOIN t ON reach.label = t.label AND reach.atom = t.i)
+SELECT label, atom, min(root) AS module FROM reach GROUP BY ALL""")
+def bond_modules(spark, sf_dir):
+    return generate.bond_modules(_atoms(spark, sf_dir), _pairs(spark, sf_dir), 0.1)
+
+
+_U = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE"
+
+
+@query("SELECT vec_id AS atom, label || '-shake-' || c AS label, " + ", ".join(f"round(v{x} - floor(v{x}), 6) AS f{x}" for x in "xyz") + " FROM (SELECT vec_id, label, c, " + ", ".join(f"embedding[{k}]::DOUBLE + 0.2::DOUBLE * (2 * {_U.format(f"label || ':' || c || ':' || vec_id || ':{x}'")} - 1) / {e} AS v{x}" for k, x, e in ((1, "x", 2.0), (2, "y", 3.0), (3, "z", 4.0))) + " FROM embeddings, range(1, 4) r(c))")
+def augment_shake(spark, sf_dir):
+    """Three perturbed copies of every structure; the atoms are given."""
+    atoms = _atoms(spark, sf_dir).select(F.col("label").cast("string").alias("label"), "atom", F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("z").alias("fz"))
+    cells = atoms.select("label").distinct().select("label", *(F.lit(v).alias(c) for c, v in zip(generate.CELL, (2.0, 3.0, 4.0, 90.0, 90.0, 90.0), strict=True)))
+    return generate.augment_shake(cells, atoms, 3, 0.2, 0.05)[1].select("label", "atom", *(_r(c, c) for c in ("fx", "fy", "fz")))
+
+
+@query("SELECT o_orderkey, c AS copy, o_orderkey || '-shake-' || c AS shaken, " + ", ".join(f"round({v} * (1 + {_U.format(f"o_orderkey || ':' || c || ':0:{n}'")} * 0.02::DOUBLE), 6) AS {n}" for n, v in (("a", 5.0), ("b", 6.0), ("c", 7.0), ("alpha", 80.0), ("beta", 90.0), ("gamma", 100.0))).replace(" AS c,", " AS edge_c,") + " FROM orders, range(1, 3) r(c)")
+def shaken_cells(spark, sf_dir):
+    cells = table(spark, sf_dir, "orders").select("o_orderkey", *(F.lit(v).alias(c) for c, v in zip(generate.CELL, (5.0, 6.0, 7.0, 80.0, 90.0, 100.0), strict=True)))
+    got = generate.shaken_cells(cells, 2, 0.02, "o_orderkey")
+    return got.select("o_orderkey", "copy", "shaken", *(_r(c, "edge_c" if c == "c" else c) for c in generate.CELL))
+
+
+@query("WITH v AS (SELECT label, vec_id, list_transform(embedding[1:7], lambda x: printf('%.14f', round(x::DOUBLE, 6))) AS t FROM embeddings), l AS (SELECT label, vec_id, t[1] || chr(10) || array_to_string(t[2:4], ' ') || chr(10) || array_to_string(t[5:7], ' ') AS lines FROM v) SELECT label, md5('structure ' || label || chr(10) || string_agg(lines, chr(10) ORDER BY vec_id)) AS digest FROM l GROUP BY label")
+def export_feature_text(spark, sf_dir):
+    # engines differ in the 14th digit of numbers that have more
+    e = table(spark, sf_dir, "embeddings").withColumn("embedding", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)))
+    got = datasets.feature_text(e, "label", "vec_id", "embedding", [1, 3, 3], F.concat(F.lit("structure "), "label"))
+    return got.select("label", F.md5("text").alias("digest"))
+
+
+@query("SELECT 'm' || l_linenumber AS model_id, 'linear' AS kind, CAST(row_number() OVER (ORDER BY l_linenumber) AS INTEGER) AS position, round(sum(l_quantity * l_extendedprice) / sum(l_quantity * l_quantity), 6) AS w FROM lineitem GROUP BY l_linenumber")
+def load_models(spark, sf_dir):
+    """A linear member for each line number, saved and loaded again."""
+    from ..sources.paths import scratch
+
+    q, y = F.col("l_quantity"), F.col("l_extendedprice")
+    fitted = table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg((F.sum(q * y) / F.sum(q * q)).alias("w"))
+    path = scratch(spark, "models")
+    models.save_models(fitted.select(F.concat(F.lit("m"), "l_linenumber").alias("model_id"), F.lit(1.0).alias("weight"), F.array("w").alias("params"), F.lit(None).cast("array<int>").alias("sizes")), path)
+    return models.load_models(spark, path).select("model_id", "kind", "position", _r(F.col("params")[0], "w"))
+
+
+@query()
+def fit_mlp_lm(spark, sf_dir):
+    """A small network fitted to a curve of the vectors' first three components."""
+    from ..sources.paths import kept
+
+    e = table(spark, sf_dir, "embeddings")
+    x = [F.col("embedding")[k].cast("double") for k in range(3)]
+    rows = kept(e.select(F.col("vec_id").alias("label"), F.slice("embedding", 1, 3).alias("fvec"), (F.sin(3 * x[0]) + x[1] * x[2]).alias("target")), "fit")
+    theta, history = fitting.fit_mlp_lm(rows, rows, "label", "fvec", "target", [3, 3, 1], steps=6)
+    return fitting.score_parameters(rows, "label", "fvec", theta, [3, 3, 1]).join(rows.select("label", "target"), "label").select("label", F.round("target", 6).alias("target"), F.round("energy", 4).alias("energy"))
+
+
 # --- sources and streams ---------------------------------------------------------------------------
 
 
