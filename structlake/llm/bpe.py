@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .common import lean
 
 #: Unicode's White_Space characters, as inside of a character class.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -230,7 +231,7 @@ def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
             yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["i"], pa.string()), pa.array(out["d"], pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     picked = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return picked.mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return picked.mapInArrow(lean(run), f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -248,7 +249,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 256], pa.int64()), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     picked = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return picked.mapInArrow(run, f"{id_col} long, ids array<int>")
+    return picked.mapInArrow(lean(run), f"{id_col} long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -263,4 +264,4 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_
             texts = [b"".join(map(token.__getitem__, ids or ())).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return encoded.select(F.col(id_col).cast("long"), F.col(ids_col).cast("array<int>")).mapInArrow(run, f"{id_col} long, text string")
+    return encoded.select(F.col(id_col).cast("long"), F.col(ids_col).cast("array<int>")).mapInArrow(lean(run), f"{id_col} long, text string")

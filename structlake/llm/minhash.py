@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import WordHasher, mix64, text_blocks, windows, written
+from .common import WordHasher, lean, mix64, text_blocks, windows, written
 from .components import connected_components
 
 K, T, WIDTH = 48, 28, 5
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = K, width: i
                 )
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, n_shingles long, set_hash binary, sig array<int>")
+    return picked.mapInArrow(lean(run), "id long, n_shingles long, set_hash binary, sig array<int>")
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
@@ -124,7 +124,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), values], names=["id", "shingles"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, shingles array<long>")
+    return picked.mapInArrow(lean(run), "id long, shingles array<long>")
 
 
 def prefix_postings(reps: DataFrame, k: int = K, t: int = T) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import WordHasher, mix64, text_blocks, windows, written
+from .common import WordHasher, lean, mix64, text_blocks, windows, written
 
 ORDER, MIN_DOCS = 5, 2
 #: Of the model's arrays (16 bytes an n-gram); beyond it scoring is a join.
@@ -169,7 +169,7 @@ def ngram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
                 yield pa.RecordBatch.from_arrays([pa.array([name] * int(part.sum()), pa.string()), pa.array((keys[part] & low).astype(np.int64)), pa.array(n[part]), pa.array(seen[part])], names=["lang", "gram", "n", "docs"])
 
     picked = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counted = picked.mapInArrow(run, "lang string, gram long, n long, docs long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counted = picked.mapInArrow(lean(run), "lang string, gram long, n long, docs long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     return counted.filter(F.col("docs") >= min_docs).select("lang", "gram", "n")
 
 
@@ -249,7 +249,7 @@ def hash_arrays(model: DataFrame, shards: int = SHARDS) -> DataFrame:
                 h = mix64(gram + salt)
             yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(32)).astype(np.int64) * shards >> 32), pa.array(h.view(np.int64)), batch.column(3).fill_null(float("nan")), batch.column(4)], names=["shard", "h", "logp", "backoff"])
 
-    rows = model.select("lang", "k", "gram", "logp", "backoff").mapInArrow(hashed, "shard long, h long, logp double, backoff double")
+    rows = model.select("lang", "k", "gram", "logp", "backoff").mapInArrow(lean(hashed), "shard long, h long, logp double, backoff double")
     # unsigned order: the sign bit turned
     packed = F.array_sort(F.collect_list(F.struct(F.col("h").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), F.col("logp").cast("float").alias("p"), F.col("backoff").cast("float").alias("b"))))
     sorted_ = rows.groupBy("shard").agg(packed.alias("all"))
@@ -359,7 +359,7 @@ def counted_and_scored(docs: DataFrame, model: DataFrame, id_col: str = "doc_id"
                     names=["id", "lang", *COUNTS, "log_ppl"],
                 )
 
-    out = picked.mapInArrow(run, f"id long, lang string, {', '.join(f'{c} long' for c in COUNTS)}, log_ppl double")
+    out = picked.mapInArrow(lean(run), f"id long, lang string, {', '.join(f'{c} long' for c in COUNTS)}, log_ppl double")
     if not local:
         scored = _scored_by_join(picked, model, order).withColumnRenamed("id", "_i")
         out = out.drop("log_ppl").join(scored, F.col("id").eqNullSafe(F.col("_i")), "left").drop("_i")
@@ -383,7 +383,7 @@ def _scored_by_join(picked: DataFrame, model: DataFrame, order: int) -> DataFram
                 rows = pa.array(owner[first] + lo)
                 yield pa.RecordBatch.from_arrays([ids.take(rows), langs.take(rows), pa.array(gram[first].astype(np.int64)), pa.array(n)], names=["id", "lang", "gram", "n"])
 
-    rows = picked.mapInArrow(run, "id long, lang string, gram long, n long").withColumn("sum", F.lit(0.0)).withColumn("done", F.lit(False))
+    rows = picked.mapInArrow(lean(run), "id long, lang string, gram long, n long").withColumn("sum", F.lit(0.0)).withColumn("done", F.lit(False))
     for k in range(order, -1, -1):
         level = model.filter(F.col("k") == k).select(F.col("lang").alias("_l"), F.col("gram").alias("_g"), "logp", "backoff")
         mask = F.lit((1 << 8 * k) - 1)
