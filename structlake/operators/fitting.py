@@ -9,9 +9,10 @@ numbers come to the driver, p being the count of parameters.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -111,19 +112,27 @@ def _rmse(features: DataFrame, targets: DataFrame, label: str, vector: str, targ
     return score_parameters(features, label, vector, theta, sizes).join(targets, label).agg(F.sqrt(F.avg(e * e))).first()[0]
 
 
-def fit_mlp_lm(train: DataFrame, targets: DataFrame, label: str, vector: str, target: str, sizes: list[int], test: DataFrame | None = None, steps: int = 30, patience: int = 5, damping: float = 1.0, seed: int = 0) -> tuple[np.ndarray, list[tuple[int, float, float]]]:
+def fit_mlp_lm(train: DataFrame, targets: DataFrame, label: str, vector: str, target: str, sizes: list[int], test: DataFrame | None = None, steps: int = 30, patience: int = 5, damping: float = 1.0, seed: int = 0, on_step: Callable[[int, float, float], None] | None = None) -> tuple[np.ndarray, list[tuple[int, float, float]]]:
     """(parameters, history of (step, loss, test RMSE)); the best on ``test`` is kept.
 
     A step is taken when it gains more than a small part of what the quadratic
     model foresees; damping then falls, or rises after a refusal. The fit ends
     after ``patience`` steps without a lower RMSE on ``test`` (``train`` if absent).
-    Cache ``train``: every step reads it once.
+    Cache ``train``: every step reads it once. ``on_step`` is called with every
+    row of the history as it is made.
     """
     theta = initial_parameters(sizes, seed)
     held = train if test is None else test
     a, g, loss = _normal_equations(train, targets, label, vector, target, theta, sizes)
     best, best_rmse, best_step = theta, _rmse(held, targets, label, vector, target, theta, sizes), 0
-    history = [(0, loss, best_rmse)]
+    history: list[tuple[int, float, float]] = []
+
+    def note(*row) -> None:
+        history.append(row)
+        if on_step is not None:
+            on_step(*row)
+
+    note(0, loss, best_rmse)
     for step in range(1, steps + 1):
         d = np.maximum(np.diag(a), 1e-12)
         delta = np.linalg.lstsq(a + damping * np.diag(d), -g, rcond=None)[0]
@@ -136,7 +145,7 @@ def fit_mlp_lm(train: DataFrame, targets: DataFrame, label: str, vector: str, ta
             theta, a, g, loss = theta + delta, a2, g2, loss2
             damping = damping * EASE if gain > GOOD_GAIN else damping
             rmse = _rmse(held, targets, label, vector, target, theta, sizes)
-            history.append((step, loss, rmse))
+            note(step, loss, rmse)
             if rmse < best_rmse:
                 best, best_rmse, best_step = theta, rmse, step
         else:
@@ -146,6 +155,12 @@ def fit_mlp_lm(train: DataFrame, targets: DataFrame, label: str, vector: str, ta
     return best, history
 
 
+def history_table(spark: SparkSession, history: list[tuple[int, float, float]]) -> DataFrame:
+    """step, loss, rmse, best: the history of a fit with the least RMSE so far."""
+    least = [min(h[2] for h in history[: k + 1]) for k in range(len(history))]
+    return spark.createDataFrame([(int(s), float(a), float(b), float(c)) for (s, a, b), c in zip(history, least, strict=True)], "step int, loss double, rmse double, best double")
+
+
 def train_ensemble(train: DataFrame, targets: DataFrame, label: str, vector: str, target: str, sizes: list[int], n_models: int, least_share: float = 0.9, **options) -> list[np.ndarray]:
     """Parameters of members fitted from different random starts.
 

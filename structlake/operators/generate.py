@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chem
 from ..sources.paths import kept
+from . import features, models, neighbours
 
 CELL = ("a", "b", "c", "alpha", "beta", "gamma")
 
@@ -78,6 +79,25 @@ def generate_model_structures(spark: SparkSession, elements: list[str], order: i
     return rows.select("label", (F.col("_k") + 1).alias("atom"), F.col("_p.kinds").alias("species"), (F.col("_p.at.x") * F.col("r")).alias("x"), (F.col("_p.at.y") * F.col("r")).alias("y"), F.lit(0.0).alias("z"))
 
 
+def model_structure_energies(atoms: DataFrame, spec: DataFrame, members: dict[str, list[float]], weights: dict[str, float], rcut: float, box: float, core: Column | None = None) -> DataFrame:
+    """label, natoms, energy, per_atom: made structures scored by an ensemble.
+
+    ``box`` must exceed the widest structure by ``rcut``, so that no image is a
+    neighbour. ``core`` is the repulsion of a pair as a column of its distance
+    ``r``; every neighbour of every atom adds it. ``spec`` is a small table.
+    """
+    pairs = neighbours.neighbour_pairs(atoms, rcut, box, keep=("species",))
+    triplets = neighbours.neighbour_triplets(pairs, rcut, keep=("species",))
+    parts = [features.one_body_features(atoms, spec), features.two_body_features(pairs, spec, rcut), features.three_body_features(triplets, spec, rcut)]
+    table = features.feature_table(parts, spec.count())
+    scores = models.score_ensemble(models.score_members(table, "label", "fvec", members), weights, "label")
+    out = atoms.groupBy("label").agg(F.count("*").alias("natoms")).join(scores, "label")
+    if core is not None:
+        added = neighbours.core_repulsion_energy(pairs, core).groupBy("label").agg(F.sum("core").alias("_core"))
+        out = out.join(added, "label", "left").withColumn("energy", F.col("energy") + F.coalesce("_core", F.lit(0.0)))
+    return out.select("label", "natoms", "energy", (F.col("energy") / F.col("natoms")).alias("per_atom"))
+
+
 def structure_transform(rows: DataFrame, label: str, function: Callable, schema: str) -> DataFrame:
     """``function`` maps the atoms of one structure (pandas) to 0 or more rows."""
     return rows.groupBy(label).applyInPandas(function, schema)

@@ -142,6 +142,22 @@ def walk_forward_join(data: DataFrame, models: DataFrame, gen: str = "gen") -> D
     return data.join(models.select((F.col(gen) + 1).alias(gen), *(c for c in models.columns if c != gen)), gen)
 
 
+def in_out_sample(data: DataFrame, models: DataFrame, test: int, start: int = 0, gen: str = "gen") -> DataFrame:
+    """Rows of four result sets, named by ``sample``, each beside its model.
+
+    ``in_sample``: generations ``start`` to ``test`` with the model of ``test``;
+    ``out_of_sample``: the next generation with that model; ``next_in_sample``: the
+    next generation with its own model; ``next_structures``: the next generation
+    without one. ``models`` has a row per generation, so two rows are broadcast.
+    """
+    named = lambda sample, by: F.struct(F.lit(sample).alias("sample"), F.lit(by).cast("long").alias("model_gen"))
+    after = F.array(named("out_of_sample", test), named("next_in_sample", test + 1), named("next_structures", None))
+    sets = F.when(F.col(gen) == test + 1, after).when(F.col(gen).between(start, test), F.array(named("in_sample", test)))
+    spread = data.withColumn("_s", F.explode(sets)).select(*data.columns, "_s.sample", "_s.model_gen")
+    by = models.filter(F.col(gen).isin(test, test + 1)).withColumn("_g", F.col(gen).cast("long")).drop(gen)
+    return spread.join(F.broadcast(by), F.col("model_gen") == F.col("_g"), "left").drop("_g")
+
+
 def save_models(models: DataFrame, path: str) -> None:
     """models: model_id, weight, params (array), sizes (array of layer widths, null for linear)."""
     models.select("model_id", "weight", "params", "sizes").write.parquet(path)

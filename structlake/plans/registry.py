@@ -540,6 +540,16 @@ def walk_forward_eval(spark, sf_dir):
     return models.walk_forward_join(li, fitted).groupBy("gen").agg(F.round(F.avg(F.abs(F.col("l_extendedprice") - F.col("l_quantity") * F.col("w"))), 3).alias("mae"))
 
 
+_SETS = (("in_sample", "l_linenumber BETWEEN 1 AND 3", "3"), ("out_of_sample", "l_linenumber = 4", "3"), ("next_in_sample", "l_linenumber = 4", "4"), ("next_structures", "l_linenumber = 4", "NULL"))
+
+
+@query("WITH m AS (SELECT l_linenumber AS g, sum(l_quantity * l_extendedprice) / sum(l_quantity * l_quantity) AS w FROM lineitem GROUP BY 1), s AS (" + " UNION ALL ".join(f"SELECT '{n}' AS sample, l_quantity AS q, l_extendedprice AS p, {g} AS g FROM lineitem WHERE {c}" for n, c, g in _SETS) + ") SELECT sample, count(*) AS n, round(avg(abs(p - q * w)), 3) AS mae FROM s LEFT JOIN m USING (g) GROUP BY 1")
+def in_out_sample(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("gen"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"))
+    fitted = li.groupBy("gen").agg((F.sum(F.col("q") * F.col("p")) / F.sum(F.col("q") * F.col("q"))).alias("w"))
+    return models.in_out_sample(li, fitted, 3, 1).groupBy("sample").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("p") - F.col("q") * F.col("w"))), 3).alias("mae"))
+
+
 # --- forces, bonded units, shaken copies, fits --------------------------------------------------
 
 _CORE = 0.08

@@ -49,6 +49,20 @@ def test_made_structures(spark):
     assert kept.filter("species <> 'A'").count() == 0 and kept.count() > 0
 
 
+def test_energies_of_made_structures(spark):
+    made = generate.generate_model_structures(spark, ["A", "B"], 2, 1.0, 3.0, 3)
+    spec = features.build_feature_spec(spark, ["A", "B"], [2.0], [2.0], [1.0])
+    members = {"m1": [1.0, 10.0, *[0.5] * 4, *[7.0] * 6], "m2": [0.0, 0.0, *[-0.25] * 4, *[7.0] * 6]}
+    got = {r.label: r for r in generate.model_structure_energies(made, spec, members, {"m1": 0.5, "m2": 0.5}, 2.5, 20.0, chem.core_repulsion(F.col("r"), 1.5)).collect()}
+    assert len(got) == 9
+    for kinds, one in (("A-A", 2.0), ("A-B", 11.0), ("B-B", 20.0)):
+        for r in (1.0, 2.0, 3.0):
+            pair = (2 * (1 - r / 2.5)) ** 2 if r <= 2.5 else 0.0
+            core = (2 * (1.5 / r - 1)) ** 12 if r < 1.5 else 0.0
+            row = got[f"{kinds}-{r}"]
+            assert row.energy == pytest.approx(0.5 * one + 0.125 * 2 * pair + 2 * core) and row.per_atom == row.energy / 2
+
+
 def test_cells_without_volume_stay_as_they_were(spark):
     flat = spark.createDataFrame([("f", 1.0, 1.0, 1.0, 10.0, 10.0, 170.0)], "label string, a double, b double, c double, alpha double, beta double, gamma double")
     row = generate.shaken_cells(flat, 1, 0.01).first()
@@ -75,7 +89,10 @@ def test_slopes_of_the_network_and_fit(spark):
     data = spark.createDataFrame([(k // 2, [float(a), float(b)]) for k, (a, b) in enumerate(rng.normal(size=(80, 2)))], "label long, v array<double>")
     truth = fitting.initial_parameters(sizes, 9)
     targets = fitting.score_parameters(data, "label", "v", truth, sizes).withColumnRenamed("energy", "h").persist()
-    best, history = fitting.fit_mlp_lm(data.persist(), targets, "label", "v", "h", sizes, steps=8)
+    seen: list = []
+    best, history = fitting.fit_mlp_lm(data.persist(), targets, "label", "v", "h", sizes, steps=8, on_step=lambda *row: seen.append(row))
+    log = fitting.history_table(spark, history).orderBy("step").collect()
+    assert seen == history and [r.best for r in log] == np.minimum.accumulate([h[2] for h in history]).tolist()
     assert history[-1][1] < 0.5 * history[0][1] and min(h[2] for h in history) < history[0][2]
 
 
