@@ -4,9 +4,10 @@ The language model is a modified Kneser-Ney model over the bytes of the texts
 (order 5): Spark counts the n-grams of all documents that pass the base rules,
 derives continuation counts, discounts, back-off weights and probabilities with
 DataFrame operations, and stores the model as sorted arrays of n-gram hashes in
-hash ranges. The perplexity band of a language comes from all its documents: the
-median of the distinct log perplexities and their spread, so groups of copies
-weigh as one.
+hash ranges. The perplexity bands of a language come from all its documents: the
+medians of the distinct log perplexities a byte and a word, and spreads that shrink
+with the root of a text's words, so groups of copies weigh as one and short texts
+need no wide band for all.
 
 A model whose arrays fit ``broadcast_bytes`` is broadcast and texts are scored
 where they lie. A larger one stays distributed: the n-grams of each text are
@@ -28,9 +29,9 @@ ORDER, MIN_DOCS = 5, 2
 #: Of the model's arrays (16 bytes an n-gram); beyond it scoring is a join.
 BROADCAST_BYTES = 128 << 20
 SHARDS = 64
-#: Half width of a band: robust standard deviations, and at least so many nats (a
-#: factor of two in perplexity), since short clean texts vary that much.
-UPPER_WIDTH, LOWER_WIDTH, LEAST_NATS = 8.0, 10.0, 0.75
+#: Half widths in robust standard deviations of a text's length: nats a byte, nats a
+#: word, and their difference (marks between or behind the words move them apart).
+BYTE_WIDTH, WORD_WIDTH, APART_WIDTH = 8.0, 5.0, 5.0
 SYMBOLS = "#*$%&|<>"
 FEWEST_WORDS, REPEAT_PERCENT, REPEAT_WIDTH = 10, 20, 5
 
@@ -325,7 +326,7 @@ def model_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def counted_and_scored(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per input row: id, lang, the five counts, log_ppl.
+    """One row per input row: id, lang, the five counts, n_bytes, log_ppl.
 
     log_ppl is minus the mean log probability of the text's bytes, null for ''.
     """
@@ -355,11 +356,11 @@ def counted_and_scored(docs: DataFrame, model: DataFrame, id_col: str = "doc_id"
                     lengths = np.diff(offsets)
                     value = [-s / m if m else None for s, m in zip((sums[offsets[1:]] - sums[offsets[:-1]]).tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(x.astype(np.int64)) for x in counts), pa.array(value, pa.float64())],
-                    names=["id", "lang", *COUNTS, "log_ppl"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(x.astype(np.int64)) for x in (*counts, np.diff(offsets))), pa.array(value, pa.float64())],
+                    names=["id", "lang", *COUNTS, "n_bytes", "log_ppl"],
                 )
 
-    out = picked.mapInArrow(lean(run), f"id long, lang string, {', '.join(f'{c} long' for c in COUNTS)}, log_ppl double")
+    out = picked.mapInArrow(lean(run), f"id long, lang string, {', '.join(f'{c} long' for c in COUNTS)}, n_bytes long, log_ppl double")
     if not local:
         scored = _scored_by_join(picked, model, order).withColumnRenamed("id", "_i")
         out = out.drop("log_ppl").join(scored, F.col("id").eqNullSafe(F.col("_i")), "left").drop("_i")
@@ -397,17 +398,63 @@ def _scored_by_join(picked: DataFrame, model: DataFrame, order: int) -> DataFram
     return rows.groupBy("id").agg((-F.sum(F.col("sum") * F.col("n")) / F.sum("n")).alias("log_ppl"))
 
 
+def _root():
+    return F.sqrt(F.greatest("n_words", F.lit(1)).cast("double"))
+
+
+def _per_word():
+    """Bytes of a text for each of its words."""
+    return F.col("n_bytes") / F.greatest("n_words", F.lit(1))
+
+
 def bands(scored: DataFrame) -> DataFrame:
-    """lang, low, high: log perplexities that a language's documents may have.
+    """lang, byte, word, apart (medians), byte_s, word_s, apart_s (spreads).
+
+    From the distinct values of the documents that passed the base rules. ``byte``
+    and ``word`` are nats a byte and a word. The spread of a mean over a text falls
+    with the root of its words, so deviations times that root have one spread for
+    all lengths: the distance of their quartiles, as of a normal distribution.
+    ``apart`` is the byte deviation minus the word deviation, each over its spread.
+    With m values a spread is uncertain by about 1.17 / sqrt(m), and is taken two
+    such errors wider.
+    """
+
+    def quartiles(c):
+        return F.percentile_approx(c, [0.25, 0.5, 0.75], 10000)
+
+    def spread(q, m):
+        return F.greatest((F.element_at(q, 3) - F.element_at(q, 1)) / 1.349 * (1 + 2.34 / F.sqrt(m)), F.lit(1e-6))
+
+    values = scored.filter("not base_failed and log_ppl is not null").select("lang", "n_words", "n_bytes", F.round("log_ppl", 9).alias("v")).distinct()
+    out = values.groupBy("lang").agg(F.percentile_approx("v", 0.5, 10000).alias("byte"), F.percentile_approx(F.col("v") * _per_word(), 0.5, 10000).alias("word"))
+
+    def centred(limits):
+        return values.join(F.broadcast(limits.withColumnRenamed("lang", "_l")), F.col("lang").eqNullSafe(F.col("_l")))
+
+    byte, word = (F.col("v") - F.col("byte")) * _root(), (F.col("v") * _per_word() - F.col("word")) * _root()
+    cut = centred(out).groupBy("lang", "byte", "word").agg(quartiles(byte).alias("b"), quartiles(word).alias("w"), F.count("*").alias("m"))
+    out = cut.select("lang", "byte", "word", spread("b", F.col("m")).alias("byte_s"), spread("w", F.col("m")).alias("word_s"))
+    cut = centred(out).groupBy("lang", "byte", "word", "byte_s", "word_s").agg(quartiles(byte / F.col("byte_s") - word / F.col("word_s")).alias("a"), F.count("*").alias("m"))
+    return cut.select("lang", "byte", "word", F.element_at("a", 2).alias("apart"), "byte_s", "word_s", spread("a", F.col("m")).alias("apart_s"))
+
+
+def within(scored: DataFrame, limits: DataFrame) -> DataFrame:
+    """``scored`` with low and high: log perplexities that each text may have.
 
-    From the distinct values of the documents that passed the base rules:
-    median, and the distance of the quartiles as the spread.
+    All three bands are linear in the log perplexity of a text of given length; low
+    and high bound their common part (low > high where there is none).
     """
-    values = scored.filter("not base_failed and log_ppl is not null").select("lang", F.round("log_ppl", 9).alias("v")).distinct()
-    cut = values.groupBy("lang").agg(F.percentile_approx("v", [0.25, 0.5, 0.75], 10000).alias("q"))
-    q = [F.element_at("q", i) for i in (1, 2, 3)]
-    up, down = (q[2] - q[1]) / 0.6745, (q[1] - q[0]) / 0.6745
-    return cut.select("lang", (q[1] - F.greatest(F.lit(LOWER_WIDTH) * down, F.lit(LEAST_NATS))).alias("low"), (q[1] + F.greatest(F.lit(UPPER_WIDTH) * up, F.lit(LEAST_NATS))).alias("high"))
+    far = float("inf")
+    root, per_word = _root(), _per_word()
+    slope = root / F.col("byte_s") - root * per_word / F.col("word_s")
+    at = F.col("apart") + root * F.col("byte") / F.col("byte_s") - root * F.col("word") / F.col("word_s")
+    ends = [(at + side * APART_WIDTH * F.col("apart_s")) / F.nullif(slope, F.lit(0.0)) for side in (-1, 1)]
+    # with no slope the difference is the same for all perplexities: within or not
+    level = F.when(F.abs(at) <= APART_WIDTH * F.col("apart_s"), F.lit(far)).otherwise(F.lit(-far))
+    low = F.greatest(F.col("byte") - BYTE_WIDTH * F.col("byte_s") / root, (F.col("word") - WORD_WIDTH * F.col("word_s") / root) / F.nullif(per_word, F.lit(0.0)), F.coalesce(F.least(*ends), -level))
+    high = F.least(F.col("byte") + BYTE_WIDTH * F.col("byte_s") / root, (F.col("word") + WORD_WIDTH * F.col("word_s") / root) / F.nullif(per_word, F.lit(0.0)), F.coalesce(F.greatest(*ends), level))
+    both = scored.join(F.broadcast(limits.withColumnRenamed("lang", "_l")), F.col("lang").eqNullSafe(F.col("_l")), "left")
+    return both.withColumns({"low": low, "high": high}).select(*scored.columns, "low", "high")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -422,9 +469,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     grams = written(ngram_counts(docs, text_col, lang_col, order), "ngrams")
     model = written(kneser_ney(grams, order), "kn-model")
     scored = written(counted_and_scored(docs, model, id_col, text_col, lang_col, order, broadcast_bytes), "scored")
-    limits = bands(scored).withColumnRenamed("lang", "_l")
+    out = within(scored, bands(scored))
     inside = F.coalesce((F.col("log_ppl") >= F.col("low")) & (F.col("log_ppl") <= F.col("high")), F.lit(False))
-    out = scored.join(limits, F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l")
     return out.withColumn("kept", ~F.col("base_failed") & inside).select(id_col, *COUNTS, "base_failed", "kept", "lang", "log_ppl", "low", "high")
 
 

@@ -108,3 +108,17 @@ def test_long_texts_and_edges(spark):
     assert judge(empty(spark)).count() == 0
     assert judge(odd(spark)).count() == 7
     assert quality_filter(frame(spark)).columns == frame(spark).columns
+
+
+def test_labelled_junk_goes_and_labelled_good_texts_stay(spark):
+    rng = random.Random(5)
+    lexicon = words(rng, 400).split()
+    common, rare = lexicon[:8], lexicon[8:]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else rng.choice(rare) + rng.choice(rare)
+    prose = lambda n: " ".join(word() for _ in range(n))
+    good = [(k, prose(rng.choice([12, 15, 40, 80, 200, 600])), "en") for k in range(600)]
+    sigils = [(1000 + k, " ".join(word() + rng.choice(["%%%", "$$$", "&&&"]) for _ in range(80)), "en") for k in range(10)]
+    menus = [(2000 + k, " | ".join(word() for _ in range(300)), "en") for k in range(10)]
+    kept = {r.doc_id for r in judge(spark.createDataFrame(good + sigils + menus, "doc_id long, text string, lang string")).filter("kept").collect()}
+    assert not kept & {k for k, *_ in sigils + menus}
+    assert len(kept) >= 0.99 * len(good)
