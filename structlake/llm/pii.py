@@ -3,11 +3,13 @@ r"""Personal data: candidate spans, boosted trees, calibrated thresholds.
 DataFrame functions and Spark's own trees only. Fixed patterns find the base
 spans (email, ip, card, phone), which always stay. High-recall generators
 propose further, overlapping spans: written-out addresses, national telephone
-numbers, grouped digits, dotted numbers. A gradient-boosted classifier, fitted on a
-bounded sample of candidates labelled by the base rules, scores them by format
-and context (never by the leading plus sign, so national numbers look like
-international ones). For every kind the threshold is the least probability at
-which a held-out part of the sample is at least 99 % right.
+numbers, grouped digits, dotted numbers. A gradient-boosted classifier scores them by
+format and context. Its positives are base spans without their telling format
+(addresses written out, numbers without plus or country code), its negatives proposals
+that fail a check of length, range, Luhn or ending, and numbers without a cue; all
+other proposals have no label. It is fitted on a bounded sample. For every kind the
+threshold is the least probability at which a held-out part of the sample is at least
+99 % right.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GENERATORS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({] ?(?:at|AT|@) ?[\])}] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[({] ?(?:dot|DOT|\.) ?[\])}]|\.) ?[A-Za-z0-9-]{1,63}+){1,6}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({] ?(?:at|AT|@) ?[\])}] ?[A-Za-z0-9-]{1,63}+(?:(?: ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?| (?:dot|DOT|\.) |\.)[A-Za-z0-9-]{1,63}+){1,6}+",
     "ip": r"(?<![0-9.,])[0-9]{1,3}(?: ?[.,] ?[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]{4}){2,3}[0-9]{0,3}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:00)?\(?[0-9]{1,4}\)?(?:[ ./-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9A-Za-z])",
@@ -126,11 +128,36 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _cue() -> Column:
+    return reduce(lambda a, k: F.when(F.col("kind") == k, F.regexp_like(F.lower("before"), F.lit(CUES[k]))).otherwise(a), KINDS, F.lit(False))
+
+
+def disguised(candidates: DataFrame) -> DataFrame:
+    """Base spans in the formats that the base patterns don't know, by their hash."""
+    m, way = F.col("match"), F.pmod(F.shiftright("h", 8), F.lit(3))
+    either = lambda *forms: F.when(way == 0, forms[0]).when(way == 1, forms[1]).otherwise(forms[2])
+    name, host = F.split_part(m, F.lit("@"), F.lit(1)), F.split_part(m, F.lit("@"), F.lit(2))
+    email = either(F.concat(name, F.lit(" [at] "), F.replace(host, F.lit("."), F.lit(" [dot] "))), F.concat(name, F.lit(" [at] "), F.replace(host, F.lit("."), F.lit(" dot "))), F.concat(name, F.lit(" (at) "), host))
+    ip = either(m, F.replace(m, F.lit("."), F.lit(" . ")), F.replace(m, F.lit("."), F.lit(",")))
+    card = either(m, F.regexp_replace(m, "[ -]", "."), F.regexp_replace(m, "[ -]", " "))
+    national = F.regexp_replace(m, r"^\+[0-9]{1,3}[ .-]*", "")
+    phone = either(F.regexp_replace(m, r"^\+", ""), national, national)
+    return candidates.withColumn("match", reduce(lambda a, x: F.when(F.col("kind") == x[0], x[1]).otherwise(a), zip(KINDS, (email, ip, card, phone), strict=True), m))
+
+
+def sound(kind: Column, match: Column) -> Column:
+    """Whether a proposal passes the checks of its kind, in whatever format."""
+    digits, parts = _digits(match), F.split(F.regexp_replace(match, "[^0-9]+", "."), r"\.")
+    email = F.regexp_like(match, F.lit(r"[\])}. ][A-Za-z]{2,24}$"))
+    ip = F.forall(parts, lambda x: F.coalesce(F.try_to_number(F.nullif(x, F.lit("")), F.lit("999")), F.lit(999)) <= 255)
+    card = F.when(F.length(digits).between(14, 19), luhn(digits)).otherwise(False)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).otherwise(F.length(digits).between(7, 15))
+
+
 def features(candidates: DataFrame) -> DataFrame:
     """Format and context features of candidates (kind, match, before, after)."""
     digits, seps = _digits(F.col("match")), F.regexp_replace(F.regexp_replace("match", r"^\+", ""), "[A-Za-z0-9]", "")
     num = lambda c: c.cast("double")
-    cue = reduce(lambda a, k: F.when(F.col("kind") == k, F.regexp_like(F.lower("before"), F.lit(CUES[k]))).otherwise(a), KINDS, F.lit(False))
     parts = F.split(F.regexp_replace("match", "[^0-9]+", " "), " ")
     return candidates.withColumns(
         {f"is_{k}": num(F.col("kind") == k) for k in KINDS}
@@ -144,7 +171,7 @@ def features(candidates: DataFrame) -> DataFrame:
             "luhn": num(F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)),
             "small_parts": num(F.forall(parts, lambda p: F.when(F.length(p).between(1, 3), p.cast("int") <= 255).otherwise(False))),
             "first_digit": F.coalesce(F.try_to_number(F.nullif(F.left(digits, F.lit(1)), F.lit("")), F.lit("9")).cast("double"), F.lit(-1.0)),
-            "cue": num(cue),
+            "cue": num(_cue()),
             "word_before": num(F.regexp_like("before", F.lit(r"[\p{L}\p{N}]$"))),
             "word_after": num(F.regexp_like("after", F.lit(r"^[\p{L}\p{N}]"))),
             "quote_before": num(F.regexp_like("before", F.lit(r"[\"'=]$"))),
@@ -192,9 +219,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
 
     Spans have kind, start and end in code points of the whole text, end
     exclusive. Null texts count as empty. Rows that repeat an id are kept apart
-    by their texts. ``train_rows`` bounds the labelled sample (those with the
-    least hash); with too few of a class there are no extra spans. Other columns
-    are ignored.
+    by their texts. ``train_rows`` bounds the labelled sample (those with
+    the least hash); with too few of a class there are no extra
+    spans. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
@@ -206,15 +233,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     fresh = F.filter("proposed", lambda c: ~inside(c))
     tagged = F.concat(F.transform("base", lambda s: F.struct(F.lit(True).alias("base"), s.alias("s"))), F.transform(fresh, lambda s: F.struct(F.lit(False).alias("base"), s.alias("s"))))
     candidates = found.filter((F.size("base") > 0) | (F.size("proposed") > 0)).select("id", "key", F.explode(tagged).alias("t")).select("id", "key", "t.base", "t.s.*")
-    order = F.xxhash64("key", "kind", "start")
-    sample = written(candidates.dropDuplicates(["key", "kind", "start", "end"]).withColumn("h", order).orderBy("h", "end").limit(train_rows), "pii-sample")
+    single = candidates.dropDuplicates(["key", "kind", "start", "end"]).withColumn("h", F.xxhash64("key", "kind", "start", "end"))
+    wrong = ~F.col("base") & (~sound(F.col("kind"), F.col("match")) | ((F.col("kind") != "email") & ~_cue()))
+    labelled = written(disguised(single.filter("base")).unionByName(single.filter(wrong)), "pii-labelled")
+    sample = written(labelled.orderBy("h", "end").limit(train_rows), "pii-sample")
     model = fit(sample.filter(F.pmod("h", F.lit(4)) > 0))
     least = thresholds(sample.filter(F.pmod("h", F.lit(4)) == 0), model, precision) if model else {}
     out = found.select("id", "key", slim(F.col("base")).alias("base"))
     if not least:
         return out.withColumn("extra", F.array().cast(SLIM)).select(F.col("id").alias(id_col), "base", "extra", F.col("key").alias("text_key"))
     enough = reduce(lambda a, k: F.when(F.col("kind") == k, F.col("p") >= least[k]).otherwise(a), least, F.lit(False))
-    chosen = _scored(candidates.filter("not base"), model).filter(enough)
+    chosen = _scored(candidates.filter(~F.col("base") & sound(F.col("kind"), F.col("match"))), model).filter(enough)
     per = chosen.groupBy("id", "key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("extra")).select(F.col("id").alias("_i"), F.col("key").alias("_k"), "extra")
     both = out.join(per, F.col("id").eqNullSafe(F.col("_i")) & (F.col("key") == F.col("_k")), "left")
     return both.select(F.col("id").alias(id_col), "base", F.coalesce("extra", F.array().cast(SLIM)).alias("extra"), F.col("key").alias("text_key"))

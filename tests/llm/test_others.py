@@ -227,6 +227,27 @@ def test_trees_add_spans_and_spare_clean_texts(spark):
     assert all(not got[k].extra for k in range(0, 600, 2)) and all(not got[1000 + k].extra for k in range(20))
 
 
+def planted_pii(seed):
+    """Texts and, by id, the extra spans that must be found: kind and text."""
+    rng = random.Random(seed)
+    number = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    docs, want = [], {}
+    for k in range(900):
+        name, host = f"ann{rng.randint(0, 999)}", f"host{rng.randint(0, 99)}"
+        national, address = number(), rng.choice([f"{name} [at] {host} dot org", f"{name} [at] {host} [dot] org", f"{name} [at] {host}.org"])
+        text = [f"call phone: +1 {number()} word", f"call phone: {national} word", f"write mail: {name}@{host}.org today", f"write mail: {address} today", f"order {rng.randint(100, 999)} {rng.randint(10, 99)} {rng.randint(10, 99)} {rng.randint(10, 99)} of stock"][k % 5]
+        docs.append((k, text))
+        want[k] = {1: {("phone", national)}, 3: {("email", address)}}.get(k % 5, set())
+    return docs, want
+
+
+def test_common_national_numbers_and_written_out_addresses_are_found(spark):
+    docs, want = planted_pii(10)
+    texts = dict(docs)
+    got = {r.doc_id: {(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.extra} for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_redaction_and_edges(spark):
     docs = spark.createDataFrame([(1, "é mail a@b.cd or 1.2.3.4."), (2, None), (3, "no"), (3, "no"), (None, "x a@b.cd")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.text) for r in pii.redact(docs).collect()) == sorted([("1", "é mail [email] or [ip]."), ("2", None), ("3", "no"), ("3", "no"), ("None", "x [email]")], key=str)
