@@ -7,35 +7,48 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import kept
+
 
 def hash_order(key: str, seed: int = 42) -> Column:
     """An order that every engine with MD5 can repeat."""
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
 
 
-def _numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds ``_n`` = 1, 2, ... in ``order`` without one task holding all rows.
+def numbered(rows: DataFrame, order: list[Column], name: str = "_n", by: str | None = None) -> DataFrame:
+    """Adds ``name`` = 1, 2, ... in ``order`` without one task holding all rows.
 
-    Range partitions are counted, and each partition's rows follow the rows of
-    those before it.
+    Rows are dealt to ranges of the order and written once with the number of their
+    range, so that the ranges that are counted are the ranges that are numbered. Each
+    range's rows follow those of the ranges before it. With ``by`` the count starts
+    anew in each group; a hot group spreads over several ranges. Ties of the whole
+    order take any sequence.
     """
     names = [f"_o{k}" for k in range(len(order))]
-    ranged = rows.withColumns(dict(zip(names, order, strict=True))).repartitionByRange(*names).sortWithinPartitions(*names).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*names)))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_c"))
-    starts = counts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_s"))
-    return local.join(starts, "_part").withColumn("_n", F.col("_i") + F.col("_s")).drop(*names, "_part", "_i", "_s")
+    keys = [by, *names] if by else names
+    ranged = rows.withColumns(dict(zip(names, order, strict=True))).repartitionByRange(*keys)
+    stored = kept(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
+    groups = ["_part", by] if by else ["_part"]
+    local = stored.withColumn("_i", F.row_number().over(Window.partitionBy(*groups).orderBy(*names)))
+    counts = stored.groupBy(*groups).agg(F.count("*").alias("_c"))
+    # a row for each range (and group in it): as many as there are partitions and groups
+    before = Window.partitionBy(by).orderBy("_part") if by else Window.orderBy("_part")
+    starts = counts.select(F.col("_part").alias("_p"), *([F.col(by).alias("_b")] if by else []), (F.sum("_c").over(before) - F.col("_c")).alias("_s"))
+    on = F.col("_part") == F.col("_p")
+    if by:
+        on &= F.col(by).eqNullSafe(F.col("_b"))
+    return local.join(starts, on).withColumn(name, F.col("_i") + F.col("_s")).drop(*names, "_part", "_i", "_p", "_b", "_s")
 
 
 def split_by_count(rows: DataFrame, key: str, counts: list[int], shuffle: bool = True, seed: int = 42) -> DataFrame:
     """Adds ``part`` 0, 1, ...: disjoint parts of these sizes; rows beyond are dropped."""
     edges = list(itertools.accumulate(counts))
     order = [hash_order(key, seed), F.col(key)] if shuffle else [F.col(key)]
-    numbered = _numbered(rows, order).filter(F.col("_n") <= edges[-1])
+    first = numbered(rows, order).filter(F.col("_n") <= edges[-1])
     part = F.lit(len(edges) - 1)
     for k in range(len(edges) - 2, -1, -1):
         part = F.when(F.col("_n") <= edges[k], k).otherwise(part)
-    return numbered.withColumn("part", part).drop("_n")
+    return first.withColumn("part", part).drop("_n")
 
 
 def split_by_fraction(rows: DataFrame, key: str, fractions: list[float], shuffle: bool = True, seed: int = 42) -> DataFrame:
@@ -60,7 +73,7 @@ def train_test_split(rows: DataFrame, key: str, ratio_test: float = 0.1, shuffle
 
 def slice_rows(rows: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
     """Rows first..last (from 1) in ``order``."""
-    return _numbered(rows, [F.col(c) for c in order]).filter(F.col("_n").between(first, last)).drop("_n")
+    return numbered(rows, [F.col(c) for c in order]).filter(F.col("_n").between(first, last)).drop("_n")
 
 
 def weighted_sample(rows: DataFrame, key: str, weight: str, n: int, seed: int = 42) -> DataFrame:

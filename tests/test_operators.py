@@ -120,3 +120,18 @@ def test_saved_features_check_their_version(spark, tmp_path):
     assert datasets.load_features(spark, str(tmp_path / "f")).count() == 1
     with pytest.raises(ValueError):
         datasets.load_features(spark, str(tmp_path / "f"), "2.0")
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_rows_are_numbered_once_each(spark, adaptive):
+    wide = spark.range(400_000).withColumns({"k": F.md5(F.col("id").cast("string")), "pad": F.repeat(F.lit("x"), 200), "g": F.when(F.col("id") % 3 > 0, F.col("id") % 2)})
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = datasets.numbered(wide, [F.col("k")])
+        assert got.agg(F.count("*"), F.count_distinct("_n"), F.min("_n"), F.max("_n")).first()[:] == (400_000, 400_000, 1, 400_000)
+        least = got.orderBy("_n").select("k").head(50)
+        assert least == wide.select("k").orderBy("k").head(50)
+        for r in datasets.numbered(wide, [F.col("k")], by="g").groupBy("g").agg(F.count("*").alias("c"), F.count_distinct("_n").alias("d"), F.max("_n").alias("m")).collect():
+            assert r.c == r.d == r.m
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
