@@ -1,32 +1,42 @@
 """Quality rules: counts of a text, and n-gram perplexity within its language.
 
-The language model is a modified Kneser-Ney model over the bytes of the texts
-(order 5): Spark counts the n-grams of all documents that pass the base rules,
-derives continuation counts, discounts, back-off weights and probabilities with
-DataFrame operations, and stores the model as sorted arrays of n-gram hashes in
-hash ranges. The perplexity bands of a language come from all its documents: the
-medians of the distinct log perplexities a byte and a word, and spreads that shrink
-with the root of a text's words, so groups of copies weigh as one and short texts
-need no wide band for all.
+The language model is an interpolated modified Kneser-Ney model over the bytes of
+the texts (order 5). Spark counts every n-gram of all documents that pass the base
+rules and derives continuation counts, discounts from the counts of counts of each
+order, and the totals of all contexts. The model is stored as two sorted arrays of
+hashes, n-grams with their counts and contexts with their totals and discounted
+mass.
+
+No document is predicted by itself: while a text is scored, its own counts are taken
+out of the counts, totals and discounted masses it meets, order by order (an n-gram
+that only this text has counts as never seen, and no longer counts as a
+continuation). So nothing needs to be pruned.
+
+The perplexity bands of a language come from all its documents: the medians of the
+distinct log perplexities a byte and a word, and spreads that shrink with the root of
+a text's words, so groups of copies weigh as one and short texts need no wide band for
+all.
 
 A model whose arrays fit ``broadcast_bytes`` is broadcast and texts are scored
 where they lie. A larger one stays distributed: the n-grams of each text are
-counted and joined with it, order by order.
+counted and joined with it, order by order, by the same formulas in the same
+precision.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import WordHasher, lean, mix64, text_blocks, windows, written
 
-ORDER, MIN_DOCS = 5, 2
-#: Of the model's arrays (16 bytes an n-gram); beyond it scoring is a join.
+ORDER = 5
+#: Of the model's arrays (16 bytes an n-gram, 24 a context); beyond it scoring is a join.
 BROADCAST_BYTES = 128 << 20
 SHARDS = 64
 #: Half widths in robust standard deviations of a text's length: nats a byte, nats a
@@ -127,22 +137,34 @@ def _passes(hasher: WordHasher, data: np.ndarray, offsets: np.ndarray) -> np.nda
     return (n_words >= FEWEST_WORDS) & (100 * _repeat_words(owner, hashes, n) <= REPEAT_PERCENT * n_words)
 
 
-def ngram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, min_docs: int = MIN_DOCS) -> DataFrame:
-    """lang, gram, n: highest-order counts over all texts that pass the base rules.
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal values of a sorted array begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
 
-    N-grams of fewer than ``min_docs`` documents are left out, so that no document
-    is predicted by itself alone. Each task counts its blocks before the shuffle.
-    Null languages are one language.
+
+def _numbered_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run begins, and the number of the run of each value."""
+    new = np.empty(len(keys), dtype=bool)
+    new[:1] = True
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = _runs(keys)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def ngram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
+    """lang, gram, n: counts of all n-grams of all texts that pass the base rules.
+
+    Each task counts its blocks before the shuffle. Null languages are one language;
+    an empty table gives no rows.
     """
     ship(docs.sparkSession)
-    low = np.uint64((1 << 8 * order) - 1)
-    owner_bits = np.uint64(64 - 8 * order)
-
-    def summed(keys: np.ndarray, n: np.ndarray, docs_: np.ndarray) -> tuple[np.ndarray, ...]:
-        at = np.argsort(keys)
-        keys = keys[at]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-        return keys[first], *(np.add.reduceat(x[at], first) if len(first) else x[:0] for x in (n, docs_))
+    bits, low = np.uint64(8 * order), np.uint64((1 << 8 * order) - 1)
 
     def run(batches):
         import pyarrow as pa
@@ -150,80 +172,72 @@ def ngram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         hasher = WordHasher(lower=False)
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            held = []
             names: dict = {}
+            keys, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
             for lo, hi, data, offsets in text_blocks(batch.column(1)):
                 owner, gram = _packed(data, offsets, order)
                 keep = _passes(hasher, data, offsets)[owner]
-                # by n-gram and text, then by n-gram and language
-                both = np.sort(gram[keep] << owner_bits | owner[keep].astype(np.uint64))
-                first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, dtype=np.int64)
                 number = np.array([names.setdefault(x, len(names)) for x in langs[lo:hi]], dtype=np.uint64)
-                keys = both[first] >> owner_bits | number[both[first] & (np.uint64(1) << owner_bits) - np.uint64(1)] << np.uint64(8 * order)
-                held.append(summed(keys, np.diff(np.append(first, len(both))), np.ones(len(first), dtype=np.int64)))
-            if not held:
-                continue
-            keys, n, seen = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            of = (keys >> np.uint64(8 * order)).astype(np.int64)
+                more, times = _counted(gram[keep] | number[owner[keep]] << bits)
+                both = np.concatenate([keys, more])
+                at = np.argsort(both, kind="stable")
+                first = _runs(both[at])
+                keys = both[at][first]
+                n = np.add.reduceat(np.concatenate([n, times])[at], first) if len(first) else n
+            of = (keys >> bits).astype(np.int64)
             for name, k in names.items():
                 part = of == k
-                yield pa.RecordBatch.from_arrays([pa.array([name] * int(part.sum()), pa.string()), pa.array((keys[part] & low).astype(np.int64)), pa.array(n[part]), pa.array(seen[part])], names=["lang", "gram", "n", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * int(part.sum()), pa.string()), pa.array((keys[part] & low).astype(np.int64)), pa.array(n[part])], names=["lang", "gram", "n"])
 
     picked = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counted = picked.mapInArrow(lean(run), "lang string, gram long, n long, docs long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    return counted.filter(F.col("docs") >= min_docs).select("lang", "gram", "n")
+    return picked.mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, k, gram, logp, backoff: the interpolated modified Kneser-Ney model.
+@dataclass(frozen=True)
+class Model:
+    """Written tables of a modified Kneser-Ney model of some order.
 
-    The highest order has raw counts, the lower ones the number of different
-    bytes seen before the n-gram. Discounts come from the counts of counts of
-    each language and order (0.5, 1, 1.5 where a language has too few).
-    ``backoff`` is the log weight of the n-gram as a context (a context that is no
-    n-gram itself has a null ``logp``); the lowest order
-    falls back to 256 equal bytes.
+    counts: lang, k, gram, n (the highest order has raw counts, the lower ones the
+    number of different bytes seen before the n-gram). contexts: lang, k, gram, total,
+    cut (of all n-grams of order k that begin with ``gram``, k - 1 bytes: the sum of
+    n, and of the discounts). discounts: lang, k, d1, d2, d3.
     """
-    tables = {order: counts.select("lang", "gram", "n")}
+
+    counts: DataFrame
+    contexts: DataFrame
+    discounts: DataFrame
+    order: int
+
+
+def _discount(n: Column) -> Column:
+    return F.when(n <= 0, F.lit(0.0)).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+
+
+def kneser_ney(grams: DataFrame, order: int = ORDER) -> Model:
+    """The model of all n-grams ``grams`` (lang, gram, n).
+
+    Discounts come from the counts of counts of each language and order, by the
+    usual formula (0.5, 1, 1.5 where one of the four counts of counts is nought). An
+    empty table gives an empty model.
+    """
+    tables = [grams.select("lang", F.lit(order).alias("k"), "gram", "n")]
     for k in range(order - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        tables[k] = written(tables[k + 1].groupBy("lang", suffix.alias("gram")).agg(F.count("*").alias("n")), f"kn-counts-{k}")
-    lower, model = None, []
-    for k in range(1, order + 1):
-        table = tables[k].withColumns({"context": F.shiftright("gram", 8), "c": F.least("n", F.lit(3))})
-        of = [F.sum((F.col("n") == i).cast("long")).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
-        discounts = table.groupBy("lang").agg(*of).select(
-            F.col("lang").alias("_l"),
-            *(F.when(enough, F.greatest(F.lit(0.05), F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0)))).otherwise(0.5 * i).alias(f"d{i}") for i in (1, 2, 3)),
-        )
-        d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        cut = table.join(F.broadcast(discounts), F.col("lang").eqNullSafe(F.col("_l"))).withColumn("d", F.least(d, F.col("n").cast("double")))
-        contexts = written(cut.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("cut")), f"kn-contexts-{k}")
-        on = cut["lang"].eqNullSafe(contexts["lang"]) & (cut["context"] == contexts["context"])
-        joined = cut.join(contexts, on).select(cut["lang"], "gram", "n", "d", "total", "cut")
-        if lower is None:
-            below = joined.withColumn("q", F.lit(1 / 256))
-        else:
-            suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
-            prior = lower.select(F.col("lang").alias("_l"), F.col("gram").alias("_g"), F.col("p").alias("q"))
-            below = joined.withColumn("s", suffix).join(prior, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("s") == F.col("_g")))
-        lower = written(below.select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("cut") / F.col("total") * F.col("q")).alias("p")), f"kn-{k}")
-        model.append((k, lower, contexts))
-    out = []
-    for k, table, _ in model:
-        if k < order:
-            nxt = model[k][2].select(F.col("lang").alias("_l"), F.col("context").alias("_g"), F.log(F.col("cut") / F.col("total")).alias("backoff"))
-            # contexts that begin a text never end an n-gram: they have a weight only
-            on = F.col("lang").eqNullSafe(F.col("_l")) & (F.col("gram") == F.col("_g"))
-            table = table.join(nxt, on, "full").withColumns({"lang": F.when(F.col("gram").isNull(), F.col("_l")).otherwise(F.col("lang")), "gram": F.coalesce("gram", "_g")})
-        else:
-            table = table.withColumn("backoff", F.lit(0.0))
-        out.append(table.select("lang", F.lit(k).alias("k"), "gram", F.log("p").alias("logp"), F.coalesce("backoff", F.lit(0.0)).alias("backoff")))
-    # the context of the first order, for bytes that a language never has
-    root = model[0][2].select("lang", F.lit(0).alias("k"), F.lit(0).cast("long").alias("gram"), F.lit(0.0).alias("logp"), F.log(F.col("cut") / F.col("total")).alias("backoff"))
-    return reduce(DataFrame.unionByName, [*out, root])
+        tables.append(written(tables[-1].groupBy("lang", suffix.alias("gram")).agg(F.count("*").alias("n")).select("lang", F.lit(k).alias("k"), "gram", "n"), f"kn-counts-{k}"))
+    counts = reduce(DataFrame.unionByName, tables)
+    of = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
+    parts = (F.when(enough, F.greatest(F.lit(0.05), F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0)))).otherwise(0.5 * i).alias(f"d{i}") for i in (1, 2, 3))
+    # a row for each language and order: Spark broadcasts it if its size allows
+    discounts = written(counts.groupBy("lang", "k").agg(*of).select("lang", "k", *parts), "kn-discounts")
+    cut = counts.join(_renamed(discounts), F.col("lang").eqNullSafe(F.col("_l")) & (F.col("k") == F.col("_k")))
+    contexts = cut.groupBy("lang", "k", F.shiftright("gram", 8).alias("gram")).agg(F.sum("n").alias("total"), F.sum(_discount(F.col("n"))).alias("cut"))
+    return Model(counts, written(contexts, "kn-contexts"), discounts, order)
+
+
+def _renamed(table: DataFrame) -> DataFrame:
+    return table.withColumnsRenamed({"lang": "_l", "k": "_k", "gram": "_g"})
 
 
 def _salt(lang: str | None, k: int) -> np.uint64:
@@ -235,9 +249,14 @@ def _salt(lang: str | None, k: int) -> np.uint64:
         return mix64(np.array([h], dtype=np.uint64))[0]
 
 
-def hash_arrays(model: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """shard, hashes (sorted), logp, backoff: a row per range of the hashes."""
-    ship(model.sparkSession)
+def hash_arrays(table: DataFrame, values: list[str], shards: int = SHARDS) -> DataFrame:
+    """shard, hashes (sorted), an array for each of ``values``: a row per hash range.
+
+    ``table`` has lang, k, gram and the values; of no rows come no shards.
+    """
+    ship(table.sparkSession)
+    kinds = dict(table.dtypes)
+
     def hashed(batches):
         import pyarrow as pa
 
@@ -248,20 +267,22 @@ def hash_arrays(model: DataFrame, shards: int = SHARDS) -> DataFrame:
             salt = np.array([salts[x] for x in zip(lang, k, strict=True)], dtype=np.uint64)
             with np.errstate(over="ignore"):
                 h = mix64(gram + salt)
-            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(32)).astype(np.int64) * shards >> 32), pa.array(h.view(np.int64)), batch.column(3).fill_null(float("nan")), batch.column(4)], names=["shard", "h", "logp", "backoff"])
+            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(32)).astype(np.int64) * shards >> 32), pa.array(h.view(np.int64)), *batch.columns[3:]], names=["shard", "h", *values])
 
-    rows = model.select("lang", "k", "gram", "logp", "backoff").mapInArrow(lean(hashed), "shard long, h long, logp double, backoff double")
+    rows = table.select("lang", "k", "gram", *values).mapInArrow(lean(hashed), f"shard long, h long, {', '.join(f'{v} {kinds[v]}' for v in values)}")
     # unsigned order: the sign bit turned
-    packed = F.array_sort(F.collect_list(F.struct(F.col("h").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), F.col("logp").cast("float").alias("p"), F.col("backoff").cast("float").alias("b"))))
+    packed = F.array_sort(F.collect_list(F.struct(F.col("h").bitwiseXOR(F.lit(-(1 << 63))).alias("hashes"), *values)))
     sorted_ = rows.groupBy("shard").agg(packed.alias("all"))
-    return sorted_.select("shard", F.col("all.u").alias("hashes"), F.col("all.p").alias("logp"), F.col("all.b").alias("backoff"))
+    return sorted_.select("shard", *(F.col(f"all.{c}").alias(c) for c in ["hashes", *values]))
 
 
 class HashArrays:
-    """The whole model as three arrays, found by hash through a prefix table."""
+    """Sorted hashes with arrays of values, found by hash through a prefix table."""
 
-    def __init__(self, hashes: np.ndarray, logp: np.ndarray, backoff: np.ndarray):
-        self.hashes, self.logp, self.backoff = hashes, logp, backoff
+    def __init__(self, hashes: np.ndarray, *values: np.ndarray):
+        self.hashes = hashes
+        # the last value stands for all hashes that are absent
+        self.values = [np.append(v, v.dtype.type(0)) for v in values]
         bits = max(4, int(np.ceil(np.log2(max(len(hashes), 2)))) + 1)
         self.shift = np.uint64(64 - bits)
         self.first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
@@ -290,112 +311,192 @@ class HashArrays:
             todo = todo[value < h[todo]]
         return out
 
-    def score(self, gram: np.ndarray, owner: np.ndarray, salts: np.ndarray, order: int) -> np.ndarray:
-        """Log probability of the last byte of every n-gram; salts by text and order."""
-        with np.errstate(over="ignore"):
-            at = self.find(mix64(gram + salts[:, order][owner]))
-            total = self.logp[at].astype(np.float64) if len(self.logp) else np.zeros(len(gram))
-            todo = np.flatnonzero((at < 0) | np.isnan(total))
-            total[todo] = 0.0
-            for k in range(order - 1, -1, -1):
-                if not len(todo):
-                    break
-                part, salt = gram[todo], salts[:, k][owner[todo]]
-                context = self.find(mix64((part >> np.uint64(8) & np.uint64((1 << 8 * k) - 1)) + salt))
-                if len(self.backoff):
-                    total[todo] += np.where(context >= 0, self.backoff[context], 0.0)
-                if k == 0:
-                    total[todo] += np.log(1 / 256)
-                    break
-                at = self.find(mix64((part & np.uint64((1 << 8 * k) - 1)) + salt))
-                found = self.logp[at] if len(self.logp) else np.zeros(len(at))
-                hit = (at >= 0) & ~np.isnan(found)
-                total[todo[hit]] += found[hit]
-                todo = todo[~hit]
-        return total
-
-
-def model_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted arrays of a model whose size the caller has checked."""
-    rows = written(hash_arrays(model), "hash-arrays").orderBy("shard").toArrow()
-
-    def joined(name: str, kind) -> np.ndarray:
-        return np.concatenate([np.zeros(0, dtype=kind), *(x.flatten().to_numpy(zero_copy_only=False).astype(kind) for x in rows.column(name).chunks)])
-
-    return joined("hashes", np.int64).view(np.uint64) ^ np.uint64(1 << 63), joined("logp", np.float32), joined("backoff", np.float32)
-
-
-def counted_and_scored(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per input row: id, lang, the five counts, n_bytes, log_ppl.
-
-    log_ppl is minus the mean log probability of the text's bytes, null for ''.
+    def look_up(self, h: np.ndarray) -> list[np.ndarray]:
+        """The values of each hash, nought where it is absent."""
+        at = self.find(h)
+        return [v[at] for v in self.values]
+
+
+class Scorer:
+    """Log probabilities of texts, each by the model without that text's counts."""
+
+    def __init__(self, counts: HashArrays, contexts: HashArrays, discounts: dict, order: int):
+        self.counts, self.contexts, self.discounts, self.order = counts, contexts, discounts, order
+        self.known: dict = {}
+
+    def _of(self, lang: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Salts and discounts (for counts 0 to 3) of a language by order."""
+        if lang not in self.known:
+            none = (0.5, 1.0, 1.5)
+            self.known[lang] = (
+                np.array([_salt(lang, k) for k in range(self.order + 1)], dtype=np.uint64),
+                np.array([[0.0, *self.discounts.get((lang, k), none)] for k in range(self.order + 1)]),
+            )
+        return self.known[lang]
+
+    def score(self, data: np.ndarray, offsets: np.ndarray, langs: list, counted: np.ndarray) -> np.ndarray:
+        """Sum of the log probabilities of each text's bytes.
+
+        ``counted`` tells which texts are part of the model's counts.
+        """
+        order, n_texts = self.order, len(langs)
+        owner, gram = _packed(data, offsets, order)
+        if not len(owner):
+            return np.zeros(n_texts)
+        salts, cuts = (np.stack(x) for x in zip(*map(self._of, langs), strict=True))
+        bits = np.uint64(8 * order)
+        keys, times = _counted(gram | owner.astype(np.uint64) << bits)
+        own = np.where(counted[(keys >> bits).view(np.int64)], times, 0)
+        whole, levels = (keys >> bits).view(np.int64), []
+        for k in range(order, 0, -1):
+            of = (keys >> bits).view(np.int64)
+            g = keys & np.uint64((1 << 8 * k) - 1)
+            salt, cuts_k = salts[:, k].copy(), cuts[:, k].ravel()
+            with np.errstate(over="ignore"):
+                (n,) = self.counts.look_up(mix64(g + salt[of]))
+                # keys go by text, then bytes: contexts are runs
+                first, run = _numbered_runs(keys >> np.uint64(8))
+                total, cut = self.contexts.look_up(mix64((g[first] >> np.uint64(8)) + salt[of[first]]))
+            left = np.maximum(n - own, 0)
+            of *= 4
+            kept = cuts_k[of + np.minimum(left, 3)]
+            less = cuts_k[of + np.minimum(n, 3)]
+            less -= kept
+            total -= np.add.reduceat(own, first)
+            cut -= np.add.reduceat(less, first)
+            gone = (n > left) & (left == 0)
+            low = keys & np.uint64(~((1 << 8 * order) - 1) & 0xFFFFFFFFFFFFFFFF | (1 << 8 * (k - 1)) - 1)
+            at = np.argsort(low)
+            low = low[at]
+            first, number = _numbered_runs(low)
+            lower = np.empty_like(number)
+            lower[at] = number
+            levels.append((left - kept, total, cut, run, lower))
+            keys, own = low[first], np.add.reduceat(gone[at], first, dtype=np.int64)
+        p = np.full(len(keys), 1 / 256)
+        for seen, total, cut, run, lower in reversed(levels):
+            q = p[lower]
+            # an unseen context leaves all to the order below
+            empty = total <= 0
+            total, cut = np.where(empty, 1.0, total), np.where(empty, 1.0, cut)
+            seen[empty[run]] = 0.0
+            p = (seen + cut[run] * q) / total[run]
+        return np.bincount(whole, weights=times * np.log(p), minlength=n_texts)
+
+
+def model_arrays(model: Model) -> tuple[list[np.ndarray], list[np.ndarray], dict]:
+    """The arrays and discounts of a model whose size the caller has checked."""
+
+    def collected(table: DataFrame, values: dict) -> list[np.ndarray]:
+        rows = written(hash_arrays(table, list(values)), "hash-arrays").orderBy("shard").toArrow()
+
+        def joined(name: str, kind) -> np.ndarray:
+            return np.concatenate([np.zeros(0, dtype=kind), *(x.flatten().to_numpy(zero_copy_only=False).astype(kind) for x in rows.column(name).chunks)])
+
+        return [joined("hashes", np.int64).view(np.uint64) ^ np.uint64(1 << 63), *(joined(v, kind) for v, kind in values.items())]
+
+    discounts = {(r.lang, r.k): (r.d1, r.d2, r.d3) for r in model.discounts.collect()}
+    return collected(model.counts, {"n": np.int64}), collected(model.contexts, {"total": np.int64, "cut": np.float64}), discounts
+
+
+def row_key(id_col: str, text_col: str, lang_col: str) -> Column:
+    """16 bytes that tell rows of different id, text or language apart."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    return F.unhex(F.md5(F.concat_ws("\0", part(id_col), part(lang_col), part(text_col))))
+
+
+def counted_and_scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per input row: id, lang, the five counts, n_bytes, log_ppl, base_failed.
+
+    log_ppl is minus the mean log probability of the text's bytes (9 digits), null
+    for ''. The model must hold the counts of these documents.
     """
     ship(docs.sparkSession)
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    local = model.count() * 16 <= broadcast_bytes
+    kind, order = dict(docs.dtypes)[id_col], model.order
+    picked = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    local = model.counts.count() * 16 + model.contexts.count() * 24 <= broadcast_bytes
     shared = docs.sparkSession.sparkContext.broadcast(model_arrays(model)) if local else None
+    if not local:
+        picked = picked.withColumn("key", row_key("id", "text", "lang"))
 
     def run(batches):
         import pyarrow as pa
 
         hasher, symbol = WordHasher(lower=False), _symbol_table()
-        arrays = HashArrays(*shared.value) if local else None
-        table: dict = {}
+        scorer = None
+        if local:
+            counts, contexts, discounts = shared.value
+            scorer = Scorer(HashArrays(*counts), HashArrays(*contexts), discounts, order)
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for lo, hi, data, offsets in text_blocks(batch.column(2)):
                 counts = _counts(hasher, symbol, data, offsets)
+                n_words, repeated = counts[0], counts[-1]
+                passes = (n_words >= FEWEST_WORDS) & (100 * repeated <= REPEAT_PERCENT * n_words)
                 value = [None] * (hi - lo)
                 if local:
-                    owner, gram = _packed(data, offsets, order)
-                    for x in set(langs[lo:hi]) - table.keys():
-                        table[x] = [_salt(x, k) for k in range(order + 1)]
-                    per = np.array([table[x] for x in langs[lo:hi]], dtype=np.uint64)
-                    # the texts' bytes lie one after another, so their sums do too
-                    sums = np.concatenate([[0.0], np.cumsum(arrays.score(gram, owner, per, order))])
-                    lengths = np.diff(offsets)
-                    value = [-s / m if m else None for s, m in zip((sums[offsets[1:]] - sums[offsets[:-1]]).tolist(), lengths.tolist(), strict=True)]
+                    sums = scorer.score(data, offsets, langs[lo:hi], passes)
+                    value = [-s / m if m else None for s, m in zip(sums.tolist(), np.diff(offsets).tolist(), strict=True)]
+                same = [batch.column(k).slice(lo, hi - lo) for k in (0, 1, *range(3, batch.num_columns))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(x.astype(np.int64)) for x in (*counts, np.diff(offsets))), pa.array(value, pa.float64())],
-                    names=["id", "lang", *COUNTS, "n_bytes", "log_ppl"],
+                    [*same[:2], *(pa.array(x.astype(np.int64)) for x in (*counts, np.diff(offsets))), pa.array(value, pa.float64()), *same[2:]],
+                    names=["id", "lang", *COUNTS, "n_bytes", "log_ppl", *(["key"] if not local else [])],
                 )
 
-    out = picked.mapInArrow(lean(run), f"id long, lang string, {', '.join(f'{c} long' for c in COUNTS)}, n_bytes long, log_ppl double")
+    out = picked.mapInArrow(lean(run), f"id {kind}, lang string, {', '.join(f'{c} long' for c in COUNTS)}, n_bytes long, log_ppl double{'' if local else ', key binary'}")
     if not local:
-        scored = _scored_by_join(picked, model, order).withColumnRenamed("id", "_i")
-        out = out.drop("log_ppl").join(scored, F.col("id").eqNullSafe(F.col("_i")), "left").drop("_i")
-    return out.withColumnRenamed("id", id_col).withColumn("base_failed", _failed())
+        scored = _scored_by_join(picked, model).withColumnRenamed("key", "_key")
+        out = out.drop("log_ppl").join(scored, F.col("key") == F.col("_key"), "left").drop("key", "_key")
+    return out.withColumn("log_ppl", F.round("log_ppl", 9)).withColumnRenamed("id", id_col).withColumn("base_failed", _failed())
+
 
+def _scored_by_join(picked: DataFrame, model: Model) -> DataFrame:
+    """key, log_ppl: each text's n-grams joined with the distributed model.
 
-def _scored_by_join(picked: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """Scores by joining each text's counted n-grams with the distributed model."""
+    The same steps as ``Scorer.score``: down the orders for what is left of counts,
+    totals and discounted masses, then up for the probabilities.
+    """
+    order = model.order
 
     def run(batches):
         import pyarrow as pa
 
+        hasher, bits = WordHasher(lower=False), np.uint64(8 * order)
         for batch in batches:
-            ids, langs = batch.column(0), batch.column(1)
+            keys, langs = batch.column(0), batch.column(1)
             for lo, hi, data, offsets in text_blocks(batch.column(2)):
                 owner, gram = _packed(data, offsets, order)
-                at = np.lexsort((gram, owner))
-                owner, gram = owner[at], gram[at]
-                first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])])) if len(owner) else np.zeros(0, dtype=np.int64)
-                n = np.diff(np.append(first, len(owner)))
-                rows = pa.array(owner[first] + lo)
-                yield pa.RecordBatch.from_arrays([ids.take(rows), langs.take(rows), pa.array(gram[first].astype(np.int64)), pa.array(n)], names=["id", "lang", "gram", "n"])
-
-    rows = picked.mapInArrow(lean(run), "id long, lang string, gram long, n long").withColumn("sum", F.lit(0.0)).withColumn("done", F.lit(False))
-    for k in range(order, -1, -1):
-        level = model.filter(F.col("k") == k).select(F.col("lang").alias("_l"), F.col("gram").alias("_g"), "logp", "backoff")
-        mask = F.lit((1 << 8 * k) - 1)
-        if k < order:
-            context = F.shiftright("gram", 8).bitwiseAND(mask)
-            rows = rows.join(level, F.col("lang").eqNullSafe(F.col("_l")) & (context == F.col("_g")), "left").withColumn("sum", F.when(F.col("done"), F.col("sum")).otherwise(F.col("sum") + F.coalesce("backoff", F.lit(0.0)))).drop("_l", "_g", "logp", "backoff")
-        if k == 0:
-            rows = rows.withColumn("sum", F.when(F.col("done"), F.col("sum")).otherwise(F.col("sum") + F.log(F.lit(1 / 256))))
-        else:
-            rows = rows.join(level, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("gram").bitwiseAND(mask) == F.col("_g")), "left").withColumns({"sum": F.when(F.col("done"), F.col("sum")).otherwise(F.col("sum") + F.coalesce("logp", F.lit(0.0))), "done": F.col("done") | F.col("logp").isNotNull()}).drop("_l", "_g", "logp", "backoff")
-    return rows.groupBy("id").agg((-F.sum(F.col("sum") * F.col("n")) / F.sum("n")).alias("log_ppl"))
+                both, times = _counted(gram | owner.astype(np.uint64) << bits)
+                of = (both >> bits).astype(np.int64)
+                own = np.where(_passes(hasher, data, offsets)[of], times, 0)
+                rows = pa.array(of + lo)
+                yield pa.RecordBatch.from_arrays([keys.take(rows), langs.take(rows), pa.array((both & np.uint64((1 << 8 * order) - 1)).astype(np.int64)), pa.array(own), pa.array(times)], names=["key", "lang", "gram", "own", "times"])
+
+    rows = picked.select("key", "lang", "text").mapInArrow(lean(run), "key binary, lang string, gram long, own long, times long")
+    # rows that repeat a text under one id have the same numbers
+    rows = written(rows.groupBy("key", "lang", "gram").agg(F.first("own").alias("own"), F.first("times").alias("times")), "text-grams")
+    level, levels = rows.select("key", "lang", "gram", "own"), {}
+    for k in range(order, 0, -1):
+        on = F.col("lang").eqNullSafe(F.col("_l"))
+        here = lambda t: _renamed(t.filter(F.col("k") == k)).drop("_k")  # noqa: B023, E731
+        met = level.join(here(model.counts), on & (F.col("gram") == F.col("_g")), "left").drop("_l", "_g").join(here(model.discounts), on, "left").drop("_l")
+        met = met.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("left", F.greatest(F.col("n") - F.col("own"), F.lit(0)))
+        met = met.withColumns({"kept": F.coalesce(_discount(F.col("left")), F.lit(0.0)), "was": F.coalesce(_discount(F.col("n")), F.lit(0.0)), "context": F.shiftright("gram", 8)})
+        run_ = Window.partitionBy("key", "context")
+        met = met.withColumns({"less": F.sum("own").over(run_), "less_cut": F.sum(F.col("was") - F.col("kept")).over(run_)})
+        met = met.join(here(model.contexts), on & (F.col("context") == F.col("_g")), "left")
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
+        levels[k] = written(
+            met.select("key", "lang", "gram", suffix.alias("suffix"), (F.col("left") - F.col("kept")).alias("seen"), (F.coalesce("total", F.lit(0)) - F.col("less")).alias("total"), (F.coalesce("cut", F.lit(0.0)) - F.col("less_cut")).alias("cut"), ((F.col("n") > 0) & (F.col("left") == 0)).alias("gone")),
+            f"text-grams-{k}",
+        )
+        level = levels[k].groupBy("key", "lang", F.col("suffix").alias("gram")).agg(F.count_if("gone").alias("own"))
+    p = None
+    for k in range(1, order + 1):
+        below = levels[k].withColumn("q", F.lit(1 / 256)) if p is None else levels[k].join(p, (F.col("key") == F.col("_key")) & (F.col("suffix") == F.col("_g")))
+        p = below.select(F.col("key").alias("_key"), F.col("gram").alias("_g"), F.when(F.col("total") > 0, (F.col("seen") + F.col("cut") * F.col("q")) / F.col("total")).otherwise(F.col("q")).alias("q"))
+    both = rows.join(p, (F.col("key") == F.col("_key")) & (F.col("gram") == F.col("_g")))
+    return both.groupBy("key").agg((-F.sum(F.log("q") * F.col("times")) / F.sum("times")).alias("log_ppl"))
 
 
 def _root():
@@ -425,11 +526,12 @@ def bands(scored: DataFrame) -> DataFrame:
     def spread(q, m):
         return F.greatest((F.element_at(q, 3) - F.element_at(q, 1)) / 1.349 * (1 + 2.34 / F.sqrt(m)), F.lit(1e-6))
 
-    values = scored.filter("not base_failed and log_ppl is not null").select("lang", "n_words", "n_bytes", F.round("log_ppl", 9).alias("v")).distinct()
+    values = scored.filter("not base_failed and log_ppl is not null").select("lang", "n_words", "n_bytes", F.col("log_ppl").alias("v")).distinct()
     out = values.groupBy("lang").agg(F.percentile_approx("v", 0.5, 10000).alias("byte"), F.percentile_approx(F.col("v") * _per_word(), 0.5, 10000).alias("word"))
 
     def centred(limits):
-        return values.join(F.broadcast(limits.withColumnRenamed("lang", "_l")), F.col("lang").eqNullSafe(F.col("_l")))
+        # a row for each language, written: Spark broadcasts it if its size allows
+        return values.join(written(limits, "band-centres").withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l")))
 
     byte, word = (F.col("v") - F.col("byte")) * _root(), (F.col("v") * _per_word() - F.col("word")) * _root()
     cut = centred(out).groupBy("lang", "byte", "word").agg(quartiles(byte).alias("b"), quartiles(word).alias("w"), F.count("*").alias("m"))
@@ -453,7 +555,7 @@ def within(scored: DataFrame, limits: DataFrame) -> DataFrame:
     level = F.when(F.abs(at) <= APART_WIDTH * F.col("apart_s"), F.lit(far)).otherwise(F.lit(-far))
     low = F.greatest(F.col("byte") - BYTE_WIDTH * F.col("byte_s") / root, (F.col("word") - WORD_WIDTH * F.col("word_s") / root) / F.nullif(per_word, F.lit(0.0)), F.coalesce(F.least(*ends), -level))
     high = F.least(F.col("byte") + BYTE_WIDTH * F.col("byte_s") / root, (F.col("word") + WORD_WIDTH * F.col("word_s") / root) / F.nullif(per_word, F.lit(0.0)), F.coalesce(F.greatest(*ends), level))
-    both = scored.join(F.broadcast(limits.withColumnRenamed("lang", "_l")), F.col("lang").eqNullSafe(F.col("_l")), "left")
+    both = scored.join(written(limits, "bands").withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l")), "left")
     return both.withColumns({"low": low, "high": high}).select(*scored.columns, "low", "high")
 
 
@@ -462,19 +564,26 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     A line is what ``\\n`` separates; it is a duplicate when it has a word and equals
     an earlier line. n_repeat_words are the words covered by 5-word windows that
-    the text has at least twice. Null texts have no words and fail; null languages are one language; rows that
-    repeat an id need equal texts. Other columns are ignored.
+    the text has at least twice. Null texts have no words and fail; null languages are
+    one language. Each row is judged by its own text, repeated ids or not; rows alike
+    in all three columns get the same verdict. A language without documents that pass
+    the base rules has no bands, so all its rows fail; an empty table gives no rows.
+    Other columns are ignored.
     """
     ship(docs.sparkSession)
     grams = written(ngram_counts(docs, text_col, lang_col, order), "ngrams")
-    model = written(kneser_ney(grams, order), "kn-model")
-    scored = written(counted_and_scored(docs, model, id_col, text_col, lang_col, order, broadcast_bytes), "scored")
+    scored = written(counted_and_scored(docs, kneser_ney(grams, order), id_col, text_col, lang_col, broadcast_bytes), "scored")
     out = within(scored, bands(scored))
     inside = F.coalesce((F.col("log_ppl") >= F.col("low")) & (F.col("log_ppl") <= F.col("high")), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & inside).select(id_col, *COUNTS, "base_failed", "kept", "lang", "log_ppl", "low", "high")
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """``docs`` without the rows that ``judge`` rejects."""
-    keep = judge(docs, id_col, text_col, lang_col, **options).filter("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    """``docs`` without the rows that ``judge`` rejects; all columns stay.
+
+    Rows that repeat an id are judged each by its own text.
+    """
+    key = row_key(id_col, text_col, lang_col)
+    judged = judge(docs.select(key.alias("__key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "__key", **options)
+    keep = judged.filter("kept").select("__key").distinct()
+    return docs.join(keep, key == F.col("__key"), "left_semi")

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -15,80 +16,96 @@ def counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-    many = {g for g in grams if grams.count(g) > 1} if len(grams) < 500 else {g for g, n in __import__("collections").Counter(grams).items() if n > 1}
+    many = {g for g in grams if grams.count(g) > 1} if len(grams) < 500 else {g for g, n in Counter(grams).items() if n > 1}
     covered = {i + k for i, g in enumerate(grams) if g in many for k in range(5)}
     failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed
 
 
-def brute_model(some, order):
-    """Probabilities of the interpolated model by the textbook, per language."""
+def brute_counts(data, order):
+    """n-gram counts by order: raw ones at the top, continuation counts below."""
+    n = {k: Counter() for k in range(1, order + 1)}
+    for d in data:
+        n[order].update(d[i - order + 1 : i + 1] for i in range(order - 1, len(d)))
+    for k in range(order - 1, 0, -1):
+        n[k].update(g[1:] for g in n[k + 1])
+    return n
+
+
+def brute_discounts(n):
     out = {}
-    for lang in {g for _, g in some}:
-        data = [b"\0" * (order - 1) + (t or "").encode() for t, g in some if g == lang and not counts(t)[-1]]
-        n = {k: {} for k in range(1, order + 1)}
-        seen = {}
-        for j, d in enumerate(data):
-            for i in range(order - 1, len(d)):
-                g = d[i - order + 1 : i + 1]
-                n[order][g] = n[order].get(g, 0) + 1
-                seen.setdefault(g, set()).add(j)
-        n[order] = {g: v for g, v in n[order].items() if len(seen[g]) > 1}
-        for k in range(order - 1, 0, -1):
-            for g in n[k + 1]:
-                n[k][g[1:]] = n[k].get(g[1:], 0) + 1
-        p = {}
-        for k in range(1, order + 1):
-            c = [sum(v == i for v in n[k].values()) for i in range(5)]
-            if all(c[1:]):
-                y = c[1] / (c[1] + 2 * c[2])
-                d = [0] + [max(0.05, i - (i + 1) * y * c[i + 1] / c[i]) for i in (1, 2, 3)]
-            else:
-                d = [0, 0.5, 1, 1.5]
-            total, cut = {}, {}
-            for g, v in n[k].items():
-                total[g[:-1]] = total.get(g[:-1], 0) + v
-                cut[g[:-1]] = cut.get(g[:-1], 0) + min(d[min(v, 3)], v)
-            for g, v in n[k].items():
-                h = g[:-1]
-                p[g] = (v - min(d[min(v, 3)], v)) / total[h] + cut[h] / total[h] * (p[g[1:]] if k > 1 else 1 / 256)
-            for h in total:
-                p["weight", h] = cut[h] / total[h]
-        out[lang] = p
+    for k, table in n.items():
+        c = [sum(v == i for v in table.values()) for i in range(5)]
+        y = c[1] / (c[1] + 2 * c[2]) if all(c[1:]) else 0
+        out[k] = [0, *(max(0.05, i - (i + 1) * y * c[i + 1] / c[i]) for i in (1, 2, 3))] if all(c[1:]) else [0, 0.5, 1, 1.5]
     return out
 
 
-def brute_ppl(p, text, order):
-    d = b"\0" * (order - 1) + text.encode()
-    total = 0.0
-    for i in range(order - 1, len(d)):
-        g, w = d[i - order + 1 : i + 1], 0.0
-        while g and g not in p:
-            w += math.log(p.get(("weight", g[:-1]), 1))
-            g = g[1:]
-        total += w + math.log(p[g] if g else 1 / 256)
-    return -total / (len(d) - order + 1)
+def padded(text, order):
+    return b"\0" * (order - 1) + text.encode()
+
+
+def brute_ppl(n, cuts, text, order):
+    """Log perplexity by the textbook: interpolated, top order first."""
+    total, cut = Counter(), Counter()
+    for k in n:
+        for g, v in n[k].items():
+            total[g[:-1], k] += v
+            cut[g[:-1], k] += cuts[k][min(v, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        k, h = len(g), (g[:-1], len(g))
+        if not total[h]:
+            return p(g[1:])
+        return (n[k][g] - cuts[k][min(n[k][g], 3)] + cut[h] * p(g[1:])) / total[h]
+
+    d = padded(text, order)
+    return -sum(math.log(p(d[i - order + 1 : i + 1])) for i in range(order - 1, len(d))) / (len(d) - order + 1)
 
 
 @pytest.mark.parametrize("limit", [quality.BROADCAST_BYTES, 0])
 def test_equals_brute_force(spark, limit):
-    some = [r for r in rows() if not r[1] or len(r[1]) < 5000]
-    got = {r.doc_id: r for r in judge(frame(spark, some), order=4, broadcast_bytes=limit).collect()}
-    model = brute_model([(r[1], r[2]) for r in some], 4)
+    order, some = 4, [r for r in rows() if not r[1] or len(r[1]) < 5000]
+    got = {r.doc_id: r for r in judge(frame(spark, some), order=order, broadcast_bytes=limit).collect()}
+    used = {lang: [r for r in some if r[2] == lang and not counts(r[1])[-1]] for lang in {r[2] for r in some}}
+    cuts = {lang: brute_discounts(brute_counts([padded(r[1], order) for r in of], order)) for lang, of in used.items()}
     for i, text, lang, *_ in some:
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == counts(text), i
         if text:
-            assert r.log_ppl == pytest.approx(brute_ppl(model[lang], text, 4), rel=1e-4), i
+            others = brute_counts([padded(x[1], order) for x in used[lang] if x[0] != i], order)
+            assert r.log_ppl == pytest.approx(brute_ppl(others, cuts[lang], text, order), abs=2e-9), i
         else:
             assert r.log_ppl is None and not r.kept
 
 
-def test_order_five_counts_everything(spark):
-    some = [(r[1], r[2]) for r in rows()]
-    model = {(r.lang, r.gram): r.logp for r in kneser_ney(ngram_counts(frame(spark), order=5), 5).filter("k = 5 and logp is not null").collect()}
-    want = brute_model(some, 5)
-    assert len(model) == sum(isinstance(g, bytes) and len(g) == 5 for p in want.values() for g in p)
+def test_every_ngram_is_counted_and_discounts_are_estimated(spark):
+    used = {lang: [padded(r[1], 5) for r in rows() if r[2] == lang and not counts(r[1])[-1]] for lang in {r[2] for r in rows()}}
+    want = {lang: brute_counts(data, 5) for lang, data in used.items() if data}
+    model = kneser_ney(ngram_counts(frame(spark), order=5), 5)
+    got = {(r.lang, r.k, r.gram): r.n for r in model.counts.collect()}
+    assert got == {(lang, k, int.from_bytes(g, "big")): v for lang, n in want.items() for k in n for g, v in n[k].items()}
+    cuts = {(r.lang, r.k): [0, r.d1, r.d2, r.d3] for r in model.discounts.collect()}
+    for lang, n in want.items():
+        for k, d in brute_discounts(n).items():
+            assert cuts[lang, k] == pytest.approx(d)
+    assert sum(v == 1 for v in want["en"][5].values()) > 0 and cuts["en", 5] != [0, 0.5, 1, 1.5]
+
+
+def test_both_ways_give_the_same_verdicts(spark):
+    docs = frame(spark).unionByName(frame(spark, [(r[0], "other words under the same id, ten of them at least here", *r[2:]) for r in rows()[20:30]]))
+    sides = [sorted(map(str, judge(docs, broadcast_bytes=limit).collect())) for limit in (quality.BROADCAST_BYTES, 0)]
+    assert sides[0] == sides[1]
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    rng = random.Random(3)
+    lexicon = words(rng, 60).split()
+    docs = [(k, " ".join(rng.choice(lexicon) for _ in range(80)), "en", "s") for k in range(100)] + [(5, "too short", "en", "t"), (None, "short too", "en", "t")]
+    got = quality_filter(spark.createDataFrame(docs, "doc_id long, text string, lang string, log_ppl string"))
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == list(range(100))
 
 
 def test_rejects_noise_and_keeps_prose(spark):
