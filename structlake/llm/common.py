@@ -19,11 +19,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Where it is unset (tests on
-    one machine) a temporary folder is made and set.
+    ``spark.checkpoint.dir`` names it. Where it is unset, a temporary folder is made
+    and set in local mode (tests); on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="structlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
