@@ -36,7 +36,21 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrivals = docs.withColumn("arrival", F.pmod("doc_id", F.lit(8)))
     store = sharding.shard(arrivals, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", by="arrival")
     kept = store.read(arrivals.schema)
-    return kept.select("doc_id", "arrival", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+    def told(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)"))).first())
+
+    first = len(store.runs(1)) if store.version() else 0
+    whole = not first or told(store.read(arrivals.schema, 1)) == told(kept)
+    return kept.select(
+        "doc_id",
+        "arrival",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"),
+        F.lit(first).cast("long").alias("n_arrivals"),
+        F.lit(len(store.runs()) < first).alias("compacted"),
+        F.lit(whole).alias("first_version_whole"),
+    )
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
