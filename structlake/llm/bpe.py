@@ -1,19 +1,21 @@
-"""Byte-level BPE encoding and decoding by merge replay over a block's words.
-
-A word's tokens depend on the word alone, so a block of the corpus (tens of MB of
-text) is reduced to its distinct words. All their bytes stand in one array with
-links to the neighbours. An inverted index holds, for each rank, the positions
-of the token pairs that merge into it; a heap yields the ranks in order. One
-step merges all live positions of a rank and looks up only the pairs that the
-merges touched. Documents are then put together from their words. The corpus is
-never shuffled: Spark deals the blocks to tasks, and a lost task is redone alone.
+"""Byte-level BPE encoding and decoding by merge replay over the corpus's words.
+
+A word's tokens depend on the word alone. A first pass splits the texts and names the
+words of each block of the corpus (some MB of text) by numbers; documents become lists
+of numbers. The blocks' words meet by their spelling, so every distinct word of the
+corpus is replayed in one place. There all bytes of the words stand in one array with
+links to the neighbours. An inverted index holds, for each rank, the positions of the
+token pairs that merge into it; a heap yields the ranks in order. One step merges all
+live positions of a rank and looks up only the pairs that the merges touched. The words'
+tokens go back to their blocks, where documents are put together. Texts are never
+shuffled, only the numbers; a frequent word is one row a block.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -22,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import lean
+from .common import lean, written
 
 #: Unicode's White_Space characters, as inside of a character class.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-BLOCK_BYTES = 16 << 20
+#: Text of a block, and rows of words that are replayed at once.
+BLOCK_BYTES, REPLAY_ROWS = 8 << 20, 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -175,17 +178,15 @@ def replay(ranks: Ranks, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids, starts
 
 
-def encode_block(ranks: Ranks, pattern: str, texts: list[str]) -> tuple[list[np.ndarray], list[bytes], np.ndarray, np.ndarray]:
-    """Per text its word numbers; the distinct words; their ids and starts."""
+def split_words(pattern: str, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+    """Per text its words' numbers, and the distinct words."""
     any_text, ascii_text = compiled(pattern)
     number: dict[str, int] = {}
     setdefault, per = number.setdefault, []
     for text in texts:
         found = (ascii_text if ascii_text is not None and text.isascii() else any_text).findall(text)
-        per.append(np.array([setdefault(w, len(number)) for w in found], dtype=np.int64))
-    words = [w.encode("utf-8") for w in number]
-    ids, starts = replay(ranks, words)
-    return per, words, ids, starts
+        per.append(np.array([setdefault(w, len(number)) for w in found], dtype=np.int32))
+    return per, list(number)
 
 
 def _texts(batches, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list, list[str]]]:
@@ -202,54 +203,138 @@ def _texts(batches, id_col: str, text_col: str, block_bytes: int) -> Iterator[tu
         yield keys, texts
 
 
-def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256.
+def numbered_words(docs: DataFrame, pattern: str, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of documents (block, id, numbers) and of words (block, pos, word).
 
-    Null texts count as empty and have no tokens. Every row stands for itself,
-    repeated or not; other columns are ignored. The decoded bytes come from the
-    ids. Long texts are encoded whole.
+    ``numbers`` are the positions of a document's words among its block's words, as
+    little-endian integers of two bytes, or four where a block has more words. ``pos``
+    is null for documents.
     """
-    ship(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        ranks = load_ranks(ranks_path)
+        block = TaskContext.get().partitionId() << 32
         for keys, texts in _texts(batches, id_col, text_col, block_bytes):
-            per, words, ids, starts = encode_block(ranks, pattern, texts)
-            count = np.diff(starts)
-            flat, at = ids.tolist(), starts.tolist()
-            decimal = [",".join(map(str, flat[i:j])).encode() for i, j in zip(at, at[1:])]
-            decoded = [b"".join(map(ranks.token.__getitem__, flat[i:j])) for i, j in zip(at, at[1:])]
-            out = {"id": [], "n": [], "i": [], "d": []}
-            for key, numbers in zip(keys, per, strict=True):
-                some = numbers.tolist()
-                out["id"].append(key)
-                out["n"].append(int(count[numbers].sum()))
-                out["i"].append(hashlib.sha256(b",".join(map(decimal.__getitem__, some))).hexdigest())
-                out["d"].append(hashlib.sha256(b"".join(map(decoded.__getitem__, some))).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["i"], pa.string()), pa.array(out["d"], pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            per, words = split_words(pattern, texts)
+            kind = "<u2" if len(words) <= 1 << 16 else "<i4"
+            n = len(keys)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * n, pa.int64()), pa.array(keys, pa.int64()), pa.array([x.astype(kind).tobytes() for x in per], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())],
+                names=["block", "id", "numbers", "pos", "word"],
+            )
+            n = len(words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.string())],
+                names=["block", "id", "numbers", "pos", "word"],
+            )
+            block += 1
 
     picked = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return picked.mapInArrow(lean(run), f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return picked.mapInArrow(lean(run), "block long, id long, numbers binary, pos int, word string")
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """id and ids (array of int) of every row; null texts have no ids."""
-    ship(docs.sparkSession)
+def replayed(words: DataFrame, ranks_path: str, rows: int = REPLAY_ROWS) -> DataFrame:
+    """block, pos, ids of every row of ``words`` (block, pos, word).
+
+    Equal words come together, in order, so each is replayed once (twice where its
+    rows are cut by the end of a batch of ``rows``).
+    """
 
     def run(batches):
         import pyarrow as pa
 
         ranks = load_ranks(ranks_path)
-        for keys, texts in _texts(batches, id_col, text_col, block_bytes):
-            per, _, ids, starts = encode_block(ranks, pattern, texts)
-            for k in range(0, len(keys), 256):
-                rows = [np.concatenate([ids[starts[w] : starts[w + 1]] for w in p.tolist()]) if len(p) else ids[:0] for p in per[k : k + 256]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 256], pa.int64()), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    picked = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return picked.mapInArrow(lean(run), f"{id_col} long, ids array<int>")
+        def done(held: list) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            spelled = table.column("word").chunk(0).dictionary_encode()
+            ids, starts = replay(ranks, [w.encode("utf-8") for w in spelled.dictionary.to_pylist()])
+            each = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            return pa.RecordBatch.from_arrays([table.column("block").chunk(0), table.column("pos").chunk(0), each.take(spelled.indices)], names=["block", "pos", "ids"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield done(held)
+                held, n = [], 0
+        if n:
+            yield done(held)
+
+    # as many partitions as set, so that a small dictionary is shared out too
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = words.select("block", "pos", "word").repartition(parts, "word").sortWithinPartitions("word")
+    return dealt.mapInArrow(lean(run), "block long, pos int, ids array<int>")
+
+
+def _documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, block_bytes: int, schema: str, made: Callable) -> DataFrame:
+    """``made`` (ids of documents, their word numbers, flat token ids, starts by word) for every block."""
+    ship(docs.sparkSession)
+    table = written(numbered_words(docs, pattern, id_col, text_col, block_bytes), "bpe-blocks")
+
+    def run(key, of_block, tokens):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = tokens.column("ids").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+        lists = lists.take(pc.sort_indices(tokens.column("pos")))
+        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        kind = "<u2" if len(lists) <= 1 << 16 else "<i4"
+        numbers = [np.frombuffer(x, dtype=kind).astype(np.int64) for x in of_block.column("numbers").to_pylist()]
+        return made(of_block.column("id").to_pylist(), numbers, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), starts)
+
+    words = replayed(table.filter("pos is not null"), ranks_path)
+    left = table.filter("pos is null").select("block", "id", "numbers").groupBy("block")
+    return left.cogroup(words.groupBy("block")).applyInArrow(run, schema)
+
+
+def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256.
+
+    Null texts count as empty and have no tokens. Every row stands for itself,
+    repeated or not; other columns are ignored; an empty table gives no rows. The
+    decoded bytes come from the ids. Long texts are encoded whole.
+    """
+
+    def made(keys: list, numbers: list[np.ndarray], flat: np.ndarray, starts: np.ndarray):
+        import pyarrow as pa
+
+        token = load_ranks(ranks_path).token
+        count, ids, at = np.diff(starts), flat.tolist(), starts.tolist()
+        decimal = [",".join(map(str, ids[i:j])).encode() for i, j in zip(at, at[1:])]
+        decoded = [b"".join(map(token.__getitem__, ids[i:j])) for i, j in zip(at, at[1:])]
+        n, told, read = [], [], []
+        for some in numbers:
+            n.append(int(count[some].sum()))
+            words = some.tolist()
+            told.append(hashlib.sha256(b",".join(map(decimal.__getitem__, words))).hexdigest())
+            read.append(hashlib.sha256(b"".join(map(decoded.__getitem__, words))).hexdigest())
+        return pa.table([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(told, pa.string()), pa.array(read, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _documents(docs, ranks_path, pattern, id_col, text_col, block_bytes, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string", made)
+
+
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """id and ids (array of int) of every row; null texts have no ids.
+
+    Repeated rows stay apart; other columns are ignored; an empty table gives no rows.
+    """
+
+    def made(keys: list, numbers: list[np.ndarray], flat: np.ndarray, starts: np.ndarray):
+        import pyarrow as pa
+
+        each = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat.astype(np.int32)))
+        taken = [each.take(pa.array(some)).flatten() for some in numbers]
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in taken])]).astype(np.int32)
+        values = pa.concat_arrays(taken) if taken else pa.array([], pa.int32())
+        return pa.table([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(edges), values)], names=[id_col, "ids"])
+
+    return _documents(docs, ranks_path, pattern, id_col, text_col, block_bytes, f"`{id_col}` long, ids array<int>", made)
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
