@@ -39,6 +39,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of keys of at most this size is broadcast.
+KEY_BYTES, KEY_SLOTS = 16 << 20, 16
+
+
+def matching(rows: DataFrame, keys: DataFrame, on: list[str], salt: Column, broadcast_bytes: int = KEY_BYTES) -> DataFrame:
+    """The rows whose key is one of ``keys`` (a written table without repeats).
+
+    Few keys are broadcast (64 bytes each are reckoned). Many are sent once for each
+    of several slots, and the rows of a key are dealt to the slots by ``salt``, so
+    that a key with a large part of the rows is spread.
+    """
+    if keys.count() * 64 <= broadcast_bytes:
+        return rows.join(F.broadcast(keys), on, "left_semi")
+    spread = keys.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(KEY_SLOTS - 1))))
+    return rows.withColumn("_slot", F.pmod(F.xxhash64(salt), F.lit(KEY_SLOTS)).cast("int")).join(spread, [*on, "_slot"], "left_semi").drop("_slot")
+
+
 def lean(run):
     """A function over Arrow batches whose worker gives freed memory back at the end.
 

@@ -1,11 +1,10 @@
 """Line dedup by distinct-site spread (DataFrame functions only).
 
-A line that stands on many sites is boilerplate. A first aggregation drops lines
-seen on one site only (least and greatest site hash agree), which are nearly
-all. For the rest, HyperLogLog sketches of the sites are built per line hash and
-merged by aggregation; lines whose estimate is near the threshold get an exact
-distinct count. The lines found go back to their documents as hashes; texts
-move once.
+A line that stands on many sites is boilerplate. One aggregation over all lines
+builds a HyperLogLog sketch of the sites of each line hash; tasks sketch before the
+shuffle and sketches merge after it, so a line on every site is a row a task. Lines
+whose estimate is near the threshold, and only these, get an exact distinct count.
+The lines found go back to their documents as hashes; texts move once.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import matching, written
 
 MIN_SITES, MIN_CHARS, LG_K = 5, 20, 12
 
@@ -34,17 +33,15 @@ def boilerplate_lines(docs: DataFrame, text_col: str, site_col: str, min_sites:
     Null sites are one site. ``sites`` is exact near the threshold and an
     estimate far above it.
     """
-    rows = docs.select(F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit(""))).alias("site"), F.explode(_lines(F.col(text_col))).alias("text"))
-    keyed = rows.filter(F.char_length(F.trim("text")) >= min_chars).select("site", _key(F.col("text")).alias("k")).select("site", "k.h", "k.g")
-    # one row for each line and task, so a hot line costs as little as any
-    spread = keyed.groupBy("h", "g").agg(F.min("site").alias("one"), F.max("site").alias("two")).filter("one <> two").select("h", "g")
-    seen = written(keyed.distinct().join(spread, ["h", "g"]), "line-sites")
-    sketched = seen.groupBy("h", "g", F.pmod("site", F.lit(16)).alias("slot")).agg(F.hll_sketch_agg("site", lg_k).alias("s"))
-    estimate = sketched.groupBy("h", "g").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("sites"))
+    rows = docs.select(F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit(""))).alias("site"), F.xxhash64(text_col).alias("doc"), F.explode(_lines(F.col(text_col))).alias("text"))
+    keyed = rows.filter(F.char_length(F.trim("text")) >= min_chars).select("site", "doc", _key(F.col("text")).alias("k")).select("site", "doc", "k.h", "k.g")
+    # least and greatest tell lines of one site, nearly all, without an estimate
+    sketched = keyed.groupBy("h", "g").agg(F.min("site").alias("one"), F.max("site").alias("two"), F.hll_sketch_agg("site", lg_k).alias("s")).filter("one <> two" if min_sites > 1 else "true")
     slack = max(1.0, 5 * 1.04 / 2 ** (lg_k / 2) * min_sites)
-    likely = written(estimate.filter(F.col("sites") >= min_sites - slack), "line-estimates")
+    likely = written(sketched.select("h", "g", F.hll_sketch_estimate("s").alias("sites")).filter(F.col("sites") >= min_sites - slack), "line-estimates")
     near = likely.filter(F.col("sites") <= min_sites + slack).select("h", "g")
-    exact = seen.join(near, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.count_distinct("site").alias("sites"))
+    # partial distinct counts leave a row for each near line and site in a task
+    exact = matching(keyed, near, ["h", "g"], F.col("doc")).groupBy("h", "g").agg(F.count_distinct("site").alias("sites"))
     far = likely.filter(F.col("sites") > min_sites + slack)
     return exact.filter(F.col("sites") >= min_sites).unionByName(far)
 
@@ -60,7 +57,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     bad = written(boilerplate_lines(docs, text_col, site_col, min_sites, min_chars, lg_k), "boilerplate").select("h", "g")
     hashed = docs.select(F.col(id_col).alias("_id"), F.explode(_lines(F.col(text_col))).alias("line")).filter(F.char_length(F.trim("line")) >= min_chars)
-    hits = hashed.select("_id", _key(F.col("line")).alias("k")).select("_id", "k.h", "k.g").join(bad, ["h", "g"], "left_semi")
+    hits = hashed.select("_id", _key(F.col("line")).alias("k")).select("_id", "k.h", "k.g")
+    hits = matching(hits, bad, ["h", "g"], F.col("_id"))
     per = hits.groupBy("_id").agg(F.collect_set(F.struct("h", "g")).alias("_bad"))
     lines = _lines(F.col(text_col))
     joined = docs.select(F.col(id_col), F.col(text_col)).join(per, F.col(id_col).eqNullSafe(F.col("_id")), "left")
