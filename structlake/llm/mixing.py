@@ -87,6 +87,19 @@ def budget_thresholds(sizes: DataFrame, budgets: DataFrame, level_bits: int = LE
     return reduce(DataFrame.unionByName, done)
 
 
+def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: int, level_bits: int) -> DataFrame:
+    """_id, source, size, source_size, target, copies of every row."""
+    sizes = written(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash")), "mix-sizes")
+    whole = F.when(F.col("full"), F.lit(most)).otherwise(F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    targets = written(source_targets(sizes, weights, share, float(most)).withColumn("whole", whole.cast("long")), "mix-targets")
+    budgets = targets.select("source", F.when(F.col("full"), 0.0).otherwise(F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
+    limits = budget_thresholds(sizes, budgets, level_bits)
+    plan = targets.alias("t").join(limits.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left").select("t.*", "threshold")
+    copies = F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
+    joined = sizes.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    return joined.select("d._id", "d.source", "size", F.col("source_size").cast("long"), "target", copies.cast("long").alias("copies"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2, level_bits: int = LEVEL_BITS) -> DataFrame:
     """One row per input row: id, size, source_size, target, copies, taken.
 
@@ -96,21 +109,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Rows with the same id have the same hash and are taken together. Other
     columns are ignored. The same rows give the same mix on every run.
     """
-    sizes = written(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash")), "mix-sizes")
-    whole = F.when(F.col("full"), F.lit(most)).otherwise(F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    targets = written(source_targets(sizes, weights, share, float(most)).withColumn("whole", whole.cast("long")), "mix-targets")
-    budgets = targets.select("source", F.when(F.col("full"), 0.0).otherwise(F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
-    limits = budget_thresholds(sizes, budgets, level_bits)
-    plan = targets.alias("t").join(limits.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left").select("t.*", "threshold")
-    copies = F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    joined = sizes.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    return joined.select(F.col("d._id").alias(id_col), "size", F.col("source_size").cast("long"), "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    got = _copies(docs, id_col, text_col, source_col, weights, share, most, level_bits)
+    return got.select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as its ``copies``."""
-    taken = mix(docs, id_col, **options).filter("copies > 0").select(F.col(id_col).alias("__id"), F.col("copies").cast("int").alias("__copies")).distinct()
-    times = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id"))).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2, level_bits: int = LEVEL_BITS) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as its ``copies``.
+
+    Rows with the same id and source are taken together; one id in two sources is
+    two documents. All columns stay; an empty table gives no rows.
+    """
+    got = _copies(docs, id_col, text_col, source_col, weights, share, most, level_bits)
+    taken = got.filter("copies > 0").select(F.col("_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").cast("int").alias("__copies")).distinct()
+    times = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return times.select(*docs.columns)
 
 
