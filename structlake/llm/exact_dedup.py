@@ -58,6 +58,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.min(F.struct((-F.col("_len")).alias("l"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i"))).alias("_best"),
         F.count("*").alias("_size"),
     )
+    # written, so that both sides of the join are dealt anew and Spark can split a hot recipe
+    groups = written(groups, "recipe-groups")
     left = recipes.alias("r").join(groups.alias("g"), F.col("r._ids") == F.col("g._ids"))
     return left.select(
         F.col("r._id").alias(id_col),
@@ -83,6 +85,12 @@ def _verified(cut: DataFrame, recipes: DataFrame, dictionary: DataFrame, shared:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops; all columns stay."""
-    keep = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    """``docs`` without the rows that ``exact_groups`` drops; all columns stay.
+
+    Rows that repeat an id are told apart by their texts; of rows alike in both, all
+    stay or go. An empty table gives no rows.
+    """
+    text = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    key = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), text.alias("t"))
+    keep = exact_groups(docs.select(key.alias("__key"), F.col(text_col).alias("text")), "__key").filter("kept").select("__key").distinct()
+    return docs.join(keep, key.eqNullSafe(F.col("__key")), "left_semi")
