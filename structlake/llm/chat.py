@@ -1,10 +1,11 @@
 r"""Chat formatting over reply trees.
 
-Messages point to the message they answer. Iterative self-joins by pointer
-doubling enumerate the root-to-leaf paths: after round k every leaf is joined
-with its 2^k nearest ancestors, so a chain of n messages takes log2(n) rounds.
-Branches are ranked by their summed score within their tree; each chosen path
-becomes one conversation.
+Messages point to the message they answer. Iterative self-joins by pointer doubling
+give every message the summed score and the length of its path to the root: after
+round k it knows its 2^k-th ancestor, so a chain of n messages takes log2(n) rounds of
+one row a message. Leaves are ranked by these sums within their tree. Only the chosen
+leaves are then expanded to their paths, by the same jumps; each becomes one
+conversation.
 
 A turn is ``### role: text </turn>`` and a line feed. Inside roles and texts a
 backslash goes before every backslash, every ``#`` and ``</turn>`` (and before
@@ -48,29 +49,35 @@ def reply_paths(messages: DataFrame, tree_col: str, id_col: str, parent_col: str
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     size = nodes.groupBy("tree").agg(F.count("*").alias("size")).select(F.col("tree").alias("_t"), "size")
     linked = nodes.join(present, same("tree", "_t") & (F.col("up") == F.col("_n")), "left").select("tree", "node", F.col("_n").alias("up"), "score")
-    nodes = written(linked.join(size, same("tree", "_t")).drop("_t"), "messages")
+    # score and length of the path up to, and without, the ancestor ``up``
+    nodes = written(linked.join(size, same("tree", "_t")).select("tree", "node", "up", "score", F.lit(1).cast("long").alias("length"), "size"), "messages")
     parents = nodes.filter("up is not null").select(F.col("tree").alias("_t"), F.col("up").alias("_n")).distinct()
-    leaves = nodes.join(parents, same("tree", "_t") & (F.col("node") == F.col("_n")), "left_anti")
-    paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
-    jumps = nodes.filter("up is not null and size > 1").select("tree", "node", "up", "size")
-    step = 1
-    while not jumps.isEmpty():
-        far = jumps.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_u"))
-        more = paths.join(far, same("tree", "_t") & (F.col("node") == F.col("_n"))).select("tree", "leaf", F.col("_u").alias("node"), (F.col("back") + step).alias("back"))
-        paths = written(paths.unionByName(more), "reply-paths")
-        step *= 2
+    step, jumps, summed = 1, [], nodes
+    while True:
         # a path is shorter than its tree, so a cycle ends the search too
-        jumps = written(jumps.filter(F.col("size") > step).join(far, same("tree", "_t") & (F.col("up") == F.col("_n"))).select("tree", "node", F.col("_u").alias("up"), "size"), "reply-jumps")
-    worth = paths.join(nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "score", F.col("up").isNull().alias("root")), same("tree", "_t") & (F.col("node") == F.col("_n"))).groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.max("back").alias("length"), F.max("root").alias("rooted")).filter("rooted")
-    best = Window.partitionBy("tree").orderBy(F.desc("score"), F.asc("leaf"))
-    chosen = worth.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches).select(F.col("tree").alias("_t"), F.col("leaf").alias("_l"), "length", "rank")
-    return paths.join(chosen, same("tree", "_t") & (F.col("leaf") == F.col("_l"))).select("tree", "leaf", "node", (F.col("length") - F.col("back")).alias("depth"), "rank")
+        open_ = summed.filter((F.col("up").isNotNull()) & (F.col("size") > step))
+        if open_.isEmpty():
+            break
+        jumps.append(open_.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_u")))
+        far = summed.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("score").alias("_s"), F.col("length").alias("_k"))
+        longer = open_.join(far, same("tree", "_t") & (F.col("up") == F.col("_n"))).select("tree", "node", F.col("_u").alias("up"), (F.col("score") + F.col("_s")).alias("score"), (F.col("length") + F.col("_k")).alias("length"), "size")
+        summed = written(summed.filter((F.col("up").isNull()) | (F.col("size") <= step)).unionByName(longer), "reply-sums")
+        step *= 2
+    leaves = summed.filter("up is null").join(parents, same("tree", "_t") & (F.col("node") == F.col("_n")), "left_anti")
+    best = Window.partitionBy("tree").orderBy(F.desc("score"), F.asc("node"))
+    chosen = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches)
+    paths = written(chosen.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"), "length", "rank"), "reply-leaves")
+    for k, jump in enumerate(jumps):
+        more = paths.filter(F.col("length") - F.col("back") > 1 << k).join(jump, same("tree", "_t") & (F.col("node") == F.col("_n")))
+        paths = written(paths.unionByName(more.select("tree", "leaf", F.col("_u").alias("node"), (F.col("back") + (1 << k)).alias("back"), "length", "rank")), "reply-paths")
+    return paths.select("tree", "leaf", "node", (F.col("length") - 1 - F.col("back")).alias("depth"), "rank")
 
 
 def format_paths(turns: DataFrame, keys: list[str], depth_col: str, role_col: str, text_col: str) -> DataFrame:
     """keys, formatted, loss_spans: a conversation per path.
 
-    loss_spans are (start, end) in code points of the assistants' escaped texts.
+    loss_spans are (start, end) in code points of the assistants' escaped texts. A
+    conversation is one row, so it has to fit a task.
     """
     piece = F.concat(F.lit(OPEN), escape_role(F.col(role_col)), F.lit(": "), escape(F.col(text_col)), F.lit(CLOSE))
     row = F.struct(F.col(depth_col).alias("d"), piece.alias("p"), (F.length(escape_role(F.col(role_col))) + len(OPEN) + 2).alias("from"), F.length(piece).alias("n"), (F.col(role_col) == LOSS_ROLE).alias("loss"))
@@ -113,7 +120,8 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 def chain_messages(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Conversations as trees: each row answers the one before it (parent, message).
 
-    Rows go by turn (null first), ties by role and text, so every row is kept.
+    Rows go by turn (null first), ties by role and text, so every row is kept. Columns
+    other than the four are left out, so none can clash with the two new ones.
     """
     order = Window.partitionBy(conv_col).orderBy(F.asc_nulls_first(turn_col), role_col, text_col)
-    return rows.withColumn("message", F.row_number().over(order)).withColumn("parent", F.when(F.col("message") > 1, F.col("message") - 1))
+    return rows.select(conv_col, turn_col, role_col, text_col).withColumn("message", F.row_number().over(order)).withColumn("parent", F.when(F.col("message") > 1, F.col("message") - 1))
