@@ -54,13 +54,15 @@ def _sets_of(hasher: WordHasher, data: np.ndarray, offsets: np.ndarray, width: i
     at, shingle = windows(text, hashes, width)
     owner = text[at]
     counts = np.bincount(text, minlength=n)
-    for t in np.flatnonzero((counts > 0) & (counts < width)).tolist():
-        lo = int(np.searchsorted(text, t))
+    few = np.flatnonzero((counts > 0) & (counts < width))
+    if len(few):
+        first = np.searchsorted(text, few)
         with np.errstate(over="ignore"):
-            h = np.uint64(counts[t])
-            for w in hashes[lo : lo + counts[t]]:
-                h = h * np.uint64(0xD6E8FEB86659FD93) + w
-        owner, shingle = np.append(owner, t), np.append(shingle, mix64(np.array([h], dtype=np.uint64)))
+            h = counts[few].astype(np.uint64)
+            for k in range(width - 1):
+                more = k < counts[few]
+                h[more] = h[more] * np.uint64(0xD6E8FEB86659FD93) + hashes[first[more] + k]
+        owner, shingle = np.concatenate([owner, few]), np.concatenate([shingle, mix64(h)])
     if not len(shingle):
         return shingle, np.zeros(n + 1, dtype=np.int64)
     order = np.lexsort((shingle, owner))
@@ -130,7 +132,8 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH
 def prefix_postings(reps: DataFrame, k: int = K, t: int = T) -> DataFrame:
     """key, id: the k - t + 1 rarest values of each signature that others share."""
     posts = reps.select("id", F.posexplode("sig").alias("pos", "value")).select("id", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)).alias("key"))
-    shared = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # written, so that Spark can split the posts of a common value in the join
+    shared = written(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-values")
     listed = posts.join(shared, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("all"))
     # the k - size(all) values of its own come first in the prefix
     prefix = listed.withColumn("own", F.lit(k) - F.size("all")).filter(F.col("own") <= k - t)
@@ -267,6 +270,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component (rows with a null id stay)."""
+    """``docs`` with one row of each component (rows with a null id stay).
+
+    The least id stays. Rows that repeat an id need equal texts and stay or go
+    together; an empty table gives no rows.
+    """
     drop = near_duplicates(docs, id_col, text_col, **options).filter("not kept").select(F.col(id_col).alias("__drop"))
     return docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
