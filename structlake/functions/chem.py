@@ -30,10 +30,11 @@ def parse_formula(formula: Column) -> Column:
 
 
 def _gcd(a: Column, b: Column) -> Column:
-    # Euclid's steps; 64-bit numbers need fewer than 93
+    # Euclid's steps: no more than five for each decimal digit of the smaller number
     state = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.nullif(s["b"], F.lit(0))).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), state, step)["a"]
+    steps = 5 * F.length(F.least(F.abs(a), F.abs(b)).cast("string")) + 1
+    return F.aggregate(F.sequence(F.lit(1), steps), state, step)["a"]
 
 
 def formula_units(composition: Column) -> Column:
@@ -43,7 +44,7 @@ def formula_units(composition: Column) -> Column:
 
 def reduce_composition(composition: Column) -> Column:
     n = formula_units(composition)
-    return F.transform_values(composition, lambda _, v: F.expr("1") * (v / n).cast("long"))
+    return F.transform_values(composition, lambda _, v: F.call_function("div", v, n))
 
 
 def formula_string(composition: Column) -> Column:

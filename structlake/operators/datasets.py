@@ -15,29 +15,34 @@ def hash_order(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str = "_n", by: str | None = None) -> DataFrame:
-    """Adds ``name`` = 1, 2, ... in ``order`` without one task holding all rows.
-
-    Rows are dealt to ranges of the order and written once with the number of their
-    range, so that the ranges that are counted are the ranges that are numbered. Each
-    range's rows follow those of the ranges before it. With ``by`` the count starts
-    anew in each group; a hot group spreads over several ranges. Ties of the whole
-    order take any sequence.
+def running(rows: DataFrame, order: list[Column], name: str, amount: Column | None = None, by: str | None = None) -> DataFrame:
+    """Adds ``name``: the sum of ``amount`` (1 where left out) up to each row in ``order``.
+
+    No task holds all rows: they are dealt to ranges of the order and written once with
+    the number of their range, so that the ranges that are summed are the ranges that
+    are numbered. Each range goes on where those before it end. With ``by`` the sum
+    starts anew in each group; a hot group spreads over several ranges. Ties of the
+    whole order take any sequence.
     """
     names = [f"_o{k}" for k in range(len(order))]
     keys = [by, *names] if by else names
-    ranged = rows.withColumns(dict(zip(names, order, strict=True))).repartitionByRange(*keys)
+    ranged = rows.withColumns(dict(zip(names, order, strict=True)) | {"_a": F.lit(1) if amount is None else amount}).repartitionByRange(*keys)
     stored = kept(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
     groups = ["_part", by] if by else ["_part"]
-    local = stored.withColumn("_i", F.row_number().over(Window.partitionBy(*groups).orderBy(*names)))
-    counts = stored.groupBy(*groups).agg(F.count("*").alias("_c"))
+    local = stored.withColumn("_i", F.sum("_a").over(Window.partitionBy(*groups).orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)))
+    counts = stored.groupBy(*groups).agg(F.sum("_a").alias("_c"))
     # a row for each range (and group in it): as many as there are partitions and groups
     before = Window.partitionBy(by).orderBy("_part") if by else Window.orderBy("_part")
     starts = counts.select(F.col("_part").alias("_p"), *([F.col(by).alias("_b")] if by else []), (F.sum("_c").over(before) - F.col("_c")).alias("_s"))
     on = F.col("_part") == F.col("_p")
     if by:
         on &= F.col(by).eqNullSafe(F.col("_b"))
-    return local.join(starts, on).withColumn(name, F.col("_i") + F.col("_s")).drop(*names, "_part", "_i", "_p", "_b", "_s")
+    return local.join(starts, on).withColumn(name, F.col("_i") + F.col("_s")).drop(*names, "_a", "_part", "_i", "_p", "_b", "_s")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "_n", by: str | None = None) -> DataFrame:
+    """Adds ``name`` = 1, 2, ... in ``order`` (within each ``by``), see ``running``."""
+    return running(rows, order, name, None, by)
 
 
 def split_by_count(rows: DataFrame, key: str, counts: list[int], shuffle: bool = True, seed: int = 42) -> DataFrame:
@@ -89,6 +94,13 @@ def union_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def fit_target_standardizer(rows: DataFrame, energy: str, natoms: str) -> tuple[float, float]:
+    """Mean and sample deviation of the energy per atom (deviation 1 without spread)."""
+    per = F.col(energy) / F.col(natoms)
+    got = rows.agg(F.avg(per).alias("mean"), F.stddev_samp(per).alias("std")).first()
+    return got.mean or 0.0, got.std if got.std else 1.0
+
+
 def fit_standardizer(features: DataFrame, vector: str, first: int = 1) -> DataFrame:
     """slot, mean, std of every slot from ``first`` on, over all atoms (sample std).
 
@@ -122,19 +134,73 @@ def transform_y(energy: Column, natoms: Column, mean: float, scale: float) -> Co
     return (energy / natoms - mean) / scale * natoms
 
 
-def embed_features(features: DataFrame, vector: str, ones: int, matrix: list[list[float]]) -> DataFrame:
-    """One-body slots stay; each block of len(matrix) slots becomes block . matrix."""
+def _blocks_times(tail: Column, matrix: list[list[float]]) -> Column:
+    """Each block of len(matrix) slots becomes block . matrix."""
     rows, cols = len(matrix), len(matrix[0])
     weights = F.array(*(F.array(*(F.lit(float(matrix[r][c])) for r in range(rows))) for c in range(cols)))
-    tail = F.slice(vector, ones + 1, F.greatest(F.size(vector) - ones, F.lit(0)))
-    blocks = F.transform(F.sequence(F.lit(0), (F.size(tail) / rows).cast("int") - 1), lambda b: F.slice(tail, b * rows + 1, F.lit(rows)))
+    blocks = F.transform(F.sequence(F.lit(1), F.floor(F.size(tail) / rows).cast("int")), lambda b: F.slice(tail, (b - 1) * rows + 1, F.lit(rows)))
+    blocks = F.when(F.size(tail) >= rows, blocks).otherwise(F.array().cast("array<array<double>>"))
     dot = lambda block, w: F.aggregate(F.zip_with(block, w, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    embedded = F.flatten(F.transform(blocks, lambda b: F.transform(weights, lambda w: dot(b, w))))
-    return features.withColumn(vector, F.concat(F.transform(F.slice(vector, 1, ones), lambda x: x.cast("double")), embedded))
+    return F.flatten(F.transform(blocks, lambda b: F.transform(weights, lambda w: dot(b, w))))
+
+
+def embed_features(features: DataFrame, vector: str, ones: int, matrix: list[list[float]], twos: int | None = None, matrix3: list[list[float]] | None = None) -> DataFrame:
+    """One-body slots stay; blocks of pair slots times ``matrix``, of triplet slots times ``matrix3``.
+
+    ``ones`` and ``twos`` are the numbers of one-body and pair slots; without ``twos``
+    all slots after the first are pairs.
+    """
+    x = F.transform(vector, lambda v: v.cast("double"))
+    n = F.greatest(F.size(vector) - ones, F.lit(0))
+    pairs = F.slice(x, ones + 1, n if twos is None else F.least(n, F.lit(twos)))
+    parts = [F.slice(x, 1, ones), _blocks_times(pairs, matrix)]
+    if matrix3 is not None:
+        parts.append(_blocks_times(F.slice(x, ones + twos + 1, F.greatest(n - twos, F.lit(0))), matrix3))
+    return features.withColumn(vector, F.concat(*parts))
+
+
+PARTS = ("train", "test", "validate")
 
 
-def write_dataset(rows: DataFrame, path: str, by: tuple[str, ...] = ("gen", "part")) -> None:
-    rows.write.partitionBy(*by).parquet(path)
+def write_dataset(rows: DataFrame, path: str, label: str = "label", fractions: tuple[float, ...] = (0.8, 0.1, 0.1), gen: str = "gen", seed: int = 42) -> None:
+    """Rows split by label (all rows of a label together) into train, test and validate.
+
+    A folder per generation and part, and beside it the manifest: label and part.
+    Labels beyond the fractions are left out.
+    """
+    parts = split_by_fraction(rows.select(label).distinct(), label, list(fractions), seed=seed)
+    named = kept(parts.select(label, F.element_at(F.array(*map(F.lit, PARTS)), F.col("part") + 1).alias("part")), "parts")
+    named.write.parquet(f"{path}/manifest")
+    rows.join(named, label).write.partitionBy(gen, "part").parquet(f"{path}/rows")
+
+
+def load_dataset(spark, path: str, parts: tuple[str, ...] = PARTS, gens: list[int] | None = None, gen: str = "gen") -> DataFrame:
+    """Rows of ``write_dataset``: some parts, some generations; other folders aren't read."""
+    got = spark.read.parquet(f"{path}/rows").filter(F.col("part").isin(list(parts)))
+    return got if gens is None else filter_generations(got, gens, gen)
+
+
+def load_manifest(spark, path: str) -> DataFrame:
+    """label and part of a written dataset."""
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def filter_generations(rows: DataFrame, gens: list[int], gen: str = "gen") -> DataFrame:
+    """Rows of these generations; a partition column prunes the folders read."""
+    return rows.filter(F.col(gen).isin(gens))
+
+
+def moving_average(rows: DataFrame, order: str, value: str, width: int, name: str, block: int = 4096) -> DataFrame:
+    """Adds the mean of ``value`` over the last ``width`` rows in ``order`` (distinct values).
+
+    Rows are numbered over ranges and dealt to blocks; the last rows of a block are
+    sent to the next one too, so each block is a window of its own.
+    """
+    ranked = numbered(rows, [F.col(order)]).withColumn("_b", F.floor((F.col("_n") - 1) / block))
+    late = F.pmod(F.col("_n") - 1, F.lit(block)) >= block - (width - 1)
+    spread = ranked.withColumn("_to", F.explode(F.when(late, F.array(F.col("_b"), F.col("_b") + 1)).otherwise(F.array(F.col("_b")))))
+    over = Window.partitionBy("_to").orderBy("_n").rowsBetween(-(width - 1), 0)
+    return spread.withColumn(name, F.avg(value).over(over)).filter("_b = _to").drop("_n", "_b", "_to")
 
 
 def save_features(features: DataFrame, path: str, version: str = "1.0") -> None:

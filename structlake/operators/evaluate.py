@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import kept
+from .datasets import running
+
 TARGET, PRED, SIZE, GROUP = "target", "pred", "natoms", "formula"
 
 
@@ -37,12 +40,12 @@ def r2_by_composition(predictions: DataFrame) -> DataFrame:
 def tied_rank(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
     """Adds the average rank of ``value`` within its group.
 
-    Distinct values are counted first, so copies of a value are one row in the
-    window.
+    Distinct values are counted first, then summed up over ranges of group and
+    value, so a large group is spread over tasks.
     """
     counts = rows.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy("_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.select("_g", "_v", (upto - (F.col("_c") - 1) / 2).alias(name))
+    summed = running(counts, [F.col("_v")], "_upto", F.col("_c"), "_g")
+    ranks = kept(summed.select("_g", "_v", (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name)), "ranks")
     return rows.join(ranks, F.col(group).eqNullSafe(F.col("_g")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_v")
 
 
@@ -58,9 +61,24 @@ def evaluation_summary(predictions: DataFrame, label: str) -> DataFrame:
     return one.crossJoin(regression_errors(predictions).select("rmse", "mae")).crossJoin(worst_structure(predictions, label)).crossJoin(mean)
 
 
-def relative_energies(predictions: DataFrame) -> DataFrame:
-    """Adds rel_target and rel_pred over each formula's least target per atom."""
+def r2_mean(predictions: DataFrame) -> DataFrame:
+    """The unweighted mean over formulas of r2 (those without one left out)."""
+    return r2_by_composition(predictions).agg(F.avg("r2").alias("r2"))
+
+
+def spearman_mean(predictions: DataFrame) -> DataFrame:
+    """The unweighted mean over formulas of the rank correlation."""
+    return spearman_by_composition(predictions).agg(F.avg("spearman").alias("spearman"))
+
+
+def relative_energies(predictions: DataFrame, always: bool = True) -> DataFrame:
+    """Adds rel_target and rel_pred over each formula's least target per atom.
+
+    With ``always`` off, energies stay as they are where there is one formula only.
+    """
     rows = per_atom(predictions)
+    if not always and rows.agg(F.min(GROUP).eqNullSafe(F.max(GROUP))).first()[0]:
+        return rows.withColumns({"rel_target": F.col("t"), "rel_pred": F.col("p")})
     least = rows.groupBy(F.col(GROUP).alias("_g")).agg(F.min("t").alias("_m"))
     return rows.join(least, F.col(GROUP).eqNullSafe(F.col("_g"))).withColumns({"rel_target": F.col("t") - F.col("_m"), "rel_pred": F.col("p") - F.col("_m")}).drop("_g", "_m")
 
@@ -106,7 +124,14 @@ def loss_power(atoms: DataFrame, label: str, energy: str, targets: DataFrame, ta
     return summed.join(targets, label).agg(F.sum(F.pow(F.abs(F.col("_e") - F.col(target)), F.lit(power))).alias("loss"))
 
 
+def loss_stacked(atoms: DataFrame, label: str, energy: str, targets: DataFrame, target: str, power: float) -> DataFrame:
+    """natoms, loss: as ``loss_power``, summed over the structures of each size."""
+    summed = atoms.groupBy(label).agg(F.sum(energy).alias("_e"), F.count("*").alias("natoms"))
+    return summed.join(targets, label).groupBy("natoms").agg(F.sum(F.pow(F.abs(F.col("_e") - F.col(target)), F.lit(power))).alias("loss"))
+
+
 def atomic_rmse(predictions: DataFrame, mean: float, scale: float) -> DataFrame:
     """RMSE per atom after undoing the standardisation of both columns."""
-    e = (F.col(PRED) - F.col(TARGET)) / F.col(SIZE) * scale + mean - mean
+    back = lambda c: F.col(c) / F.col(SIZE) * scale + mean
+    e = back(PRED) - back(TARGET)
     return predictions.agg(F.sqrt(F.avg(e * e)).alias("rmse"))

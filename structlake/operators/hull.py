@@ -1,25 +1,43 @@
-"""Formation energies and the convex hull, as joins over one row per formula.
+"""Formation energies and the convex hull over one row per formula.
 
-Only the step to least-energy records reads the large table. Hull energies at a
-point are the least interpolated energy over all simplices of candidate records
-that hold it, which is the lower hull.
+Only the step to least-energy records reads the large table. The lower hull of all
+formulas is the lower hull of the lower hulls of any parts of them, so candidates are
+first thinned in parts of bounded size, side by side, then once more until few are left;
+the last part gives the facets. Two elements take a monotone chain, more an incremental
+hull. Points meet facets by the cells of a grid over the composition, an equi-join.
 """
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from ..sources.paths import kept
 
 TOLERANCE, SINGULAR = 1e-8, 1e-12
+#: Candidates of a part, and cells along an axis (one axis, several axes).
+PART_ROWS, CELLS = 2048, (1024, 32)
+#: Relative size of the shifts that keep points off common planes while facets are found.
+JOGGLE = 1e-9
 
 
-def elemental_references(least: DataFrame, is_element: Column, element: str, energy: str) -> DataFrame:
-    """element, mu: least energy per atom of the single-element records."""
-    return least.filter(is_element).groupBy(element).agg(F.min(energy).alias("mu"))
+def elemental_references(least: DataFrame, is_element: Column, element: str, energy: str, needed: DataFrame | None = None) -> DataFrame:
+    """element, mu: least energy per atom of the single-element records.
+
+    ``needed`` (element) lists elements that must have a reference; an absent one raises.
+    """
+    got = least.filter(is_element).groupBy(element).agg(F.min(energy).alias("mu"))
+    if needed is not None:
+        got = kept(got, "references")
+        absent = needed.join(got, element, "left_anti").select(element).first()
+        if absent:
+            raise ValueError(f"no record of the element {absent[0]} alone")
+    return got
 
 
 def formation_energy(records: DataFrame, counts: DataFrame, mu: DataFrame, key: str, energy: str) -> DataFrame:
@@ -31,27 +49,135 @@ def formation_energy(records: DataFrame, counts: DataFrame, mu: DataFrame, key:
     return records.join(priced, key).withColumn("formation", F.when(F.col("_missing") == 0, (F.col(energy) - F.col("_ref")) / F.col("_n"))).drop("_ref", "_n", "_missing")
 
 
-def _vertices(points: DataFrame, coords: list[str], energy: str, prefix: str) -> DataFrame:
-    return points.filter(F.col(energy) <= 0).select(*(F.col(c).alias(f"{prefix}{c}") for c in [*coords, energy, "key"]))
+def _chain(x: np.ndarray, e: np.ndarray) -> list[tuple[int, ...]]:
+    """Edges of the lower hull of points on a line, by the monotone chain.
+
+    Points on an edge (within the tolerance of stable records) are vertices too.
+    """
+    hull: list[int] = []
+    for k in np.lexsort((e, x)).tolist():
+        if hull and x[k] - x[hull[-1]] < SINGULAR:
+            continue
+        while len(hull) > 1:
+            i, j = hull[-2:]
+            if (e[j] - e[i]) * (x[k] - x[i]) - (x[j] - x[i]) * (e[k] - e[i]) <= TOLERANCE / 10 * (x[k] - x[i]):
+                break
+            hull.pop()
+        hull.append(k)
+    return list(itertools.pairwise(hull))
+
+
+def _independent(x: np.ndarray) -> list[int]:
+    """Rows of a simplex over ``x``, each the farthest from the rows before it; fewer if flat."""
+    first = int(np.argmin(x[:, 0]))
+    rows, rest = [first], x - x[first]
+    for _ in range(x.shape[1]):
+        far = np.linalg.norm(rest, axis=1)
+        k = int(np.argmax(far))
+        if far[k] < 1e-7:
+            break
+        rows.append(k)
+        unit = rest[k] / far[k]
+        rest = rest - np.outer(rest @ unit, unit)
+    return rows
+
+
+def lower_facets(x: np.ndarray, e: np.ndarray) -> list[tuple[int, ...]] | None:
+    """Facets (rows of d + 1 vertices) of the lower hull of energies over d coordinates.
+
+    An apex far above closes the hull; facets without it that face down are the lower
+    ones. None where all points lie in a flat part of the coordinates.
+    """
+    n, d = x.shape
+    if d == 1:
+        return _chain(x[:, 0], e) if n and np.ptp(x) > SINGULAR else None
+    start = _independent(x) if n > d else []
+    if len(start) <= d:
+        return None
+    shift = np.random.default_rng(1).uniform(-JOGGLE, JOGGLE, (n, d + 1))
+    size = max(1.0, float(np.ptp(e)))
+    points = np.column_stack([x, e / size]) + shift
+    apex = np.append(points[start, :d].mean(axis=0), points[:, d].max() + 10.0)
+    points = np.vstack([points, apex])
+    inside = points[[*start, n]].mean(axis=0)
+    facets: list[tuple[int, ...]] = []
+    planes = np.zeros((0, d + 2))
+
+    def plane(facet: tuple[int, ...]) -> np.ndarray:
+        base = points[list(facet)]
+        normal = np.linalg.svd(base[1:] - base[0])[2][-1]
+        offset = normal @ base[0]
+        side = 1.0 if normal @ inside < offset else -1.0
+        return np.append(normal, offset) * side
+
+    for facet in itertools.combinations([*start, n], d + 1):
+        facets.append(facet)
+        planes = np.vstack([planes, plane(facet)])
+    for k in np.argsort(points[:n, d], kind="stable").tolist():
+        if k in start:
+            continue
+        seen = planes[:, :-1] @ points[k] - planes[:, -1] > 1e-13
+        if not seen.any():
+            continue
+        ridges: dict[tuple[int, ...], int] = {}
+        for f in np.flatnonzero(seen).tolist():
+            for ridge in itertools.combinations(facets[f], d):
+                ridges[ridge] = ridges.get(ridge, 0) + 1
+        fresh = [tuple(sorted((*r, k))) for r, times in ridges.items() if times == 1]
+        facets = [f for f, s in zip(facets, seen.tolist(), strict=True) if not s] + fresh
+        planes = np.vstack([planes[~seen], *(plane(f) for f in fresh)])
+    return [f for f, p in zip(facets, planes, strict=True) if n not in f and p[d] < -1e-9]
+
+
+def _thinned(candidates: DataFrame, coords: list[str], energy: str) -> DataFrame:
+    """Candidates of which only vertices of the lower hulls of parts are left."""
+    schema = candidates.schema
+
+    def vertices(pdf):
+        facets = lower_facets(pdf[coords].to_numpy(dtype=float), pdf[energy].to_numpy(dtype=float))
+        return pdf if facets is None else pdf.iloc[sorted({k for f in facets for k in f})]
+
+    n, turn = candidates.count(), 0
+    while n > PART_ROWS:
+        parts = -(-n // PART_ROWS)
+        dealt = candidates.withColumn("_part", F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(parts)))
+        left = kept(dealt.groupBy("_part").applyInPandas(lambda pdf: vertices(pdf.drop(columns="_part")), schema), "hull-candidates")
+        before, n, turn = n, left.count(), turn + 1
+        candidates = left
+        if n > 0.9 * before:
+            # nearly all are vertices: the hull itself is that large
+            break
+    return candidates
+
+
+def lower_hull(candidates: DataFrame, coords: list[str], energy: str) -> DataFrame:
+    """Facets of the lower hull of the candidates with energy <= 0.
+
+    candidates: key, coords (fractions between 0 and 1), energy; rows with a null are
+    left out. Each row has the vertices ``v0*``, ``v1*`` ... (coordinates, energy, key) and ``w{k}_{c}``,
+    the linear form that gives the k-th barycentric coordinate of a point. No rows
+    where the candidates don't span the coordinates.
+    """
+    ship(candidates.sparkSession)
+    picked = candidates.select("key", *(F.col(c).cast("double").alias(c) for c in [*coords, energy])).dropna()
+    few = _thinned(kept(picked.filter(F.col(energy) <= 0), "hull-candidates"), coords, energy)
+    kind, d = dict(few.dtypes)["key"], len(coords)
+    names = [f"v{k}{c}" for k in range(d + 1) for c in [*coords, energy, "key"]]
 
+    def facets(pdf):
+        import pandas as pd
 
-def simplices(points: DataFrame, coords: list[str], energy: str) -> DataFrame:
-    """All non-degenerate simplices of records with formation energy <= 0.
+        found = lower_facets(pdf[coords].to_numpy(dtype=float), pdf[energy].to_numpy(dtype=float)) or []
+        rows = [[pdf[c].iloc[i] for i in f for c in [*coords, energy, "key"]] for f in found]
+        return pd.DataFrame(rows, columns=names)
 
-    points: key, coords, energy. Rows of vertices ``v0*``, ``v1*`` ... with keys
-    in rising order, and ``w{k}_{c}``, the linear form that gives the k-th
-    barycentric coordinate of a point. The table has a row per formula, so these
-    joins are over a small table; each is a range join on the key.
-    """
-    out = _vertices(points, coords, energy, "v0")
-    n = len(coords)
-    for k in range(1, n + 1):
-        out = out.join(_vertices(points, coords, energy, f"v{k}"), F.col(f"v{k - 1}key") < F.col(f"v{k}key"))
-    edge = [[F.col(f"v{k}{c}") - F.col(f"v0{c}") for c in coords] for k in range(1, n + 1)]
-    out = kept(out.withColumn("det", _det(edge)).filter(F.abs("det") >= SINGULAR), "simplices")
-    unit = lambda c: [F.lit(1.0 if d == c else 0.0) for d in coords]
-    forms = {f"w{k}_{c}": _det([unit(c) if j == k - 1 else row for j, row in enumerate(edge)]) / F.col("det") for k in range(1, n + 1) for c in coords}
-    return kept(out.withColumns(forms), "simplex-forms")
+    # the thinned hull is one part
+    out = few.groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: facets(pdf), ", ".join(f"`{c}` {kind if c.endswith('key') else 'double'}" for c in names))
+    edge = [[F.col(f"v{k}{c}") - F.col(f"v0{c}") for c in coords] for k in range(1, d + 1)]
+    out = kept(out.withColumn("det", _det(edge)).filter(F.abs("det") >= SINGULAR), "facets")
+    unit = lambda c: [F.lit(1.0 if x == c else 0.0) for x in coords]
+    forms = {f"w{k}_{c}": _det([unit(c) if j == k - 1 else row for j, row in enumerate(edge)]) / F.col("det") for k in range(1, d + 1) for c in coords}
+    return kept(out.withColumns(forms), "facet-forms")
 
 
 def _det(m: list[list[Column]]) -> Column:
@@ -66,27 +192,39 @@ def _total(parts: list[Column]) -> Column:
 
 
 def point_in_simplex(points: DataFrame, facets: DataFrame, coords: list[str], energy: str) -> DataFrame:
-    """Points with every simplex that holds them, bary0..n and ``hull`` energy."""
+    """Points with every simplex that holds them, bary0..n and ``hull`` energy.
+
+    Simplices are posted to all cells of a grid that their bounding boxes touch, so
+    the join is an equi-join on the cell.
+    """
     n = len(coords)
+    cells = CELLS[0] if n == 1 else CELLS[1]
+    cell = lambda x: F.floor(x * cells).cast("int")
+    posted = facets
+    for c in coords:
+        ends = [F.col(f"v{k}{c}") for k in range(n + 1)]
+        posted = posted.withColumn(f"_g{c}", F.explode(F.sequence(cell(F.least(*ends) - 1e-6), cell(F.greatest(*ends) + 1e-6))))
+    placed = points.withColumns({f"_g{c}": cell(F.col(c)) for c in coords})
+    joined = placed.join(posted, [f"_g{c}" for c in coords]).drop(*(f"_g{c}" for c in coords))
     bary = [_total([F.col(f"w{k}_{c}") * (F.col(c) - F.col(f"v0{c}")) for c in coords]) for k in range(1, n + 1)]
     bary = [1 - _total(bary), *bary]
-    joined = points.join(facets, reduce(lambda a, b: a & b, [b > -TOLERANCE for b in bary]))
     named = joined.withColumns({f"bary{k}": b for k, b in enumerate(bary)})
-    return named.withColumn("hull", _total([F.col(f"bary{k}") * F.col(f"v{k}{energy}") for k in range(n + 1)]))
+    held = named.filter(reduce(lambda a, b: a & b, [F.col(f"bary{k}") > -TOLERANCE for k in range(n + 1)]))
+    return held.withColumn("hull", _total([F.col(f"bary{k}") * F.col(f"v{k}{energy}") for k in range(n + 1)]))
 
 
 def e_above_hull(points: DataFrame, candidates: DataFrame, coords: list[str], energy: str) -> DataFrame:
-    """points with ``e_above_hull``; null where no simplex holds the point."""
+    """points with ``e_above_hull``; null where the hull doesn't reach the point."""
     points = kept(points, "hull-points")
-    held = point_in_simplex(points.select("key", *coords), simplices(candidates, coords, energy), coords, energy)
-    best = held.groupBy("key").agg(F.min("hull").alias("_hull"))
+    held = point_in_simplex(points.select("key", *coords), lower_hull(candidates, coords, energy), coords, energy)
+    best = kept(held.groupBy("key").agg(F.min("hull").alias("_hull")), "hull-energies")
     return points.join(best, "key", "left").withColumn("e_above_hull", F.col(energy) - F.col("_hull")).drop("_hull")
 
 
 def decomposition(points: DataFrame, candidates: DataFrame, coords: list[str], energy: str) -> DataFrame:
-    """key, product, fraction: stable products of the lowest simplex at each point."""
+    """key, product, fraction: stable products of the hull at each point."""
     points = kept(points, "hull-points")
-    held = point_in_simplex(points.select("key", *coords), simplices(candidates, coords, energy), coords, energy)
+    held = point_in_simplex(points.select("key", *coords), lower_hull(candidates, coords, energy), coords, energy)
     n = len(coords) + 1
     parts = F.array(*(F.struct(F.col(f"v{k}key").alias("product"), F.col(f"bary{k}").alias("fraction")) for k in range(n)))
     best = held.groupBy("key").agg(F.min(F.struct(F.round("hull", 12).alias("h"), *(F.col(f"v{k}key") for k in range(n)), parts.alias("parts"))).alias("_b"))

@@ -28,8 +28,31 @@ def mlp_energy(vector: Column, layers: list[tuple[list[list[float]], list[float]
     return x[0]
 
 
-def score_mlp(features: DataFrame, label: str, vector: str, layers) -> DataFrame:
-    return features.groupBy(label).agg(F.sum(mlp_energy(F.col(vector), layers)).alias("energy"))
+def score_mlp(features: DataFrame, label: str, vector: str, layers, x_mean: list[float] | None = None, x_std: list[float] | None = None, y_mean: float = 0.0, y_std: float = 1.0) -> DataFrame:
+    """label, energy: the network's outputs summed over atoms.
+
+    With ``x_mean`` and ``x_std`` inputs are standardised first; outputs are taken back
+    by ``y_mean`` and ``y_std``, atom by atom.
+    """
+    x = F.col(vector)
+    if x_mean is not None:
+        column = lambda values: F.array(*(F.lit(float(v)) for v in values))
+        x = F.zip_with(F.zip_with(x, column(x_mean), lambda a, m: a.cast("double") - m), column(x_std), lambda a, s: a / s)
+    return features.groupBy(label).agg(F.sum(mlp_energy(x, layers) * float(y_std) + float(y_mean)).alias("energy"))
+
+
+def evaluate_model(scores: DataFrame, records: DataFrame, label: str, energy: str, natoms: str, formula: str) -> DataFrame:
+    """label, formula, natoms, target, pred: a table of predictions.
+
+    ``scores`` (label, energy) come from any scorer; records without a score are left out.
+    """
+    named = scores.select(F.col(label).alias("_l"), F.col("energy").alias("pred"))
+    return records.join(named, F.col(label) == F.col("_l")).select(F.col(label).alias("label"), F.col(formula).alias("formula"), F.col(natoms).cast("double").alias("natoms"), F.col(energy).cast("double").alias("target"), "pred")
+
+
+def join_predictions_structures(predictions: DataFrame, structures: DataFrame, label: str = "label") -> DataFrame:
+    """Predictions beside their structures' columns (volumes, enthalpies), by label."""
+    return predictions.join(structures, label)
 
 
 def score_members(features: DataFrame, label: str, vector: str, members: dict[str, list[float]]) -> DataFrame:

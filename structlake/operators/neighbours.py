@@ -41,6 +41,52 @@ def neighbour_pairs(atoms: DataFrame, rcut: float, box: float, label: str = "lab
     return moved.withColumn("r", r).filter((F.col("r") > 0) & (F.col("r") <= rcut)).select("label", "i", "j", "sx", "sy", "sz", "dx", "dy", "dz", "r", *(f"{k}_{s}" for k in keep for s in "ij"))
 
 
+def lattice_pairs(atoms: DataFrame, lattices: DataFrame, rcut: float, label: str = "label", atom: str = "atom", frac: tuple[str, str, str] = ("fx", "fy", "fz"), lattice: str = "lattice", keep: tuple[str, ...] = ()) -> DataFrame:
+    """label, i, j, sx, sy, sz, dx, dy, dz, r: as ``neighbour_pairs`` in any lattice.
+
+    ``lattices`` has a row of three vectors for each label; atoms lie at fractions of
+    them. Along each axis a cell is cut into as many bins as keep at least ``rcut``
+    between their planes. Where the planes of the cell itself are nearer, further
+    images are looked at: as many as ``rcut`` over the distance of the planes.
+    """
+    v = [[F.col(f"{lattice}")[a][b] for b in range(3)] for a in range(3)]
+    cross = lambda p, q: [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+    norm = lambda p: F.sqrt(p[0] * p[0] + p[1] * p[1] + p[2] * p[2])
+    normals = [cross(v[1], v[2]), cross(v[2], v[0]), cross(v[0], v[1])]
+    volume = F.abs(sum((x * y for x, y in zip(v[0], normals[0], strict=True)), F.lit(0.0)))
+    heights = [volume / norm(n) for n in normals]
+    bins = [F.greatest(F.floor(h / rcut), F.lit(1)).cast("int") for h in heights]
+    reach = [F.ceil(F.lit(rcut) * n / h).cast("int") for n, h in zip(bins, heights, strict=True)]
+    cells = lattices.select(F.col(label).alias("_l"), F.col(lattice).alias("_v"), *(b.alias(f"_n{a}") for a, b in zip("xyz", bins, strict=True)), *(m.alias(f"_m{a}") for a, m in zip("xyz", reach, strict=True)))
+    base = atoms.select(F.col(label).alias("label"), F.col(atom).alias("atom"), *((F.col(c).cast("double") - F.floor(c)).alias(a) for c, a in zip(frac, "xyz", strict=True)), *keep)
+    binned = base.join(cells, F.col("label") == F.col("_l")).drop("_l").withColumns({f"c{a}": F.least(F.floor(F.col(a) * F.col(f"_n{a}")).cast("int"), F.col(f"_n{a}") - 1) for a in "xyz"})
+    spread = binned
+    for a in "xyz":
+        spread = spread.withColumn(f"o{a}", F.explode(F.sequence(F.col(f"c{a}") - F.col(f"_m{a}"), F.col(f"c{a}") + F.col(f"_m{a}"))))
+    left = spread.select(
+        "label",
+        F.col("atom").alias("i"),
+        "_v",
+        *(F.col(a).alias(f"{a}i") for a in "xyz"),
+        *(F.col(k).alias(f"{k}_i") for k in keep),
+        *(F.pmod(f"o{a}", f"_n{a}").alias(f"c{a}") for a in "xyz"),
+        *(F.floor(F.col(f"o{a}") / F.col(f"_n{a}")).cast("int").alias(f"s{a}") for a in "xyz"),
+    )
+    right = binned.select("label", "cx", "cy", "cz", F.col("atom").alias("j"), *(F.col(a).alias(f"{a}j") for a in "xyz"), *(F.col(k).alias(f"{k}_j") for k in keep))
+    joined = left.join(right, ["label", "cx", "cy", "cz"])
+    apart = [F.col(f"{a}j") + F.col(f"s{a}") - F.col(f"{a}i") for a in "xyz"]
+    moved = joined.withColumns({f"d{a}": sum((apart[k] * F.col("_v")[k][b] for k in range(3)), F.lit(0.0)) for b, a in enumerate("xyz")})
+    r = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
+    return moved.withColumn("r", r).filter((F.col("r") > 0) & (F.col("r") <= rcut)).select("label", "i", "j", "sx", "sy", "sz", "dx", "dy", "dz", "r", *(f"{k}_{s}" for k in keep for s in "ij"))
+
+
+def centre_atoms(atoms: DataFrame, label: str = "label", frac: tuple[str, str, str] = ("fx", "fy", "fz")) -> DataFrame:
+    """Atoms shifted so that the mean of a structure's fractions is the cell's centre."""
+    means = atoms.groupBy(F.col(label).alias("_l")).agg(*(F.avg(c).alias(f"_{c}") for c in frac))
+    moved = atoms.join(means, F.col(label).eqNullSafe(F.col("_l"))).withColumns({c: F.col(c) - F.col(f"_{c}") + 0.5 for c in frac})
+    return moved.drop("_l", *(f"_{c}" for c in frac))
+
+
 def neighbour_triplets(pairs: DataFrame, rcut: float, keep: tuple[str, ...] = (), vectors: bool = False) -> DataFrame:
     """label, i, j, k, rij, rik, rjk: both neighbours of i, each pair {j, k} once.
 

@@ -1 +1,5 @@
-"""Registered queries and their SQL forms."""
+"""Registered queries and their DuckDB forms."""
+
+from . import extended, registry
+
+__all__ = ["extended", "registry"]

@@ -130,10 +130,8 @@ def latest_generation(spark, sf_dir):
 
 @query("WITH h AS (SELECT CAST(event_id AS BIGINT) AS step, round(avg(value) OVER (ORDER BY event_id ROWS 9 PRECEDING), 9) AS m FROM events) SELECT arg_min(step, (m, step)) AS best, max(step) AS last, max(step) - arg_min(step, (m, step)) > 50 AS stop FROM h")
 def early_stop_point(spark, sf_dir):
-    from pyspark.sql import Window
-
-    events = table(spark, sf_dir, "events")
-    history = events.select(F.col("event_id").alias("step"), F.round(F.avg("value").over(Window.orderBy("event_id").rowsBetween(-9, 0)), 9).alias("m"))
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), "value")
+    history = datasets.moving_average(events, "step", "value", 10, "m").select("step", F.round("m", 9).alias("m"))
     return records.early_stop_point(history, "step", "m", 50)
 
 
@@ -161,10 +159,10 @@ def composition_coords(spark, sf_dir):
     return comp.select("l_orderkey", _r(xy[0], "n"), _r(xy[1], "r"), _r(chem.elemental_sum(F.col("c"), {"A": 1.5, "N": 2.25}), "reference"))
 
 
-@query("SELECT p_partkey, round(CASE WHEN p_size <= 30 THEN 2 * (1 - p_size / 30.0) ELSE 0 END, 6) AS fr, round(CASE WHEN p_size <= 30 THEN -2.0 / 30 ELSE 0 END, 6) AS gfr, round(CASE WHEN p_size < 40 THEN pow(2 * (40.0 / p_size - 1), 12) ELSE 0 END, 4) AS core, round(p_retailprice * 160.21766208, 4) AS gpa FROM part WHERE p_size >= 20")
+@query("SELECT p_partkey, round(CASE WHEN p_size <= 30 THEN 2 * (1 - p_size / 30.0) ELSE 0 END, 6) AS fr, round(CASE WHEN p_size <= 30 THEN -2.0 / 30 ELSE 0 END, 6) AS gfr, round(ln(1 + CASE WHEN p_size < 40 THEN pow(2 * (40.0::DOUBLE / p_size - 1), 12) ELSE 0 END), 6) AS log_core, round(p_retailprice * 160.21766208, 4) AS gpa FROM part")
 def radial_functions(spark, sf_dir):
     r = F.col("p_size")
-    return table(spark, sf_dir, "part").filter("p_size >= 20").select("p_partkey", _r(chem.cutoff_fr(r, 30.0), "fr"), _r(chem.cutoff_gfr(r, 30.0), "gfr"), F.round(chem.core_repulsion(r, 40.0), 4).alias("core"), F.round(chem.ev_ang3_to_gpa(F.col("p_retailprice")), 4).alias("gpa"))
+    return table(spark, sf_dir, "part").select("p_partkey", _r(chem.cutoff_fr(r, 30.0), "fr"), _r(chem.cutoff_gfr(r, 30.0), "gfr"), _r(F.log1p(chem.core_repulsion(r, 40.0)), "log_core"), F.round(chem.ev_ang3_to_gpa(F.col("p_retailprice")), 4).alias("gpa"))
 
 
 @query("SELECT doc_id, regexp_replace('run/' || source || '-shake-' || lang || '-shake-1', '^(.*)-shake.*$', '\\1') AS parent, source || '.' || lang AS stem, 'run/' || source || '.' || lang || '.xyz' AS swapped FROM documents")
@@ -386,21 +384,26 @@ def three_body_features(spark, sf_dir):
 
 @query(f"WITH {_PAIRS}, s AS (SELECT label, i AS atom, sum(pow({_F2}, 2.0)) AS v FROM prs WHERE species_i = 'A' AND species_j = 'A' GROUP BY ALL) SELECT a.label, a.atom, CASE WHEN species = 'A' THEN 1.0 ELSE 0.0 END AS one_a, CASE WHEN species = 'B' THEN 1.0 ELSE 0.0 END AS one_b, round(coalesce(v, 0), 6) AS first_pair, 22 AS n FROM a LEFT JOIN s USING (label, atom)")
 def feature_table(spark, sf_dir):
-    pairs, spec = _pairs(spark, sf_dir), _spec(spark)
+    from ..sources.paths import kept
+
+    # read by pairs and by triplets
+    pairs, spec = kept(_pairs(spark, sf_dir), "pairs"), _spec(spark)
     parts = [features.one_body_features(_atoms(spark, sf_dir), spec), features.two_body_features(pairs, spec, _RC), features.three_body_features(neighbours.neighbour_triplets(pairs, _RC, keep=("species",)), spec, _RC)]
     got = features.feature_table(parts, 22)
     return got.select("label", "atom", F.col("fvec")[0].alias("one_a"), F.col("fvec")[1].alias("one_b"), _r(F.col("fvec")[2], "first_pair"), F.size("fvec").alias("n"))
 
 
-@query(f"WITH {_PAIRS} SELECT label, i, round(sum(CASE WHEN r < 0.08 THEN pow(2 * (0.08 / r - 1), 12) ELSE 0 END), 2) AS core FROM (SELECT * FROM prs WHERE r > 0.04) GROUP BY ALL")
+@query(f"WITH {_PAIRS} SELECT label, i, round(ln(1 + sum(CASE WHEN r < 0.08 THEN pow(2 * (0.08::DOUBLE / r - 1), 12) ELSE 0 END)), 6) AS log_core FROM prs GROUP BY ALL")
 def score_core_repulsion(spark, sf_dir):
-    return neighbours.core_repulsion_energy(_pairs(spark, sf_dir).filter("r > 0.04"), chem.core_repulsion(F.col("r"), 0.08)).select("label", "i", F.round("core", 2).alias("core"))
+    # sums span many powers of ten, so their logarithms are told
+    return neighbours.core_repulsion_energy(_pairs(spark, sf_dir), chem.core_repulsion(F.col("r"), 0.08)).select("label", "i", _r(F.log1p("core"), "log_core"))
 
 
-@query("WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 2 = 0), w AS (SELECT embedding FROM embeddings WHERE vec_id % 2 = 1) SELECT vec_id FROM v WHERE NOT EXISTS (SELECT 1 FROM w WHERE sqrt(list_sum(list_transform(list_zip(v.embedding, w.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))) < 0.5)")
+@query("SELECT vec_id FROM embeddings v WHERE NOT EXISTS (SELECT 1 FROM embeddings w WHERE w.vec_id <> v.vec_id AND sqrt(list_sum(list_transform(list_zip(v.embedding, w.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))) < 0.5)")
 def novel_vectors(spark, sf_dir):
+    """Vectors without another one near them."""
     e = table(spark, sf_dir, "embeddings")
-    return features.novel_vectors(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), "vec_id", "embedding", 0.5).select("vec_id")
+    return features.novel_vectors(e, e, "vec_id", "embedding", 0.5).select("vec_id")
 
 
 @query("SELECT vec_id, CAST(a * 4 + b * 2 + c AS INTEGER) AS image, round((embedding[1]::DOUBLE + a) / 2, 6) AS fx, round((embedding[2]::DOUBLE + b) / 2, 6) AS fy, round((embedding[3]::DOUBLE + c) / 2, 6) AS fz FROM embeddings, range(2) x(a), range(2) y(b), range(2) z(c)")

@@ -1,8 +1,9 @@
 r"""Packed record texts: headers, full structures, selection and writing.
 
 A record runs from ``TITL`` to ``END``. Files are read with the record end as the
-line separator, so large packed files are split between tasks; files with
-carriage returns or blanks after END are read whole instead (``whole=True``).
+line separator, so large packed files are split between tasks. Files with carriage
+returns or blanks after END are read whole instead (``whole=True``); a row that holds
+more than one record, as such files give otherwise, raises.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ def read_record_texts(spark: SparkSession, paths: list[str] | str, whole: bool =
         texts = rows.select(F.col("_metadata.file_path").alias("fname"), F.explode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"(?m)^END[^\n]*$")).alias("text"))
     else:
         rows = reader.option("lineSep", "\nEND\n").text(paths)
-        texts = rows.select(F.col("_metadata.file_path").alias("fname"), F.regexp_replace("value", r"\nEND\s*$", "").alias("text"))
+        # a second title in a row: its records don't end by a bare END
+        several = F.regexp_like("value", F.lit(r"(?m)^[ \t]*TITL\s[\s\S]*^[ \t]*TITL\s"))
+        value = F.when(several, F.raise_error(F.concat(F.lit("read this file with whole=True: "), F.col("_metadata.file_path")))).otherwise(F.col("value"))
+        texts = rows.select(F.col("_metadata.file_path").alias("fname"), F.regexp_replace(value, r"\nEND\s*$", "").alias("text"))
     return texts.filter(F.col("text").rlike(r"(?m)^\s*TITL\s"))
 
 
@@ -64,11 +68,45 @@ def parse_structures(records: DataFrame, label: str = "label", text: str = "text
     return structures, atoms
 
 
+def load_structures(spark: SparkSession, paths: list[str] | str, threshold: float | None = 10.0, pressure_gpa: float = 0.0, select=F.min, gens: list[int] | None = None, root: str | None = None, whole: bool = False) -> DataFrame:
+    """Records of globs (``*``, ``?``) or of generations, corrected and below a threshold.
+
+    With ``gens`` the files are ``root/gen{N}-dft/*.res`` and ``paths`` is ignored.
+    Adds ``corrected``, (H + V P) / n per atom, and keeps the records of each formula
+    below ``select`` of it plus ``threshold`` (all where that is None).
+    """
+    from ..operators.records import filter_group_threshold, pressure_corrected_enthalpy
+
+    if gens is not None:
+        paths = [f"{root}/gen{n}-dft/*.res" for n in gens]
+    rows = pressure_corrected_enthalpy(scan_shelx_headers(spark, paths, whole), "enthalpy", "volume", "natoms", pressure_gpa)
+    rows = rows.withColumn("reduced_formula", chem.formula_string(chem.reduce_composition(F.col("composition"))))
+    return rows if threshold is None else filter_group_threshold(rows, "reduced_formula", "corrected", threshold, select)
+
+
 def extract_records(records: DataFrame, needle: str, regex: bool = False, label: str = "label") -> DataFrame:
     """Records whose label contains (or matches) ``needle``."""
     return records.filter(F.col(label).rlike(needle) if regex else F.contains(label, F.lit(needle)))
 
 
+def save_extracted(records: DataFrame, needle: str, path: str, regex: bool = False, per_label: bool = False, label: str = "label", text: str = "text") -> None:
+    """Writes the texts that ``extract_records`` finds.
+
+    Packed, a part file per task; or a folder per label, where labels that are there
+    already are skipped.
+    """
+    found = extract_records(records, needle, regex, label).select(label, F.concat(F.rtrim(F.col(text)), F.lit("\nEND")).alias("text"))
+    if per_label:
+        spark = records.sparkSession
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+            old = spark.read.option("recursiveFileLookup", "true").text(path).select(F.regexp_extract("_metadata.file_path", f"/{label}=([^/]*)/", 1).alias("_old")).distinct()
+            found = found.join(old, F.col(label) == F.url_decode("_old"), "left_anti")
+        found.select(label, F.col("text").alias("value")).write.mode("append").partitionBy(label).text(path)
+    else:
+        write_records(found, path)
+
+
 def render_records(structures: DataFrame, atoms: DataFrame, header: list[str], label: str = "label") -> DataFrame:
     """label, text: records written back, atoms in order."""
     line = F.format_string("%-7s 1 %.13f %.13f %.13f 1.0", "species", "fx", "fy", "fz")

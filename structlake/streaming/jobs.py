@@ -43,30 +43,55 @@ def stream_completion(counts: DataFrame, expected: DataFrame, by: str, threshold
     return counts.join(expected, by).withColumn("done", F.col("n") / F.col("expected") > threshold)
 
 
+def stream_generation_progress(stream: DataFrame, gen: str, done: Column, out: str, checkpoint: str, nonstop: bool = False) -> StreamingQuery:
+    """gen, n_structures, n_done, epoch: a generation's counts whenever they change.
+
+    Runs in update mode; each epoch writes the generations that it touched to a folder
+    of its own, overwritten when the epoch is run again.
+    """
+    counts = stream.groupBy(gen).agg(F.count("*").alias("n_structures"), F.count_if(done).alias("n_done"))
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime="5 seconds") if nonstop else writer.trigger(availableNow=True)).start()
+
+
+def latest_progress(spark: SparkSession, out: str, gen: str) -> DataFrame:
+    """gen, n_structures, n_done: the newest counts that ``stream_generation_progress`` wrote."""
+    rows = spark.read.option("basePath", out).parquet(f"{out}/epoch=*")
+    newest = rows.groupBy(gen).agg(F.max_by(F.struct("n_structures", "n_done"), "epoch").alias("_c"))
+    return newest.select(gen, "_c.n_structures", "_c.n_done")
+
+
 def stream_energy_admission(stream: DataFrame, key: str, energy: str, time: str, label: str, threshold: float) -> DataFrame:
     """key, label, energy, admitted: against each key's running least energy.
 
     A key's first record is admitted. Later ones lower the least energy, then are
     admitted when within ``threshold`` of it. Within a batch rows go by time, then
-    label. The state of a key is one number.
+    label; a key's rows of one batch are put in order together. The state of a key is
+    one number.
     """
     ship(stream.sparkSession)
     kinds = dict(stream.dtypes)
 
     def admit(keys, frames: Iterator, state):
+        import numpy as np
         import pandas as pd
 
-        least = state.get[0] if state.exists else None
-        parts = list(frames)
-        rows = pd.concat(parts).sort_values([time, label], kind="stable") if parts else None
-        if rows is None:
+        parts = [f for f in frames if len(f)]
+        if not parts:
             return
-        admitted = []
-        for e in rows[energy].tolist():
-            least = e if least is None else min(least, e)
-            admitted.append(e <= least + threshold)
-        state.update((least,))
-        yield pd.DataFrame({key: [keys[0]] * len(rows), label: rows[label].to_numpy(), energy: rows[energy].to_numpy(), "admitted": admitted})
+        times, labels, energies = (np.concatenate([f[c].to_numpy() for f in parts]) for c in (time, label, energy))
+        at = np.lexsort((labels, times))
+        labels, energies = labels[at], energies[at].astype(float)
+        least = np.fmin.accumulate(energies)
+        if state.exists:
+            least = np.fmin(least, state.get[0])
+        if not np.isnan(least[-1]):
+            state.update((float(least[-1]),))
+        yield pd.DataFrame({key: [keys[0]] * len(at), label: labels, energy: energies, "admitted": energies <= least + threshold})
 
     schema = f"`{key}` {kinds[key]}, `{label}` {kinds[label]}, `{energy}` double, admitted boolean"
     return stream.select(key, label, F.col(energy).cast("double").alias(energy), time).groupBy(key).applyInPandasWithState(admit, schema, "least double", "append", "NoTimeout")

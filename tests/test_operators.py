@@ -66,19 +66,32 @@ def test_neighbours_of_a_small_cell_see_their_images(spark):
     assert neighbours.neighbour_pairs(atoms, 1.0, 1.0).count() == 6
 
 
-def test_greedy_dedupe_equals_the_sequential_sweep(spark):
+def manhattan(point, points):
+    return abs(points - point).sum(axis=1)
+
+
+@pytest.mark.parametrize("chunk_rows", [50_000, 17, 3])
+@pytest.mark.parametrize("metric", [None, manhattan])
+def test_greedy_dedupe_equals_the_sequential_sweep(spark, chunk_rows, metric):
     import random
 
     rng = random.Random(1)
-    rows = [(f"l{k:03}", rng.choice("ab"), round(rng.uniform(0, 4), 2), round(rng.uniform(0, 1), 2)) for k in range(300)]
-    got = {r.label: (r.cluster, r.is_leader) for r in records.dedupe_greedy(spark.createDataFrame(rows, "label string, g string, e double, v double"), "g", "e", "label", ["e", "v"], 0.1).collect()}
-    for g in "ab":
+    rows = [(f"l{k:03}", rng.choice(["a", "b", None]), round(rng.uniform(0, 4), 2), round(rng.uniform(0, 1), 2)) for k in range(300)]
+    table = spark.createDataFrame(rows, "label string, g string, e double, v double")
+    got = {r.label: (r.cluster, r.is_leader) for r in records.dedupe_greedy(table, "g", "e", "label", ["e", "v"], 0.1, metric, chunk_rows).collect()}
+    few = {}
+    for r in records.select_refine(table, "g", "e", "label", ["e", "v"], 0.1, 10, metric, chunk_rows).collect():
+        few.setdefault(r.g, set()).add(r.label)
+    far = (lambda x, y: abs(x) + abs(y)) if metric else math.hypot
+    for g in ("a", "b", None):
         leaders = []
         for label, _, e, v in sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0])):
-            near = [m for m, x, y in leaders if math.sqrt((e - x) ** 2 + (v - y) ** 2) < 0.1]
+            near = [m for m, x, y in leaders if far(e - x, v - y) < 0.1]
             assert got[label] == ((near[-1], False) if near else (label, True))
             if not near:
                 leaders.append((label, e, v))
+        assert few[g] == {m for m, *_ in leaders[:10]}
+    assert records.dedupe_greedy(table.limit(0), "g", "e", "label", ["e", "v"], 0.1).count() == 0
 
 
 def test_splits_are_exact_and_keep_siblings(spark):
@@ -135,3 +148,106 @@ def test_rows_are_numbered_once_each(spark, adaptive):
             assert r.c == r.d == r.m
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_pairs_in_a_small_slanted_cell(spark):
+    """A cell smaller than the cutoff: several images along each axis."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    lattice = [[1.3, 0.0, 0.0], [0.7, 1.1, 0.0], [-0.4, 0.3, 0.9]]
+    spots = [(k, *(rng.uniform(-1, 2) for _ in "xyz"), "AB"[k % 2]) for k in range(5)]
+    atoms = spark.createDataFrame([("s", *r) for r in spots], "label string, atom int, fx double, fy double, fz double, species string")
+    cells = spark.createDataFrame([("s", lattice), ("empty", lattice)], "label string, lattice array<array<double>>")
+    got = sorted((r.i, r.j, round(r.r, 9), r.species_i, r.species_j) for r in neighbours.lattice_pairs(atoms, cells, 2.0, keep=("species",)).collect())
+    want = []
+    for (i, *f, a), (j, *g, b) in itertools.product(spots, spots):
+        for n in itertools.product(range(-6, 7), repeat=3):
+            d = [sum((g[k] % 1 + n[k] - f[k] % 1) * lattice[k][c] for k in range(3)) for c in range(3)]
+            r = math.sqrt(sum(x * x for x in d))
+            if 0 < r <= 2.0:
+                want.append((i, j, round(r, 9), a, b))
+    assert got == sorted(want)
+
+
+def test_an_element_without_a_reference_raises(spark):
+    least = spark.createDataFrame([("A", 1, -1.0), ("B", 2, -2.0)], "element string, kinds int, e double")
+    needed = spark.createDataFrame([("A",), ("B",)], "element string")
+    with pytest.raises(ValueError, match="B"):
+        hull.elemental_references(least, F.col("kinds") == 1, "element", "e", needed)
+    assert hull.elemental_references(least, F.col("kinds") > 0, "element", "e", needed).count() == 2
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_hull_of_parts_equals_all_simplices(spark, d, monkeypatch):
+    import itertools
+
+    import numpy as np
+
+    monkeypatch.setattr(hull, "PART_ROWS", 12)
+    rng = np.random.default_rng(d)
+    x = rng.integers(0, 9, (60, d)) / 8
+    x = np.vstack([np.zeros(d), np.eye(d), x[x.sum(axis=1) <= 1][: (40, 26, 14)[d - 1]]])
+    e = np.concatenate([np.zeros(d + 1), -rng.random(len(x) - d - 1)])
+    best = np.full(len(x), np.inf)
+    for c in itertools.combinations(range(len(x)), d + 1):
+        square = np.vstack([x[list(c)].T, np.ones(d + 1)])
+        if abs(np.linalg.det(square)) > 1e-12:
+            bary = np.linalg.solve(square, np.vstack([x.T, np.ones(len(x))]))
+            held = (bary > -1e-8).all(axis=0)
+            best[held] = np.minimum(best[held], (e[list(c)] @ bary)[held])
+    names = [f"x{k}" for k in range(d)]
+    pts = spark.createDataFrame([(k, *map(float, p), float(v)) for k, (p, v) in enumerate(zip(x, e))], ["key", *names, "e"])
+    got = {r.key: r.e_above_hull for r in hull.e_above_hull(pts, pts, names, "e").collect()}
+    assert [got[k] for k in range(len(x))] == pytest.approx((e - best).tolist(), abs=1e-7)
+    flat = pts.filter("key = 0")
+    assert [r.e_above_hull for r in hull.e_above_hull(flat, flat, names, "e").collect()] == [None]
+    assert hull.e_above_hull(pts.limit(0), pts.limit(0), names, "e").count() == 0
+
+
+def test_moving_average_over_many_blocks(spark):
+    rows = spark.range(1000).select("id", (F.col("id") * F.col("id") % 17).cast("double").alias("v"))
+    got = {r.id: r.m for r in datasets.moving_average(rows, "id", "v", 10, "m", block=64).collect()}
+    v = [k * k % 17 for k in range(1000)]
+    assert [got[k] for k in range(1000)] == pytest.approx([sum(v[max(0, k - 9) : k + 1]) / min(k + 1, 10) for k in range(1000)])
+
+
+def test_extracted_records_are_written_and_skipped(spark, tmp_path):
+    texts_ = spark.createDataFrame([(f"a-{k}", RECORD.format(label=f"a-{k}")) for k in range(3)] + [("b/1", RECORD.format(label="b/1"))], "label string, text string")
+    shelx.save_extracted(texts_, "a-", f"{tmp_path}/packed")
+    assert shelx.scan_shelx_headers(spark, f"{tmp_path}/packed").count() == 3
+    shelx.save_extracted(texts_, "a-[01]", f"{tmp_path}/each", regex=True, per_label=True)
+    shelx.save_extracted(texts_, "", f"{tmp_path}/each", per_label=True)
+    got = spark.read.option("recursiveFileLookup", "true").text(f"{tmp_path}/each").filter("value like 'TITL%'")
+    assert sorted(r.value.split()[1] for r in got.collect()) == ["a-0", "a-1", "a-2", "b/1"]
+
+
+def test_records_with_carriage_returns_need_whole_files(spark, tmp_path):
+    (tmp_path / "crlf.res").write_bytes("".join(RECORD.format(label=f"p{k}") for k in range(3)).replace("\n", "\r\n").encode())
+    assert shelx.scan_shelx_headers(spark, str(tmp_path / "crlf.res"), whole=True).count() == 3
+    with pytest.raises(Exception, match="whole=True"):
+        shelx.scan_shelx_headers(spark, str(tmp_path / "crlf.res")).collect()
+
+
+def test_loaded_structures_by_generation(spark, tmp_path):
+    for gen in (0, 1, 2):
+        (tmp_path / f"gen{gen}-dft").mkdir()
+        (tmp_path / f"gen{gen}-dft" / "one.res").write_text(RECORD.format(label=f"g{gen}"))
+    got = shelx.load_structures(spark, [], 1.0, 10.0, gens=[0, 2], root=str(tmp_path))
+    assert {(r.label, r.gen, round(r.corrected, 9)) for r in got.collect()} == {(f"g{k}", k, round((-3.25 + 10.0 * 10.0 / chem.GPA_PER_EV_ANG3) / 3, 9)) for k in (0, 2)}
+    assert shelx.load_structures(spark, f"{tmp_path}/gen?-dft/*.res", None).count() == 3
+
+
+def test_long_compositions_reduce(spark):
+    row = spark.sql("select map('A', 701408733L, 'B', 433494437L) as fib, map('A', 6000000000000000000L, 'B', 4000000000000000000L) as big, map() as none")
+    got = row.select(chem.formula_units(F.col("fib")).alias("f"), chem.formula_units(F.col("big")).alias("b"), chem.formula_string(chem.reduce_composition(F.col("big"))).alias("t"), chem.formula_units(F.col("none").cast("map<string,bigint>")).alias("n")).first()
+    assert (got.f, got.b, got.t, got.n) == (1, 2 * 10**18, "A3B2", 1)
+
+
+def test_relative_energies_of_one_formula_can_stay(spark):
+    from structlake.operators import evaluate
+
+    rows = spark.createDataFrame([("f", 2.0, 4.0, 5.0), ("f", 1.0, 3.0, 3.5)], "formula string, natoms double, target double, pred double")
+    assert {(r.rel_target, r.rel_pred) for r in evaluate.relative_energies(rows, always=False).collect()} == {(2.0, 2.5), (3.0, 3.5)}
+    assert {(r.rel_target, r.rel_pred) for r in evaluate.relative_energies(rows).collect()} == {(0.0, 0.5), (1.0, 1.5)}
