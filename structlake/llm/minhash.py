@@ -4,8 +4,8 @@ A document is the set of its distinct 5-word shingles. Its signature has K
 coordinates, each the least value of one hash function over the set. Documents
 with equal sets become one representative. Every representative is posted under
 its (coordinate, value) pairs. A pair of similarity s shares each coordinate
-with probability s, so pairs of at least 0.85 share T of K but for odds of about
-one in a million; pairs that share fewer aren't looked at.
+with probability s, so pairs of at least 0.85 share T = 28 of K = 48 but for odds of
+two in a million; pairs that share fewer aren't looked at.
 
 Prefix merging: two signatures that share T of K values share one among the
 K - T + 1 rarest values of either, so only these are posted; values that no
@@ -21,14 +21,22 @@ bounds the similarity of any pair; documents and pairs below are left out.
 The result is connected components, so pairs inside one component need no look:
 in star rounds each list compares its members with one of them (first the one
 with the fewest shingles of its own), and what is linked falls together. What a
-list still holds of several components is compared in blocks: pairs across
+list still holds of several components is compared in one block: pairs across
 components that pass the bound and share T coordinates are confirmed on the full
 sets in the same task, and only the links that join components come out.
+
+A list of more members than a block (texts around one template, say) is split first.
+Similar sets of n shingles share one of the n - ceil(0.85 n) + 1 rarest of either, so
+the members are posted again under these, rarest among the members of such lists;
+shingles that no other of them has fill the prefix first. Lists of the same members
+count once. What texts share with all others is common, so lists grow with what
+few of them share, not with the template's texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,7 +46,7 @@ from ..shipping import ship
 from .common import WordHasher, lean, mix64, text_blocks, windows, written
 from .components import connected_components
 
-K, T, WIDTH = 48, 28, 5
+K, WIDTH = 48, 5
 #: Pairs of one document that a task confirms.
 SLOT_ROWS = 256
 #: Members of one list that a block holds, and their shingles, about; pairs of
@@ -129,7 +137,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH
     return picked.mapInArrow(lean(run), "id long, shingles array<long>")
 
 
-def prefix_postings(reps: DataFrame, k: int = K, t: int = T) -> DataFrame:
+def prefix_postings(reps: DataFrame, k: int, t: int) -> DataFrame:
     """key, id: the k - t + 1 rarest values of each signature that others share."""
     posts = reps.select("id", F.posexplode("sig").alias("pos", "value")).select("id", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)).alias("key"))
     # written, so that Spark can split the posts of a common value in the join
@@ -224,16 +232,61 @@ def _blocks(mixed: DataFrame, reps: DataFrame, sets: DataFrame, t: int, percent:
     return full.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = K, t: int = T, width: int = WIDTH) -> DataFrame:
+def _rare_lists(ids: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """key, id, component: the members ``ids`` of long lists, by their rarest shingles.
+
+    Only lists of several components, and of lists of the same members only one.
+    """
+    held = written(sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("s")), "long-shingles")
+    # written, so that Spark can split a shingle that all have in the join
+    common = written(held.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"), "long-common")
+    ranked = held.join(common, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("all")).join(reps.select("id", "n"), "id")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1 - (F.col("n") - F.size("all"))
+    posts = ranked.filter(length > 0).select("id", F.explode(F.slice("all", F.lit(1), length.cast("int"))).alias("p")).select(F.col("p.s").alias("key"), "id")
+    posts = written(posts.join(labels.select("id", "component"), "id"), "long-posts")
+    print_ = (F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64(F.lit("list"), F.col("id"))).alias("y"))
+    lists = posts.groupBy("key").agg(*print_, F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2")
+    one = written(lists.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "long-lists")
+    return posts.join(one, "key").select("key", "id", "component")
+
+
+def final_lists(mixed: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """key, id, component: open lists as they are compared, the long ones split."""
+    size = written(mixed.groupBy("key").agg(F.count("*").alias("members")), "list-sizes")
+    named = mixed.join(size, "key")
+    short = named.filter(F.col("members") <= BLOCK_ROWS).select("key", "id", "component")
+    long_ = written(named.filter(F.col("members") > BLOCK_ROWS).select("id").distinct(), "long-members")
+    return short if long_.isEmpty() else short.unionByName(_rare_lists(long_, reps, sets, labels, percent))
+
+
+def match_threshold(percent: int, k: int = K, missed: float = 2e-6) -> int:
+    """The most coordinates that pairs at the limit share but for odds of ``missed``.
+
+    28 of 48 for 85 per cent.
+    """
+    s, below, t = percent / 100, 0.0, 0
+    while t < k:
+        below += math.comb(k, t) * s**t * (1 - s) ** (k - t)
+        if below > missed:
+            break
+        t += 1
+    if not t:
+        raise ValueError(f"{k} coordinates can't tell {percent} per cent")
+    return t
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = K, t: int | None = None, width: int = WIDTH) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept, links_to_others.
 
     Texts are lower-cased (A-Z); a text of fewer than ``width`` words is one
     shingle; null texts and texts without words have empty sets, are linked with
     nothing and stay. Links: 100 * intersection >= percent * union. Rows with a
     null id have no component and stay. Rows that repeat an id need equal texts
-    and share its component. Other columns are ignored.
+    and share its component. Other columns are ignored; an empty table gives no rows.
+    ``t`` follows from ``percent`` (``match_threshold``) where it is left out.
     """
     ship(docs.sparkSession)
+    t = match_threshold(percent, k) if t is None else t
     sigs = written(signatures(docs, id_col, text_col, k, width), "signatures")
     usable = sigs.filter("id is not null and set_hash is not null")
     first = usable.groupBy("set_hash").agg(F.min("id").alias("rep"))
@@ -259,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             star = mixed.filter("component <> hub_c").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
             new = written(_confirmed(written(_matching(star, reps, t, percent), "matches"), sets, percent), "links")
         else:
-            new = written(_blocks(mixed.select("key", "id", "component"), reps, sets, t, percent), "links")
+            new = written(_blocks(written(final_lists(mixed, reps, sets, labels, percent), "final-lists"), reps, sets, t, percent), "links")
         links = new if links is None else links.unionByName(new)
         if not new.isEmpty():
             known = connected_components(links)

@@ -1,5 +1,6 @@
 import random
 
+from structlake.llm import minhash
 from structlake.llm.components import connected_components
 from structlake.llm.minhash import near_dedup, near_duplicates
 
@@ -54,6 +55,49 @@ def test_groups_that_need_more_than_stars(spark):
     assert {tuple(r) for r in near_duplicates(docs).collect()} == brute(some)
 
 
+def template_texts(rng, n, passages, common=180, body=60):
+    """Texts of one template with two passages of a pool: alike, but below the limit."""
+    template = words(rng, common)
+    pool = [words(rng, body) for _ in range(passages)]
+    return [f"{template} {rng.choice(pool)} {rng.choice(pool)}" for _ in range(n)]
+
+
+def test_long_lists_are_split(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = template_texts(rng, 120, 25)
+    # near copies of some, and a path of small steps
+    texts += [" ".join(w if k % 97 else "changed" for k, w in enumerate(t.split())) for t in texts[:30]]
+    some = list(enumerate(texts))
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 0)
+    assert {tuple(r) for r in near_duplicates(docs).collect()} == brute(some)
+    monkeypatch.undo()
+    assert {tuple(r) for r in near_duplicates(docs).collect()} == brute(some)
+
+
+def test_long_lists_compare_few_of_their_pairs(spark, monkeypatch):
+    compared = []
+    whole = minhash.final_lists
+
+    def counted(mixed, *rest):
+        out = minhash.written(whole(mixed, *rest), "counted")
+        pairs = lambda t: t.groupBy("key").count().selectExpr("coalesce(sum(count * count), 0)").first()[0]
+        compared.append((pairs(mixed), pairs(out)))
+        return out
+
+    monkeypatch.setattr(minhash, "final_lists", counted)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 32)
+    docs = spark.createDataFrame(list(enumerate(template_texts(random.Random(7), 300, 75))), "doc_id long, text string")
+    near_duplicates(docs).count()
+    ((before, after),) = compared
+    assert after < before / 4, compared
+
+
+def test_the_match_threshold_follows_the_limit():
+    assert [minhash.match_threshold(p) for p in (50, 80, 85, 95)] == [9, 24, 28, 36]
+
+
 def test_filter(spark):
     out = near_dedup(frame(spark))
     assert out.columns == frame(spark).columns
