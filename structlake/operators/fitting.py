@@ -3,13 +3,14 @@
 A structure's energy is the sum of its atoms' network outputs. Each step is one
 Spark job: tasks give every structure's energy and its slopes, sums by structure
 give residuals, and partial normal equations are added up by slot. Only p x p
-numbers come to the driver, p being the count of parameters.
+numbers for each member come to the driver, p being the count of parameters. All
+members of an ensemble take their steps side by side in the same jobs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -60,44 +61,54 @@ def energies_and_slopes(x: np.ndarray, theta: np.ndarray, sizes: list[int]) -> n
     return np.hstack([values[-1], *parts])
 
 
-def _normal_equations(features: DataFrame, targets: DataFrame, label: str, vector: str, target: str, theta: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
-    """J'WJ, J'Wr and the loss at ``theta``, summed over all structures."""
+def _summed(features: DataFrame, label: str, vector: str, thetas: list[np.ndarray], sizes: list[int], slopes: bool) -> DataFrame:
+    """_l, m, g: a structure's energy under every member, with its slopes if asked for."""
     ship(features.sparkSession)
-    p = len(theta)
+    width = len(thetas[0]) + 1 if slopes else 1
 
     def per_batch(frames):
         import pandas as pd
 
         for pdf in frames:
-            rows = energies_and_slopes(np.stack(pdf["_x"].to_numpy()).astype(float), theta, sizes) if len(pdf) else np.zeros((0, p + 1))
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["_x"].to_numpy()).astype(float)
             names, at = np.unique(pdf["_l"].to_numpy(), return_inverse=True)
-            sums = np.zeros((len(names), p + 1))
-            np.add.at(sums, at, rows)
-            yield pd.DataFrame({"_l": names, "g": list(sums)})
+            for m, theta in enumerate(thetas):
+                sums = np.zeros((len(names), width))
+                np.add.at(sums, at, energies_and_slopes(x, theta, sizes)[:, :width])
+                yield pd.DataFrame({"_l": names, "m": m, "g": list(sums)})
 
     kind = dict(features.dtypes)[label]
-    part = features.select(F.col(label).alias("_l"), F.col(vector).alias("_x")).mapInPandas(per_batch, f"_l {kind}, g array<double>")
-    whole = part.groupBy("_l").agg(F.array(*(F.sum(F.col("g")[k]) for k in range(p + 1))).alias("g"))
-    joined = whole.join(targets.select(F.col(label).alias("_t"), F.col(target).cast("double").alias("_y")), F.col("_l") == F.col("_t")).select("g", "_y")
+    part = features.select(F.col(label).alias("_l"), F.col(vector).alias("_x")).mapInPandas(per_batch, f"_l {kind}, m int, g array<double>")
+    return part.groupBy("_l", "m").agg(F.array(*(F.sum(F.col("g")[k]) for k in range(width))).alias("g"))
+
+
+def _normal_equations(features: DataFrame, targets: DataFrame, label: str, vector: str, target: str, thetas: list[np.ndarray], sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """J'WJ, J'Wr and the loss of every member, summed over all structures."""
+    p = len(thetas[0])
+    slots = p * p + p + 1
+    joined = _summed(features, label, vector, thetas, sizes, True).join(targets.select(F.col(label).alias("_t"), F.col(target).cast("double").alias("_y")), F.col("_l") == F.col("_t")).select("m", "g", "_y")
+    n = len(thetas)
 
     def partial(frames):
         import pandas as pd
 
-        total = np.zeros(p * p + p + 1)
+        total = np.zeros((n, slots))
         for pdf in frames:
-            if len(pdf):
-                g = np.stack(pdf["g"].to_numpy())
-                r, j = g[:, 0] - pdf["_y"].to_numpy(), g[:, 1:]
+            for m, rows in pdf.groupby("m"):
+                g = np.stack(rows["g"].to_numpy())
+                r, j = g[:, 0] - rows["_y"].to_numpy(), g[:, 1:]
                 size = np.abs(r + OFFSET)
                 w = np.maximum(size, 1e-12) ** (POWER - 2)
-                total += np.concatenate([((j * w[:, None]).T @ j).ravel(), j.T @ (w * r), [(size**POWER).sum()]])
-        yield pd.DataFrame({"slot": np.arange(len(total)), "value": total})
+                total[m] += np.concatenate([((j * w[:, None]).T @ j).ravel(), j.T @ (w * r), [(size**POWER).sum()]])
+        yield pd.DataFrame({"slot": np.arange(total.size), "value": total.ravel()})
 
-    # partial sums of each task are added by slot, so the driver gets p x p numbers
+    # partial sums of each task are added by slot, so the driver gets p x p numbers a member
     got = joined.mapInPandas(partial, "slot long, value double").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
-    flat = np.zeros(p * p + p + 1)
+    flat = np.zeros(n * slots)
     flat[got["slot"].to_numpy()] = got["value"].to_numpy()
-    return flat[: p * p].reshape(p, p), flat[p * p : -1], float(flat[-1])
+    return [(row[: p * p].reshape(p, p), row[p * p : -1], float(row[-1])) for row in flat.reshape(n, slots)]
 
 
 def score_parameters(features: DataFrame, label: str, vector: str, theta: np.ndarray, sizes: list[int]) -> DataFrame:
@@ -107,44 +118,34 @@ def score_parameters(features: DataFrame, label: str, vector: str, theta: np.nda
     return score_mlp(features, label, vector, as_layers(theta, sizes))
 
 
-def _rmse(features: DataFrame, targets: DataFrame, label: str, vector: str, target: str, theta: np.ndarray, sizes: list[int]) -> float:
-    e = F.col("energy") - F.col(target)
-    return score_parameters(features, label, vector, theta, sizes).join(targets, label).agg(F.sqrt(F.avg(e * e))).first()[0]
-
-
-def fit_mlp_lm(train: DataFrame, targets: DataFrame, label: str, vector: str, target: str, sizes: list[int], test: DataFrame | None = None, steps: int = 30, patience: int = 5, damping: float = 1.0, seed: int = 0, on_step: Callable[[int, float, float], None] | None = None) -> tuple[np.ndarray, list[tuple[int, float, float]]]:
-    """(parameters, history of (step, loss, test RMSE)); the best on ``test`` is kept.
-
-    A step is taken when it gains more than a small part of what the quadratic
-    model foresees; damping then falls, or rises after a refusal. The fit ends
-    after ``patience`` steps without a lower RMSE on ``test`` (``train`` if absent).
-    Cache ``train``: every step reads it once. ``on_step`` is called with every
-    row of the history as it is made.
-    """
-    theta = initial_parameters(sizes, seed)
-    held = train if test is None else test
-    a, g, loss = _normal_equations(train, targets, label, vector, target, theta, sizes)
-    best, best_rmse, best_step = theta, _rmse(held, targets, label, vector, target, theta, sizes), 0
-    history: list[tuple[int, float, float]] = []
+def _rmses(features: DataFrame, targets: DataFrame, label: str, vector: str, target: str, thetas: list[np.ndarray], sizes: list[int]) -> list[float]:
+    """RMSE of every member; a row for each comes to the driver."""
+    e = F.col("g")[0] - F.col(target)
+    joined = _summed(features, label, vector, thetas, sizes, False).join(targets.select(F.col(label).alias("_t"), F.col(target).cast("double").alias(target)), F.col("_l") == F.col("_t"))
+    got = {r.m: r.rmse for r in joined.groupBy("m").agg(F.sqrt(F.avg(e * e)).alias("rmse")).collect()}
+    return [got.get(m, math.nan) for m in range(len(thetas))]
 
-    def note(*row) -> None:
-        history.append(row)
-        if on_step is not None:
-            on_step(*row)
 
+def _member(theta: np.ndarray, steps: int, patience: int, damping: float, note: Callable[[int, float, float], None]) -> Generator:
+    """One fit: asks for normal equations or an RMSE at some parameters, gives the best ones."""
+    a, g, loss = yield "normal", theta
+    best_rmse = yield "rmse", theta
+    best, best_step = theta, 0
     note(0, loss, best_rmse)
+    if not np.isfinite(a).all():
+        return np.full_like(theta, math.nan)
     for step in range(1, steps + 1):
         d = np.maximum(np.diag(a), 1e-12)
         delta = np.linalg.lstsq(a + damping * np.diag(d), -g, rcond=None)[0]
         foreseen = POWER / 2 * (damping * delta @ (d * delta) - delta @ g)
         if not foreseen > 0:
             break
-        a2, g2, loss2 = _normal_equations(train, targets, label, vector, target, theta + delta, sizes)
+        a2, g2, loss2 = yield "normal", theta + delta
         gain = (loss - loss2) / foreseen
         if gain > LEAST_GAIN:
             theta, a, g, loss = theta + delta, a2, g2, loss2
             damping = damping * EASE if gain > GOOD_GAIN else damping
-            rmse = _rmse(held, targets, label, vector, target, theta, sizes)
+            rmse = yield "rmse", theta
             note(step, loss, rmse)
             if rmse < best_rmse:
                 best, best_rmse, best_step = theta, rmse, step
@@ -152,6 +153,53 @@ def fit_mlp_lm(train: DataFrame, targets: DataFrame, label: str, vector: str, ta
             damping *= TIGHTEN
         if step - best_step > patience:
             break
+    return best
+
+
+def _side_by_side(members: list[Generator], ask: dict[str, Callable[[list[np.ndarray]], list]]) -> list[np.ndarray]:
+    """Runs all fits to their ends; what they ask for at a time is one job of each kind."""
+    out: list = [None] * len(members)
+    waiting = {k: next(m) for k, m in enumerate(members)}
+    while waiting:
+        for kind, answer in ask.items():
+            asking = [k for k, (what, _) in waiting.items() if what == kind]
+            if not asking:
+                continue
+            for k, value in zip(asking, answer([waiting[k][1] for k in asking]), strict=True):
+                try:
+                    waiting[k] = members[k].send(value)
+                except StopIteration as end:
+                    out[k] = end.value
+                    del waiting[k]
+    return out
+
+
+def _fits(seeds: list[int], notes: list[Callable], train: DataFrame, targets: DataFrame, label: str, vector: str, target: str, sizes: list[int], test: DataFrame | None = None, steps: int = 30, patience: int = 5, damping: float = 1.0) -> list[np.ndarray]:
+    held = train if test is None else test
+    ask = {
+        "normal": lambda thetas: _normal_equations(train, targets, label, vector, target, thetas, sizes),
+        "rmse": lambda thetas: _rmses(held, targets, label, vector, target, thetas, sizes),
+    }
+    return _side_by_side([_member(initial_parameters(sizes, seed), steps, patience, damping, note) for seed, note in zip(seeds, notes, strict=True)], ask)
+
+
+def fit_mlp_lm(train: DataFrame, targets: DataFrame, label: str, vector: str, target: str, sizes: list[int], test: DataFrame | None = None, steps: int = 30, patience: int = 5, damping: float = 1.0, seed: int = 0, on_step: Callable[[int, float, float], None] | None = None) -> tuple[np.ndarray, list[tuple[int, float, float]]]:
+    """(parameters, history of (step, loss, test RMSE)); the best on ``test`` is kept.
+
+    A step is taken when it gains more than a small part of what the quadratic
+    model foresees; damping then falls, or rises after a refusal. The fit ends
+    after ``patience`` steps without a lower RMSE on ``test`` (``train`` if absent).
+    Write ``train`` to a table first: every step reads it once. ``on_step`` is called with every
+    row of the history as it is made.
+    """
+    history: list[tuple[int, float, float]] = []
+
+    def note(*row) -> None:
+        history.append(row)
+        if on_step is not None:
+            on_step(*row)
+
+    (best,) = _fits([seed], [note], train, targets, label, vector, target, sizes, test, steps, patience, damping)
     return best, history
 
 
@@ -164,10 +212,11 @@ def history_table(spark: SparkSession, history: list[tuple[int, float, float]])
 def train_ensemble(train: DataFrame, targets: DataFrame, label: str, vector: str, target: str, sizes: list[int], n_models: int, least_share: float = 0.9, **options) -> list[np.ndarray]:
     """Parameters of members fitted from different random starts.
 
-    Members whose fit breaks down (not finite) are left out; fewer than
-    ``least_share`` of ``n_models`` raise.
+    All members take their steps in the same jobs. Members whose fit breaks down (not
+    finite) are left out; fewer than ``least_share`` of ``n_models`` raise.
     """
-    fitted = [fit_mlp_lm(train, targets, label, vector, target, sizes, seed=k, **options)[0] for k in range(n_models)]
+    quiet = lambda *row: None
+    fitted = _fits(list(range(n_models)), [quiet] * n_models, train, targets, label, vector, target, sizes, **options)
     good = [t for t in fitted if np.isfinite(t).all()]
     if len(good) < least_share * n_models:
         raise ValueError(f"{len(good)} of {n_models} fits are usable")
