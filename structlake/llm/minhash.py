@@ -304,8 +304,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for turn in range(STAR_ROUNDS + 1):
         labelled = lists.join(labels, "id")
         first_of = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("own")).alias("o"), F.col("id").alias("id"), F.col("component").alias("c"))
-        several = labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min(first_of).alias("hub")).filter("c1 <> c2")
-        mixed = written(labelled.join(several, "key").select("key", "id", "component", F.col("hub.id").alias("hub"), F.col("hub.c").alias("hub_c")), "open-lists")
+        # written, so that Spark can split the members of a long list in the join
+        several = written(labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min(first_of).alias("hub")).filter("c1 <> c2").select("key", F.col("hub.id").alias("hub"), F.col("hub.c").alias("hub_c")), "open-heads")
+        mixed = written(labelled.join(several, "key").select("key", "id", "component", "hub", "hub_c"), "open-lists")
         if mixed.isEmpty():
             break
         if turn < STAR_ROUNDS:
