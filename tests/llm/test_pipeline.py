@@ -1,14 +1,16 @@
 """The pipeline's stages against brute force on a small table."""
 
 import hashlib
+import os
 import re
 from collections import Counter
 
 import corpus_pipeline
 
+from structlake.llm import common
 from structlake.llm.quality import judge
 
-from .data import frame, rows
+from .data import empty, frame, odd, rows
 from .test_bpe import OWN
 from .test_exact_dedup import brute as brute_exact
 from .test_minhash import brute as brute_near
@@ -36,6 +38,29 @@ def test_stages_keep_columns_and_equal_brute_force(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(some[r.doc_id][1].encode()).hexdigest()
 
 
+def test_empty_and_odd_tables_run(spark, tmp_path):
+    empty(spark).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    # null and repeated ids, one id with two texts, clashing columns
+    extra = [(5, "one id with a text of ten or more words in all here", *rows()[0][2:]), (5, "one id with another text of ten or more words in it", *rows()[0][2:])]
+    some = odd(spark).unionByName(frame(spark)).unionByName(frame(spark, extra))
+    some.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    texts = {hashlib.sha256((r.text or "").encode()).hexdigest() for r in some.collect()}
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert got and {r.decoded_sha256 for r in got} <= texts
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, some, "").columns == some.columns
+
+
+def test_temporary_tables_go(spark, tmp_path):
+    kept = common.written(spark.range(3), "stays")
+    with common.temporary_tables(spark):
+        gone = common.written(spark.range(3), "goes")
+        places = [f.removeprefix("file://") for f in gone.inputFiles()]
+        assert gone.count() == 3 and all(map(os.path.exists, places))
+    assert kept.count() == 3 and not any(map(os.path.exists, places))
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mixing", "byte_bpe"]
     assert corpus_pipeline.ORACLE_SQL is None and re.match("A training", corpus_pipeline.__doc__)

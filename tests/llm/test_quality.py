@@ -81,6 +81,38 @@ def test_equals_brute_force(spark, limit):
             assert r.log_ppl is None and not r.kept
 
 
+def test_verdicts_equal_brute_force(spark):
+    """Bands by the textbook: each deviation times the root of the words, against its spread."""
+    rng = random.Random(13)
+    lexicon = words(rng, 50).split()
+    docs = [(k, " ".join(rng.choice(lexicon) + ("%" * (k % 3) if k % 50 == 0 else "") for _ in range(rng.randint(12, 90))), rng.choice(["en", "de"])) for k in range(160)]
+    docs += [(200 + k, "".join(rng.choice("qxz!#") + " " for _ in range(40)), "en") for k in range(4)] + [(300, None, "en"), (301, "only one here of its tongue and it has ten words", None)]
+    got = judge(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
+
+    def quartile(values, p):
+        return sorted(values)[max(0, math.ceil(p * len(values)) - 1)]
+
+    def spread(values):
+        return max((quartile(values, 0.75) - quartile(values, 0.25)) / 1.349 * (1 + 2.34 / math.sqrt(len(values))), 1e-6)
+
+    size = {k: len((t or "").encode()) for k, t, _ in docs}
+    for lang in ("en", "de", None):
+        mine = [r for r in got if r.lang == lang]
+        seen = {(r.n_words, size[r.doc_id], r.log_ppl) for r in mine if not r.base_failed}
+        byte, word = quartile([v for _, _, v in seen], 0.5), quartile([v * b / n for n, b, v in seen], 0.5)
+        off = lambda n, b, v: ((v - byte) * math.sqrt(n), (v * b / n - word) * math.sqrt(n))  # noqa: B023, E731
+        byte_s, word_s = spread([off(*x)[0] for x in seen]), spread([off(*x)[1] for x in seen])
+        apart = [off(*x)[0] / byte_s - off(*x)[1] / word_s for x in seen]
+        middle, apart_s = quartile(apart, 0.5), spread(apart)
+        for r in mine:
+            want = False
+            if not r.base_failed:
+                x, y = off(r.n_words, size[r.doc_id], r.log_ppl)
+                want = abs(x) <= 8 * byte_s and abs(y) <= 5 * word_s and abs(x / byte_s - y / word_s - middle) <= 5 * apart_s
+            assert r.kept == want, r
+    assert 100 < sum(r.kept for r in got) < len(got) - 4
+
+
 def test_every_ngram_is_counted_and_discounts_are_estimated(spark):
     used = {lang: [padded(r[1], 5) for r in rows() if r[2] == lang and not counts(r[1])[-1]] for lang in {r[2] for r in rows()}}
     want = {lang: brute_counts(data, 5) for lang, data in used.items() if data}
