@@ -30,13 +30,15 @@ def shaken_cells(structures: DataFrame, n: int, cell_amp: float, label: str = "l
     """
     copies = structures.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
-    def draw(k: int) -> Column:
-        new = [F.col(c) * (1 + uniform(F.col(label), F.col("copy"), str(k), c) * cell_amp) for c in CELL]
+    def draw(k: Column) -> Column:
+        new = [F.col(c) * (1 + uniform(F.col(label), F.col("copy"), k, c) * cell_amp) for c in CELL]
         volume = chem.cell_volume(*new)
         return F.when(~F.isnan(volume) & (volume > 0), F.struct(*(v.alias(c) for v, c in zip(new, CELL, strict=True))))
 
     same = F.struct(*(F.col(c).cast("double").alias(c) for c in CELL))
-    drawn = copies.withColumn("_cell", F.coalesce(*(draw(k) for k in range(attempts)), same))
+    none = F.lit(None).cast(f"struct<{', '.join(f'{c}:double' for c in CELL)}>")
+    first = F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), none, lambda found, k: F.when(found.isNotNull(), found).otherwise(draw(k)))
+    drawn = copies.withColumn("_cell", F.coalesce(first, same))
     others = [c for c in structures.columns if c not in CELL]
     return drawn.select(*others, "copy", F.concat(F.col(label), F.lit("-shake-"), F.col("copy")).alias("shaken"), *(F.col(f"_cell.{c}").alias(c) for c in CELL))
 
