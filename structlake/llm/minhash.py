@@ -194,7 +194,8 @@ def _blocks(mixed: DataFrame, reps: DataFrame, sets: DataFrame, t: int, percent:
     one component gives at most one link for each that it joins.
     """
     able = mixed.join(reps.select("id", "n", "u"), "id")
-    size = able.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    # written, so that Spark can split the members of a long list in the join
+    size = written(able.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "list-blocks")
     placed = able.join(size, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # block i meets every block j; the pair of blocks is named by (low, high)
     spread = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "id", "component", "i", "n", "u", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
