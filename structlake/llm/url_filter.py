@@ -80,8 +80,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     hits = expressions.join(side, "_short").filter((F.col("_full") == F.col("_digest")) & F.startswith("path", "_rpath"))
     rank = F.struct(F.length(F.concat("_rhost", "_rpath")), F.length("_rhost"), (F.col("_verdict") == "block").cast("int"), F.concat("_rhost", "_rpath").alias("rule"), F.col("_verdict").alias("verdict"))
     best = hits.groupBy("host", "path").agg(F.max(rank).alias("_best"))
-    # written, so that Spark sends a small table whole and can split a hot url of a large one
-    hosted = split.filter("host != ''").join(written(best, "url-verdicts"), ["host", "path"], "left")
+    # written, so that both sides are dealt anew and Spark can split a hot url; it has a
+    # row for each url that a rule fits, so it isn't broadcast
+    hosted = split.filter("host != ''").join(written(best, "url-verdicts").hint("merge"), ["host", "path"], "left")
     out = hosted.unionByName(split.filter("host = ''"), allowMissingColumns=True)
     return out.select(id_col, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
 
