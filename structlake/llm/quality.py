@@ -39,6 +39,8 @@ ORDER = 5
 #: Of the model's arrays (16 bytes an n-gram, 24 a context); beyond it scoring is a join.
 BROADCAST_BYTES = 128 << 20
 SHARDS = 64
+#: Text that is scored at once: its n-grams take some hundred bytes each.
+SCORE_BYTES = 1 << 19
 #: Half widths in robust standard deviations of a text's length: nats a byte, nats a
 #: word, and their difference (marks between or behind the words move them apart).
 BYTE_WIDTH, WORD_WIDTH, APART_WIDTH = 8.0, 5.0, 5.0
@@ -429,7 +431,7 @@ def counted_and_scored(docs: DataFrame, model: Model, id_col: str = "doc_id", te
             scorer = Scorer(HashArrays(*counts), HashArrays(*contexts), discounts, order)
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            for lo, hi, data, offsets in text_blocks(batch.column(2)):
+            for lo, hi, data, offsets in text_blocks(batch.column(2), SCORE_BYTES):
                 counts = _counts(hasher, symbol, data, offsets)
                 n_words, repeated = counts[0], counts[-1]
                 passes = (n_words >= FEWEST_WORDS) & (100 * repeated <= REPEAT_PERCENT * n_words)
