@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, line_dedup, minhash, mixing, pii, quality, sharding, url_filter
+from . import bpe, chat, exact_dedup, fim, line_dedup, minhash, mixing, pii, quality, sharding, url_filter
 from .common import shared_dir
 
 
@@ -104,9 +104,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        digest(F.col("output")).alias("output_sha256"),
+        digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_sharding, op4_url_filter, op5_quality_rules, op6_mixing, op7_line_dedup, op8_byte_bpe, op9_chat_formatting, op10_pii)
+    for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_sharding, op4_url_filter, op5_quality_rules, op6_mixing, op7_line_dedup, op8_byte_bpe, op9_chat_formatting, op10_pii, op11_fill_in_middle)
 }
 
 ESC = r"regexp_replace({}, '(\\|#|</turn>)', '\\\1', 'g')"
@@ -135,4 +149,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_mixing": mixing.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op11_fill_in_middle": fim.SQL,
 }
