@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fim, line_dedup, minhash, mixing, pii, quality, sharding, url_filter
+from . import bpe, chat, exact_dedup, fim, line_dedup, minhash, mixing, pii, quality, sharding, url_filter, warc
 from .common import shared_dir
 
 
@@ -118,9 +118,15 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.WarcArchive(spark, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    archive.append_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.page_facts(archive)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_sharding, op4_url_filter, op5_quality_rules, op6_mixing, op7_line_dedup, op8_byte_bpe, op9_chat_formatting, op10_pii, op11_fill_in_middle)
+    for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_sharding, op4_url_filter, op5_quality_rules, op6_mixing, op7_line_dedup, op8_byte_bpe, op9_chat_formatting, op10_pii, op11_fill_in_middle, op12_warc)
 }
 
 ESC = r"regexp_replace({}, '(\\|#|</turn>)', '\\\1', 'g')"
@@ -150,4 +156,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": line_dedup.SQL,
     "op9_chat_formatting": OP9_SQL,
     "op11_fill_in_middle": fim.SQL,
+    "op12_warc": warc.SQL,
 }
