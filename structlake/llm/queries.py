@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fim, line_dedup, minhash, mixing, pii, quality, sharding, url_filter, warc
+from . import bpe, chat, exact_dedup, fim, line_dedup, minhash, mixing, phrases, pii, quality, sharding, url_filter, warc
 from .common import shared_dir
 
 
@@ -124,9 +124,13 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_facts(archive)
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_sharding, op4_url_filter, op5_quality_rules, op6_mixing, op7_line_dedup, op8_byte_bpe, op9_chat_formatting, op10_pii, op11_fill_in_middle, op12_warc)
+    for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_sharding, op4_url_filter, op5_quality_rules, op6_mixing, op7_line_dedup, op8_byte_bpe, op9_chat_formatting, op10_pii, op11_fill_in_middle, op12_warc, op13_phrase_collocations)
 }
 
 ESC = r"regexp_replace({}, '(\\|#|</turn>)', '\\\1', 'g')"
@@ -157,4 +161,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_chat_formatting": OP9_SQL,
     "op11_fill_in_middle": fim.SQL,
     "op12_warc": warc.SQL,
+    "op13_phrase_collocations": phrases.SQL,
 }
