@@ -39,7 +39,7 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -86,8 +86,13 @@ def _coordinates(k: int) -> tuple[np.ndarray, np.ndarray]:
     return a | np.uint64(1), mix64(a + np.uint64(77))
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that tell the texts of one id apart; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = K, width: int = WIDTH) -> DataFrame:
-    """id, n_shingles, set_hash (null for an empty set), sig (array of k ints)."""
+    """id, text_key (MD5 of the text), n_shingles, set_hash (null for an empty set), sig (array of k ints)."""
 
     def run(batches):
         import pyarrow as pa
@@ -95,7 +100,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = K, width: i
         hasher = WordHasher(lower=True)
         mul, add = _coordinates(k)
         for batch in batches:
-            for lo, hi, data, offsets in text_blocks(batch.column(1)):
+            for lo, hi, data, offsets in text_blocks(batch.column(2)):
                 sets, starts = _sets_of(hasher, data, offsets, width)
                 size = np.diff(starts)
                 full = np.flatnonzero(size)
@@ -111,12 +116,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = K, width: i
                 at = np.zeros(hi - lo + 1, dtype=np.int32)
                 at[1:] = np.cumsum((size > 0) * k)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(sig.ravel()))],
-                    names=["id", "n_shingles", "set_hash", "sig"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(sig.ravel()))],
+                    names=["id", "text_key", "n_shingles", "set_hash", "sig"],
                 )
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(lean(run), "id long, n_shingles long, set_hash binary, sig array<int>")
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(lean(run), "id long, text_key binary, n_shingles long, set_hash binary, sig array<int>")
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
@@ -277,30 +282,46 @@ def match_threshold(percent: int, k: int = K, missed: float = 2e-6) -> int:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = K, t: int | None = None, width: int = WIDTH) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept, links_to_others.
+    """One row per input row: id, n_shingles, component_id, kept, text_key.
 
     Texts are lower-cased (A-Z); a text of fewer than ``width`` words is one
     shingle; null texts and texts without words have empty sets, are linked with
-    nothing and stay. Links: 100 * intersection >= percent * union. Rows with a
-    null id have no component and stay. Rows that repeat an id need equal texts
-    and share its component. Other columns are ignored; an empty table gives no rows.
-    ``t`` follows from ``percent`` (``match_threshold``) where it is left out.
+    nothing and stay. Links: 100 * intersection >= percent * union. Each row is linked by
+    its own text, so an id with two texts can be in two components; ``component_id`` is
+    the smallest id in the row's one. Kept is the component's first row by id, then by
+    ``text_key`` (the text's MD5 digest); rows alike in both are kept together. Rows
+    with a null id have no component and stay. Other columns are ignored; an empty table
+    gives no rows. ``t`` follows from ``percent`` (``match_threshold``) where it is left out.
     """
     ship(docs.sparkSession)
     t = match_threshold(percent, k) if t is None else t
     sigs = written(signatures(docs, id_col, text_col, k, width), "signatures")
     usable = sigs.filter("id is not null and set_hash is not null")
-    first = usable.groupBy("set_hash").agg(F.min("id").alias("rep"))
-    member = written(usable.select("id", "set_hash").distinct().join(first, "set_hash").select("id", "rep"), "members")
-    reps = written(usable.join(first.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "sig", F.col("n_shingles").alias("n")), "representatives")
+    # rows of one set collapse before the shuffle; written, so that the numbers stay as they are
+    one = usable.groupBy("set_hash").agg(F.min(F.struct("id", "text_key")).alias("_row"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    nodes = written(one.select("set_hash", F.col("_row.id").alias("row_id"), F.col("_row.text_key").alias("row_text"), "sig", "n", F.monotonically_increasing_id().alias("id")), "representatives")
+    reps = nodes.select("id", "sig", "n")
     lists = written(prefix_postings(reps, k, t), "postings")
-    wanted = lists.select("id").distinct()
-    sets = written(shingle_sets(docs.join(wanted, docs[id_col] == wanted["id"], "left_semi").dropDuplicates([id_col]), id_col, text_col, width), "shingle-sets")
+    wanted = nodes.join(lists.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("node"), F.col("row_id").alias("_id"), F.col("row_text").alias("_key"))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).alias("text"))
+    sets = written(shingle_sets(texts.join(wanted, ["_id", "_key"]).dropDuplicates(["_id", "_key"]), "node", "text", width), "shingle-sets")
     alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("u"))
-    able = reps.join(wanted, "id", "left_semi").join(alone, "id", "left").withColumn("u", F.coalesce("u", F.lit(0))).filter(100 * (F.col("n") - F.col("u")) >= percent * F.col("n"))
+    able = reps.join(wanted.select(F.col("node").alias("id")), "id", "left_semi").join(alone, "id", "left").withColumn("u", F.coalesce("u", F.lit(0))).filter(100 * (F.col("n") - F.col("u")) >= percent * F.col("n"))
     reps = written(able, "candidates")
     lists = written(lists.join(reps.select("id"), "id", "left_semi"), "candidate-lists")
+    labels = _labels(lists, reps, sets, t, percent)
+
+    # written, so that Spark can split the rows of a hot set or component in the joins
+    named = written(nodes.select("set_hash", F.col("id")).join(labels.select("id", "component"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component")), "set-components")
+    rows = written(usable.join(named, "set_hash").select("id", "text_key", "n_shingles", "component"), "row-components")
+    first = written(rows.groupBy("component").agg(F.min(F.struct("id", "text_key")).alias("_first")), "component-heads")
+    linked = rows.join(first, "component").select("id", "n_shingles", F.col("_first.id").alias("component_id"), (F.struct("id", "text_key") == F.col("_first")).alias("kept"), "text_key")
+    apart = sigs.filter("id is null or set_hash is null").select("id", "n_shingles", F.col("id").alias("component_id"), F.lit(True).alias("kept"), "text_key")
+    return linked.unionByName(apart).withColumnRenamed("id", id_col)
+
 
+def _labels(lists: DataFrame, reps: DataFrame, sets: DataFrame, t: int, percent: int) -> DataFrame:
+    """id, component of every candidate: star rounds over the lists, then blocks of what is left."""
     links, labels = None, reps.select("id", (F.col("u") / F.col("n")).alias("own"), F.col("id").alias("component"))
     for turn in range(STAR_ROUNDS + 1):
         labelled = lists.join(labels, "id")
@@ -319,16 +340,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not new.isEmpty():
             known = connected_components(links)
             labels = written(reps.select("id", (F.col("u") / F.col("n")).alias("own")).join(known, F.col("id") == F.col("node"), "left").select("id", "own", F.coalesce("component", "id").alias("component")), "labels")
-    whole = member.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = sigs.join(whole, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return labels
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component (rows with a null id stay).
 
-    The least id stays. Rows that repeat an id need equal texts and stay or go
-    together; an empty table gives no rows.
+    The first row by id stays. Rows that repeat an id are told apart by their texts;
+    of rows alike in both, all stay or go. An empty table gives no rows.
     """
-    drop = near_duplicates(docs, id_col, text_col, **options).filter("not kept").select(F.col(id_col).alias("__drop"))
-    return docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
+    drop = near_duplicates(docs, id_col, text_col, **options).filter("not kept").select(F.col(id_col).alias("__drop"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(drop, (F.col(id_col) == F.col("__drop")) & (text_key(F.col(text_col)) == F.col("__key")), "left_anti")

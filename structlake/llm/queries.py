@@ -24,7 +24,7 @@ def tokenizer() -> tuple[str, str]:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
