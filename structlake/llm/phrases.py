@@ -2,11 +2,11 @@
 
 First pass: tasks count the hashes of their n-grams and deal them to hash partitions
 (ranges of the hash). Each partition's summaries are merged one after another. A merged
-summary holds at most ``capacity`` counters, which exceeds the partition's mass divided by
+summary holds at most ``capacity`` counters, several times the partition's mass divided by
 the threshold; what is over is brought down by taking the (capacity + 1)-th largest count
 from all counters. What was taken in all stays below the threshold - where a skewed
 partition would need more, its summary grows instead - so every n-gram as frequent as
-the threshold survives, whatever the data. Task summaries hold all that they saw: the
+the threshold survives, whatever the data. The less was taken, the fewer others do. Task summaries hold all that they saw: the
 least decrement in each of many tasks would use the threshold up.
 
 Words and pairs come first. Longer n-grams are counted only where each of their pairs
@@ -35,7 +35,9 @@ from .common import WordHasher, lean, mix64, text_blocks, written
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
 WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 #: n-grams that a task counts at once, and the mass of a hash partition, about.
-FLUSH, PART_MASS = 1 << 22, 1 << 26
+FLUSH, PART_MASS = 1 << 22, 1 << 25
+#: A summary's capacity, in masses divided by thresholds.
+ROOM = 4
 BLOCK_BYTES = 2 << 20
 #: A filter has about this many bits for a survivor, and no more than MOST_BITS in all (16 MB).
 BITS_EACH, MOST_BITS, PROBES = 16, 1 << 27, 4
@@ -89,10 +91,9 @@ class Grams:
         piece = np.cumsum(_SEPARATOR[data])[self.start] if len(self.start) else self.start
         self.goes_on = (self.text[1:] == self.text[:-1]) & (piece[1:] == piece[:-1])
 
-    def keys(self, most: int, checked: bool = False):
+    def keys(self, most: int):
         """For n = 1 to ``most``: (first words, keys); the keys tell lengths and languages apart."""
-        n_words, h = len(self.hash[0]), self.hash[1 if checked else 0]
-        step = _STEP[1 if checked else 0]
+        n_words, h, step = len(self.hash[0]), self.hash[0], _STEP[0]
         at, key = np.arange(n_words), h
         with np.errstate(over="ignore"):
             for n in range(1, most + 1):
@@ -103,6 +104,15 @@ class Grams:
                     at = on[keep]
                 yield at, mix64(key ^ (self.salt[at] + np.uint64(n) * step))
 
+    def checks(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Second hashes of the n-grams that begin at these words."""
+        h, step = self.hash[1], _STEP[1]
+        with np.errstate(over="ignore"):
+            key = h[at]
+            for k in range(1, n):
+                key = mix64(key * step + h[at + k])
+            return mix64(key ^ (self.salt[at] + np.uint64(n) * step))
+
 
 class Bloom:
     """A bounded set of 64-bit keys; may have keys that weren't put in."""
@@ -167,7 +177,7 @@ class Summary:
         first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])[: len(both)])
         self.keys, self.counts = both[first], np.add.reduceat(many, first) if len(first) else many
         self.most = max(self.most, len(self.keys))
-        self.capacity = max(self.capacity, self.mass // self.threshold + 1)
+        self.capacity = max(self.capacity, ROOM * self.mass // self.threshold + 1)
         if len(self.keys) > self.capacity:
             less = int(-np.partition(-self.counts, self.capacity)[self.capacity])
             less = min(less, self.threshold - 1 - self.taken)
@@ -229,7 +239,7 @@ def survivors(docs: DataFrame, widths: list[int], threshold: int, mass: int, pai
     """
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, math.ceil(mass / PART_MASS))
-    capacity = mass // parts // threshold + 1
+    capacity = ROOM * mass // parts // threshold + 1
 
     def run(batches):
         import pyarrow as pa
@@ -359,7 +369,7 @@ def _counted(docs: DataFrame, most: int, short: Bloom, long_: Bloom | None) -> D
             for langs, data, offsets in _blocks(batch):
                 grams.read(data, offsets, _lang_keys(langs))
                 names, good = np.array(langs, dtype=object), np.zeros(len(grams.start), dtype=bool)
-                for n, ((at, key), (_, check)) in enumerate(zip(grams.keys(most), grams.keys(most, checked=True), strict=True), 1):
+                for n, (at, key) in enumerate(grams.keys(most), 1):
                     if n <= 2:
                         fits = short.has(key)
                         if n == 2:
@@ -369,12 +379,12 @@ def _counted(docs: DataFrame, most: int, short: Bloom, long_: Bloom | None) -> D
                         for k in range(n - 1):
                             fits &= good[at + k]
                         fits[fits] = long_.has(key[fits])
-                    at, key, check = at[fits], key[fits], check[fits]
+                    at, key = at[fits], key[fits]
 
                     def put(which, counts, at=at, n=n):
                         return pa.array(names[grams.text[at[which]]], pa.string()), _phrase_texts(data, grams.start, grams.end, at[which], n), counts
 
-                    held.add(key, check, put)
+                    held.add(key, grams.checks(at, n), put)
                 if len(held.counts) >= HELD:
                     yield from held.flushed()
         yield from held.flushed()

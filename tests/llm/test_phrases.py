@@ -64,7 +64,7 @@ def test_equals_brute_force(spark):
 
 def test_small_bounds_change_nothing(spark, monkeypatch):
     """Many flushes, partitions, stretches, and a filter that lets nearly all through."""
-    for name, value in {"FLUSH": 50, "PART_MASS": 100, "BLOCK_BYTES": 64, "MOST_BITS": 1 << 12, "BITS_EACH": 1, "HELD": 20}.items():
+    for name, value in {"FLUSH": 50, "PART_MASS": 100, "BLOCK_BYTES": 64, "MOST_BITS": 1 << 12, "BITS_EACH": 1, "HELD": 20, "ROOM": 1}.items():
         monkeypatch.setattr(phrases, name, value)
     docs = spark.createDataFrame(texts(), "text string, lang string").repartition(3)
     assert sorted(map(tuple, collocations(docs, threshold=4).collect())) == brute(texts(), threshold=4)
@@ -74,9 +74,9 @@ def test_counts_are_exact_though_keys_meet(spark, monkeypatch):
     """Keys of four bits only: phrases are told apart by the second hash."""
     whole = phrases.Grams.keys
 
-    def narrow(self, most, checked=False):
-        for at, key in whole(self, most, checked):
-            yield at, key if checked else key & np.uint64(15)
+    def narrow(self, most):
+        for at, key in whole(self, most):
+            yield at, key & np.uint64(15)
 
     monkeypatch.setattr(phrases.Grams, "keys", narrow)
     grams_, every = phrases.Grams(checked=True), Bloom(np.full(64, -1, dtype=np.int64).view(np.uint64))
@@ -86,9 +86,9 @@ def test_counts_are_exact_though_keys_meet(spark, monkeypatch):
     for _ in range(2):
         grams_.read(data, np.array([0, 17, 20]), phrases._lang_keys(["x", "y"]))
         names = np.array(["x", "y"], dtype=object)
-        for n, ((at, key), (_, check)) in enumerate(zip(grams_.keys(2), grams_.keys(2, checked=True), strict=True), 1):
+        for n, (at, key) in enumerate(grams_.keys(2), 1):
             assert every.has(key).all()
-            held.add(key, check, lambda which, counts, at=at, n=n: (phrases_lang(names, grams_, at[which]), phrases._phrase_texts(data, grams_.start, grams_.end, at[which], n), counts))
+            held.add(key, grams_.checks(at, n), lambda which, counts, at=at, n=n: (phrases_lang(names, grams_, at[which]), phrases._phrase_texts(data, grams_.start, grams_.end, at[which], n), counts))
     got = Counter()
     for batch in held.flushed():
         for r in batch.to_pylist():
@@ -103,7 +103,8 @@ def phrases_lang(names, grams_, at):
 
 
 @pytest.mark.parametrize("skew", [0.0, 1.0, 2.0])
-def test_frequent_keys_survive_merged_summaries(skew):
+def test_frequent_keys_survive_merged_summaries(skew, monkeypatch):
+    monkeypatch.setattr(phrases, "ROOM", 1)
     rng = np.random.default_rng(int(skew * 10))
     p = 1 / np.arange(1, 20001) ** skew
     stream = rng.choice(20000, size=60000, p=p / p.sum()).astype(np.uint64)
@@ -121,7 +122,8 @@ def test_frequent_keys_survive_merged_summaries(skew):
             assert len(state.keys) <= state.capacity < len(exact) / 4
 
 
-def test_a_capacity_that_is_too_small_grows():
+def test_a_capacity_that_is_too_small_grows(monkeypatch):
+    monkeypatch.setattr(phrases, "ROOM", 1)
     state = Summary(3, 1)
     for k in range(100):
         state.merge([np.arange(k, k + 3, dtype=np.uint64)], [np.ones(3, dtype=np.int64)])
