@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .networks import score_networks
+
 
 def _dot(vector: Column, weights: list[float]) -> Column:
     return F.aggregate(F.zip_with(vector, F.array(*map(F.lit, map(float, weights))), lambda x, w: x.cast("double") * w), F.lit(0.0), lambda a, x: a + x)
@@ -55,15 +57,28 @@ def join_predictions_structures(predictions: DataFrame, structures: DataFrame, l
     return predictions.join(structures, label)
 
 
-def score_members(features: DataFrame, label: str, vector: str, members: dict[str, list[float]]) -> DataFrame:
-    """label, model_id, energy for every linear member, in one aggregation."""
+def score_members(features: DataFrame, label: str, vector: str, members: dict[str, list[float]] | DataFrame) -> DataFrame:
+    """label, model_id, energy for every member, in one pass over the features.
+
+    ``members`` is a dict of linear weights, summed by one aggregation (for a handful),
+    or a table of linear members and networks (``networks.score_networks``).
+    """
+    if isinstance(members, DataFrame):
+        return score_networks(features, label, vector, members)
     sums = features.groupBy(label).agg(*(F.sum(_dot(F.col(vector), w)).alias(m) for m, w in members.items()))
     pairs = F.array(*(F.struct(F.lit(m).alias("model_id"), F.col(m).alias("energy")) for m in members))
     return sums.select(label, F.explode(pairs).alias("_m")).select(label, "_m.model_id", "_m.energy")
 
 
-def score_ensemble(scores: DataFrame, weights: dict[str, float], label: str) -> DataFrame:
-    """label, energy: weighted sum over members (weights as given)."""
+def score_ensemble(scores: DataFrame, weights: dict[str, float] | DataFrame, label: str) -> DataFrame:
+    """label, energy: weighted sum over members (weights as given; members without one count nought).
+
+    ``weights`` is a dict, or a table with model_id and weight.
+    """
+    if isinstance(weights, DataFrame):
+        named = weights.select(F.col("model_id").alias("_m"), F.col("weight").alias("_w"))
+        weighted = scores.join(named, F.col("model_id") == F.col("_m"), "left")
+        return weighted.groupBy(label).agg(F.sum(F.col("energy") * F.coalesce("_w", F.lit(0.0))).alias("energy"))
     w = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
     return scores.groupBy(label).agg(F.sum(F.col("energy") * F.coalesce(F.try_element_at(w, F.col("model_id")), F.lit(0.0))).alias("energy"))
 

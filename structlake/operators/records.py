@@ -1,14 +1,13 @@
-"""Record tables: derived columns, group thresholds, selection, deduplication."""
+"""Record tables: derived columns, group thresholds, selection."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chem
-from ..shipping import ship
 from ..sources.paths import kept
 from .datasets import numbered
 
@@ -45,10 +44,17 @@ def pressure_corrected_enthalpy(records: DataFrame, enthalpy: str, volume: str,
 
 
 def select_by_label(records: DataFrame, wanted: DataFrame, label: str, position: str, order: str) -> DataFrame:
-    """For each wanted (label, position) the first record in ``order``; absent ones left out."""
-    first = records.groupBy(F.col(label).alias("_l")).agg(F.min(order).alias("_o"))
-    hit = wanted.join(first, F.col(label) == F.col("_l")).drop("_l", label)
-    return records.join(hit, F.col(order) == F.col("_o")).drop("_o")
+    """For each wanted (label, position) the first record in ``order``; absent ones left out.
+
+    Labels may repeat, among records and among what is wanted. Of records that are equal
+    in label and order one is taken, the least of the columns that have an order. A null
+    label is never found.
+    """
+    kinds = [f for f in records.schema.fields if f.name not in (label, order) and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    # few labels are wanted: only their records are compared, and a hot label's combine before the shuffle
+    of = records.join(wanted.select(F.col(label).alias("_l")).distinct(), F.col(label) == F.col("_l"), "left_semi")
+    least = of.groupBy(F.col(label).alias("_l")).agg(F.min_by(F.struct(*records.columns), F.struct(order, *(f.name for f in kinds))).alias("_r"))
+    return wanted.withColumnRenamed(label, "_w").join(least, F.col("_w") == F.col("_l")).select("_r.*", *(c for c in wanted.columns if c != label))
 
 
 def missing_labels(records: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
@@ -79,142 +85,6 @@ def min_energy_records(records: DataFrame, group: str, value: str, order: str) -
     return best.select(group, *(F.col(f"_b.{c}").alias(c) for c in [value, order, *others]))
 
 
-def _euclidean(point, points):
-    return (((points - point) ** 2).sum(axis=1)) ** 0.5
-
-
-def _sweep(order, points, labels, seeds, cut_off: float, distance, most: int | None = None):
-    """Leads and clusters of rows in order, after the leaders ``seeds`` (order, points, labels).
-
-    Goes from leader to leader: each covers the later rows that are near, so a row's
-    cluster ends up as its last near leader. Stops after ``most`` leaders.
-    """
-    import numpy as np
-
-    n = len(order)
-    covered, cluster, leads = np.zeros(n, dtype=bool), np.array(labels, dtype=object), np.zeros(n, dtype=bool)
-
-    def cover(at, point, label, first: int) -> None:
-        last = int(np.searchsorted(order, at + cut_off, side="right"))
-        if last > first:
-            near = first + np.flatnonzero(distance(point, points[first:last]) < cut_off)
-            covered[near] = True
-            cluster[near] = label
-
-    for at, point, label in zip(*seeds, strict=True):
-        cover(at, point, label, 0)
-    k = found = 0
-    while most is None or found < most:
-        # the next row that no leader covers
-        while k < n:
-            ahead = covered[k : k + 1024]
-            step = int(np.argmin(ahead))
-            if not ahead[step]:
-                k += step
-                break
-            k += len(ahead)
-        if k >= n:
-            break
-        leads[k] = True
-        found += 1
-        cover(order[k], points[k], labels[k], k + 1)
-        k += 1
-    return leads, cluster
-
-
-def _chunks(records: DataFrame, group: str, order: str, label: str, coordinates: list[str], chunk_rows: int) -> DataFrame:
-    """_g, _chunk, _order, _label, _x: each group's rows in order, cut into chunks."""
-    picked = records.select(F.col(group).alias("_g"), F.col(order).cast("double").alias("_order"), F.col(label).alias("_label"), F.array(*(F.col(c).cast("double") for c in coordinates)).alias("_x"))
-    ranked = numbered(picked, [F.col("_order"), F.col("_label")], by="_g")
-    return kept(ranked.withColumn("_chunk", F.floor((F.col("_n") - 1) / chunk_rows).cast("int")).drop("_n"), "chunks")
-
-
-def _swept(chunks: DataFrame, seeds: DataFrame, cut_off: float, distance, most: int | None) -> DataFrame:
-    """Rows of the chunks with cluster and lead, and (``tail``) the leaders that reach beyond them."""
-    kinds, columns = dict(chunks.dtypes), list(chunks.columns)
-
-    def run(rows, seen):
-        import numpy as np
-        import pandas as pd
-
-        rows, seen = rows.sort_values(["_order", "_label"], kind="stable"), seen.sort_values(["_order", "_label"], kind="stable")
-        if not len(rows):
-            return rows.assign(cluster=rows["_label"], lead=False, tail=False)
-        width = len(rows["_x"].iloc[0])
-        stacked = lambda f: np.array(f["_x"].tolist(), dtype=float).reshape(len(f), width)
-        order, points, labels = rows["_order"].to_numpy(), stacked(rows), rows["_label"].to_numpy()
-        before = (seen["_order"].tolist(), stacked(seen), seen["_label"].tolist())
-        leads, cluster = _sweep(order, points, labels, before, cut_off, distance, most)
-        out = rows.assign(cluster=cluster, lead=leads, tail=False)
-        ends = pd.concat([seen.drop(columns=["tail"], errors="ignore"), rows[leads]]) if len(seen) else rows[leads]
-        ends = ends[ends["_order"] + cut_off >= order[-1]]
-        return pd.concat([out, ends.assign(_chunk=out["_chunk"].iloc[0], cluster=ends["_label"], lead=True, tail=True)])[[*columns, "cluster", "lead", "tail"]]
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + f", cluster {kinds['_label']}, lead boolean, tail boolean"
-    return chunks.groupBy("_g", "_chunk").cogroup(seeds.groupBy("_g", "_chunk")).applyInPandas(run, schema)
-
-
-def _tails(swept: DataFrame, columns: list[str]) -> DataFrame:
-    """The leaders that each chunk hands to the next one."""
-    return swept.filter("tail").withColumn("_chunk", F.col("_chunk") + 1).select(*columns)
-
-
-def dedupe_greedy(records: DataFrame, group: str, order: str, label: str, coordinates: list[str], cut_off: float, distance=None, chunk_rows: int = 50_000) -> DataFrame:
-    """group, label, cluster, is_leader: leader clustering in order of ``order`` (then label).
-
-    A row is a leader when no earlier leader of its group is nearer than
-    ``cut_off``; ``cluster`` is the label of the last such leader, or its own.
-    ``distance`` (a point, an array of points) gives distances over ``coordinates``,
-    Euclidean where left out; it must not be less than the difference in ``order``, so
-    rows can't meet beyond ``cut_off`` in it. Labels must be unique in a group.
-
-    A group is cut into chunks in order. All chunks are swept side by side, then each
-    again from the leaders that the chunk before it hands over, until these no longer
-    change; that is the result of one sweep over the whole group. What a chunk
-    is handed over seldom matters far into it, so few rounds do.
-    """
-    if order not in coordinates:
-        raise ValueError("the order column must be one of the coordinates")
-    ship(records.sparkSession)
-    chunks = _chunks(records, group, order, label, coordinates, chunk_rows)
-    seeds, before = chunks.limit(0), None
-    while True:
-        swept = kept(_swept(chunks, seeds, cut_off, distance or _euclidean, None), "swept")
-        tails = _tails(swept, chunks.columns).join(chunks.select("_g", "_chunk").distinct().select(F.col("_g").alias("_h"), F.col("_chunk").alias("_c")), F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_chunk") == F.col("_c")), "left_semi")
-        state = tuple(tails.agg(F.count("*"), F.sum(F.xxhash64("_g", "_chunk", "_label").cast("decimal(38,0)"))).first())
-        if not state[0] or state == before:
-            break
-        seeds, before = tails, state
-    return swept.filter("not tail").select(F.col("_g").alias(group), F.col("_label").alias(label), "cluster", F.col("lead").alias("is_leader"))
-
-
-def select_refine(records: DataFrame, group: str, order: str, label: str, coordinates: list[str], cut_off: float, top_n: int = 10, distance=None, chunk_rows: int = 50_000) -> DataFrame:
-    """The rows of the first ``top_n`` leaders of each group.
-
-    Chunks are swept one after another, each only in the groups that still lack
-    leaders, and no further than these need.
-    """
-    if order not in coordinates:
-        raise ValueError("the order column must be one of the coordinates")
-    ship(records.sparkSession)
-    chunks = _chunks(records, group, order, label, coordinates, chunk_rows)
-    seeds, found, turn = chunks.limit(0), None, 0
-    now = chunks.filter("_chunk = 0")
-    while not now.isEmpty():
-        swept = kept(_swept(now, seeds, cut_off, distance or _euclidean, top_n), "swept")
-        leaders = swept.filter("lead and not tail").select("_g", "_order", "_label")
-        found = leaders if found is None else found.unionByName(leaders)
-        seeds, turn = _tails(swept, chunks.columns), turn + 1
-        full = found.groupBy("_g").agg(F.count("*").alias("_k")).filter(F.col("_k") >= top_n).select(F.col("_g").alias("_h"))
-        now = chunks.filter(F.col("_chunk") == turn).join(full, F.col("_g").eqNullSafe(F.col("_h")), "left_anti")
-    if found is None:
-        return records.limit(0)
-    # few leaders a group were found, so the window is over few rows
-    first = found.withColumn("_k", F.row_number().over(Window.partitionBy("_g").orderBy("_order", "_label"))).filter(F.col("_k") <= top_n)
-    names = kept(first.select("_g", "_label"), "leaders")
-    return records.join(names, F.col(group).eqNullSafe(F.col("_g")) & (F.col(label) == F.col("_label")), "left_semi")
-
-
 def sort_by_enthalpy(records: DataFrame, enthalpy: str, natoms: str) -> DataFrame:
     """Rows by enthalpy per atom, least first."""
     return records.orderBy(F.col(enthalpy) / F.col(natoms))

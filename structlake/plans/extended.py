@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chem
-from ..operators import datasets, evaluate, features, hull, models, neighbours, records
+from ..operators import datasets, evaluate, features, hull, leaders, models, neighbours, records
 from ..sources import shelx, texts
 from ..sources.paths import scratch
 from ..streaming import jobs
@@ -102,7 +102,7 @@ def _manhattan(point, points):
 @query(_GREEDY.replace("sqrt((x.e - o.p_retailprice) * (x.e - o.p_retailprice) + (x.s - o.s) * (x.s - o.s)) < 30", "abs(x.e - o.p_retailprice) + abs(x.s - o.s) < 40") + "SELECT p_brand, p_partkey, cluster, lead AS is_leader FROM g")
 def dedupe_by_distance(spark, sf_dir):
     """Greedy clusters under a distance function of the caller."""
-    return records.dedupe_greedy(table(spark, sf_dir, "part"), "p_brand", "p_retailprice", "p_partkey", ["p_retailprice", "p_size"], 40.0, _manhattan)
+    return leaders.dedupe_greedy(table(spark, sf_dir, "part"), "p_brand", "p_retailprice", "p_partkey", ["p_retailprice", "p_size"], 40.0, _manhattan)
 
 
 # --- evaluation -------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chem
-from ..operators import datasets, evaluate, features, fitting, forces, generate, hull, models, neighbours, records
+from ..operators import datasets, evaluate, features, fitting, forces, generate, hull, leaders, models, neighbours, networks, records
 from ..sources import shelx, texts
 from ..streaming import jobs
 
@@ -103,12 +103,12 @@ g AS (SELECT p_brand, k, p_partkey, true AS lead, p_partkey AS cluster, [{'e': p
 
 @query(_GREEDY + "SELECT p_brand, p_partkey, cluster, lead AS is_leader FROM g")
 def dedupe_greedy(spark, sf_dir):
-    return records.dedupe_greedy(table(spark, sf_dir, "part"), "p_brand", "p_retailprice", "p_partkey", ["p_retailprice", "p_size"], 30.0)
+    return leaders.dedupe_greedy(table(spark, sf_dir, "part"), "p_brand", "p_retailprice", "p_partkey", ["p_retailprice", "p_size"], 30.0)
 
 
 @query(_GREEDY + "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY k) AS n FROM g WHERE lead) WHERE n <= 10")
 def select_refine(spark, sf_dir):
-    return records.select_refine(table(spark, sf_dir, "part"), "p_brand", "p_retailprice", "p_partkey", ["p_retailprice", "p_size"], 30.0, 10).select("p_brand", "p_partkey")
+    return leaders.select_refine(table(spark, sf_dir, "part"), "p_brand", "p_retailprice", "p_partkey", ["p_retailprice", "p_size"], 30.0, 10).select("p_brand", "p_partkey")
 
 
 @query("SELECT count(*) AS n, max(l_linenumber) AS max_size, min(l_linenumber) AS min_size, round(max(l_extendedprice / l_linenumber), 6) AS max_per_atom, round(min(l_extendedprice / l_linenumber), 6) AS min_per_atom FROM lineitem")
@@ -141,6 +141,14 @@ def select_by_label(spark, sf_dir):
     return records.select_by_label(table(spark, sf_dir, "orders"), wanted, "o_orderpriority", "pos", "o_orderkey").select("pos", "o_orderkey", "o_orderpriority")
 
 
+@query("WITH w AS (SELECT *, row_number() OVER (PARTITION BY l_shipmode ORDER BY l_linenumber, l_orderkey, l_partkey) AS k FROM lineitem), v(l, pos) AS (VALUES ('AIR', 0), ('RAIL', 1), ('nothing', 2), ('AIR', 3)) SELECT v.pos, l_shipmode, l_linenumber, l_orderkey, l_partkey FROM v JOIN w ON l = l_shipmode WHERE k = 1")
+def select_by_label_repeated(spark, sf_dir):
+    """Records whose labels and places in the order both repeat."""
+    wanted = spark.createDataFrame([("AIR", 0), ("RAIL", 1), ("nothing", 2), ("AIR", 3)], "l_shipmode string, pos int")
+    rows = table(spark, sf_dir, "lineitem").select("l_shipmode", "l_linenumber", "l_orderkey", "l_partkey")
+    return records.select_by_label(rows, wanted, "l_shipmode", "pos", "l_linenumber")
+
+
 # --- compositions and other column functions -----------------------------------------
 
 _COMP = "c AS (SELECT l_orderkey, list_sort(list({'k': l_returnflag, 'v': n})) AS m, sum(n) AS total FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1), d AS (SELECT *, list_reduce(list_transform(m, lambda x: x.v), lambda a, b: gcd(a, b)) AS g FROM c)"
@@ -507,6 +515,39 @@ def score_ensemble(spark, sf_dir):
     return models.score_ensemble(models.score_members(_vectors(spark, sf_dir), "label", "fvec", _W), _WEIGHT, "label").select("label", F.round("energy", 5).alias("energy"))
 
 
+#: Networks of one hidden layer: widths, parameters, and the scales of two of them.
+_NETS = [
+    ("n1", 0.5, [3, 2, 1], [0.5, -0.2, 0.1, 0.0, 1.0, -0.3, 0.05, -0.1, 0.7, -1.2, 0.4], None, None, None, None),
+    ("n2", 0.3, [3, 2, 1], [-0.4, 0.3, 0.8, 1.1, -0.6, 0.2, 0.2, 0.0, -0.9, 0.5, 0.1], [0.1, -0.2, 0.3], [0.5, 2.0, 1.5], -0.75, 2.5),
+    ("n3", 0.2, [3, 1, 1], [0.6, 0.6, -0.6, 0.3, 1.4, -0.2], None, None, 0.25, 0.5),
+]
+
+
+def _net_sql(net: tuple) -> str:
+    name, _, (d, h, _), p, mean, std, y_mean, y_std = net
+    x = [f"((embedding[{k + 1}]::DOUBLE - {mean[k]}::DOUBLE) / {std[k]}::DOUBLE)" if mean else f"embedding[{k + 1}]::DOUBLE" for k in range(d)]
+    hidden = ["tanh(" + " + ".join(f"{p[j * d + k]}::DOUBLE * {x[k]}" for k in range(d)) + f" + {p[h * d + j]}::DOUBLE)" for j in range(h)]
+    out = " + ".join(f"{p[h * d + h + j]}::DOUBLE * {hidden[j]}" for j in range(h)) + f" + {p[-1]}::DOUBLE"
+    return f"SELECT label, '{name}' AS model_id, sum(({out}) * {y_std or 1.0}::DOUBLE + {y_mean or 0.0}::DOUBLE) AS energy FROM embeddings GROUP BY label"
+
+
+_NET_SCORES = "s AS (" + " UNION ALL ".join(map(_net_sql, _NETS)) + ")"
+
+
+@query(f"WITH {_NET_SCORES} SELECT label, model_id, round(energy, 5) AS energy FROM s")
+def score_networks(spark, sf_dir):
+    """Three networks, one behind scaled inputs, scored side by side."""
+    got = models.score_members(_vectors(spark, sf_dir), "label", "fvec", networks.member_table(spark, _NETS))
+    return got.select("label", "model_id", F.round("energy", 5).alias("energy"))
+
+
+@query(f"WITH {_NET_SCORES} SELECT label, round(sum(energy * CASE model_id WHEN 'n1' THEN 0.5 WHEN 'n2' THEN 0.3 ELSE 0.2 END), 5) AS energy FROM s GROUP BY label")
+def score_network_ensemble(spark, sf_dir):
+    members = networks.member_table(spark, _NETS)
+    got = models.score_ensemble(models.score_members(_vectors(spark, sf_dir), "label", "fvec", members), members, "label")
+    return got.select("label", F.round("energy", 5).alias("energy"))
+
+
 @query(f"WITH {_SCORES} SELECT label, round(stddev_samp(energy / natoms), 6) AS std FROM s WHERE model_id <> 'm3' GROUP BY label")
 def ensemble_std(spark, sf_dir):
     scores = models.score_members(_vectors(spark, sf_dir), "label", "fvec", _W)

@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from structlake.functions import chem
-from structlake.operators import datasets, hull, models, neighbours, records
+from structlake.operators import datasets, hull, leaders, models, neighbours, networks, records
 from structlake.sources import shelx, texts
 from structlake.streaming import jobs
 
@@ -78,20 +79,118 @@ def test_greedy_dedupe_equals_the_sequential_sweep(spark, chunk_rows, metric):
     rng = random.Random(1)
     rows = [(f"l{k:03}", rng.choice(["a", "b", None]), round(rng.uniform(0, 4), 2), round(rng.uniform(0, 1), 2)) for k in range(300)]
     table = spark.createDataFrame(rows, "label string, g string, e double, v double")
-    got = {r.label: (r.cluster, r.is_leader) for r in records.dedupe_greedy(table, "g", "e", "label", ["e", "v"], 0.1, metric, chunk_rows).collect()}
+    got = {r.label: (r.cluster, r.is_leader) for r in leaders.dedupe_greedy(table, "g", "e", "label", ["e", "v"], 0.1, metric, chunk_rows).collect()}
     few = {}
-    for r in records.select_refine(table, "g", "e", "label", ["e", "v"], 0.1, 10, metric, chunk_rows).collect():
+    for r in leaders.select_refine(table, "g", "e", "label", ["e", "v"], 0.1, 10, metric, chunk_rows).collect():
         few.setdefault(r.g, set()).add(r.label)
     far = (lambda x, y: abs(x) + abs(y)) if metric else math.hypot
     for g in ("a", "b", None):
-        leaders = []
+        found = []
         for label, _, e, v in sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0])):
-            near = [m for m, x, y in leaders if far(e - x, v - y) < 0.1]
+            near = [m for m, x, y in found if far(e - x, v - y) < 0.1]
             assert got[label] == ((near[-1], False) if near else (label, True))
             if not near:
-                leaders.append((label, e, v))
-        assert few[g] == {m for m, *_ in leaders[:10]}
-    assert records.dedupe_greedy(table.limit(0), "g", "e", "label", ["e", "v"], 0.1).count() == 0
+                found.append((label, e, v))
+        assert few[g] == {m for m, *_ in found[:10]}
+    assert leaders.dedupe_greedy(table.limit(0), "g", "e", "label", ["e", "v"], 0.1).count() == 0
+
+
+@pytest.fixture
+def sweeps(monkeypatch):
+    """Rounds of swept chunks, as they are made."""
+    seen, whole = [], leaders._swept
+
+    def counted(chunks, *rest):
+        seen.append(chunks.select("_g", "_chunk").distinct().count())
+        return whole(chunks, *rest)
+
+    monkeypatch.setattr(leaders, "_swept", counted)
+    return seen
+
+
+def test_chunks_of_like_rows_need_few_sweeps(spark, sweeps):
+    table = spark.range(4000).selectExpr("id", "'g' as g", "1.0D as e", "2.0D as v")
+    assert [r.id for r in leaders.select_refine(table, "g", "e", "id", ["e", "v"], 0.1, 10, chunk_rows=100).collect()] == [0]
+    assert len(sweeps) <= 6 and sum(sweeps) == 40
+    sweeps.clear()
+    got = leaders.dedupe_greedy(table, "g", "e", "id", ["e", "v"], 0.1, chunk_rows=100).groupBy("cluster").count().collect()
+    assert [tuple(r) for r in got] == [(0, 4000)]
+    assert len(sweeps) <= 3 and sum(sweeps) == 40
+
+
+def test_only_chunks_whose_leaders_change_are_swept_again(spark, sweeps):
+    # far apart but for one run of rows, each near the one before it
+    orders = [float(k) for k in range(300)] + [299.0 + 0.07 * k for k in range(1, 101)]
+    table = spark.createDataFrame([(k, "g", e) for k, e in enumerate(orders)], "id long, g string, e double")
+    got = {r.id: r.is_leader for r in leaders.dedupe_greedy(table, "g", "e", "id", ["e"], 0.1, chunk_rows=10).collect()}
+    assert [got[k] for k in range(300)] == [True] * 300 and [got[299 + k] for k in range(101)] == [k % 2 == 0 for k in range(101)]
+    assert sum(sweeps) <= 40 + 25, sweeps
+
+
+def test_first_leaders_stop_early(spark, sweeps):
+    table = spark.range(3000).selectExpr("id", "id % 3 as g", "cast(id as double) as e")
+    got = leaders.select_refine(table, "g", "e", "id", ["e"], 0.5, 10, chunk_rows=20).collect()
+    assert sorted(r.id for r in got) == list(range(30)) and sum(sweeps) == 3
+
+
+def test_records_are_selected_by_label_and_order(spark):
+    rows = spark.createDataFrame([("a", 0, "x"), ("b", 0, "y"), ("b", 1, "z"), ("a", 0, "w"), (None, 0, "n")], "l string, o long, c string")
+    wanted = spark.createDataFrame([("a", 1), ("a", 2), ("none", 3), (None, 4)], "l string, pos long")
+    got = records.select_by_label(rows, wanted, "l", "pos", "o")
+    assert got.columns == ["l", "o", "c", "pos"] and sorted(map(tuple, got.collect())) == [("a", 0, "w", 1), ("a", 0, "w", 2)]
+    assert records.select_by_label(rows.limit(0), wanted, "l", "pos", "o").count() == 0
+
+
+def plain_outputs(x, row):
+    """One network in plain numpy."""
+    _, _, sizes, params, x_mean, x_std, y_mean, y_std = row
+    if x_mean is not None:
+        x = (x - np.array(x_mean)) / np.array(x_std)
+    if sizes is None:
+        return x @ np.array(params)
+    at = 0
+    for k, (a, b) in enumerate(zip(sizes, sizes[1:])):
+        w, bias = np.array(params[at : at + a * b]).reshape(b, a), np.array(params[at + a * b : at + (a + 1) * b])
+        x, at = x @ w.T + bias, at + (a + 1) * b
+        if k < len(sizes) - 2:
+            x = np.tanh(x)
+    return x[:, 0] * (1.0 if y_std is None else y_std) + (0.0 if y_mean is None else y_mean)
+
+
+@pytest.mark.parametrize("limits", [{}, {"member_bytes": 3000, "slot_bytes": 20000}])
+def test_networks_are_scored_side_by_side(spark, limits):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 50))
+    labels = [None if k % 11 == 0 else f"s{k % 7}" for k in range(120)]
+    members = []
+    for m, sizes in enumerate([[50, 4, 1]] * 5 + [[50, 3, 2, 1]] * 3 + [None] * 2):
+        n = 50 if sizes is None else sum((a + 1) * b for a, b in zip(sizes, sizes[1:]))
+        scaled = m % 2 == 1 and sizes is not None
+        members.append((f"m{m}", 1.0, sizes, rng.normal(size=n).tolist(), rng.normal(size=50).tolist() if scaled else None, rng.uniform(0.5, 2, 50).tolist() if scaled else None, 0.3 if scaled else None, 1.7 if scaled else None))
+    rows = spark.createDataFrame([(a, v.tolist()) for a, v in zip(labels, x)] + [("s1", None), ("only null", None)], "label string, v array<double>").repartition(3)
+    got = {(r.label, r.model_id): r.energy for r in networks.score_networks(rows, "label", "v", networks.member_table(spark, members), **limits).collect()}
+    want = {}
+    for row in members:
+        for a, e in zip(labels, plain_outputs(x, row)):
+            want[a, row[0]] = want.get((a, row[0]), 0.0) + e
+    assert got == pytest.approx(want)
+
+
+def test_many_networks_in_one_pass(spark):
+    rng, sizes = np.random.default_rng(4), [500, 8, 1]
+    members = [(f"m{m}", 1 / 64, sizes, rng.normal(size=501 * 8 + 9).tolist(), None, None, None, None) for m in range(64)]
+    x = rng.normal(size=(60, 500))
+    rows = spark.createDataFrame([(k // 4, v.tolist()) for k, v in enumerate(x)], "label long, v array<double>")
+    table = networks.member_table(spark, members)
+    got = models.score_members(rows, "label", "v", table)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and len(plan) < 5000
+    mean = np.mean([plain_outputs(x, r) for r in members], axis=0).reshape(15, 4).sum(axis=1)
+    assert {r.label: r.energy for r in models.score_ensemble(got, table, "label").collect()} == pytest.approx(dict(enumerate(mean)))
+    assert models.score_members(rows, "label", "v", table.limit(0)).count() == 0
+    assert models.score_members(rows.limit(0), "label", "v", table).count() == 0
+    with pytest.raises(Exception, match="500 components|parameters"):
+        networks.score_networks(rows, "label", "v", networks.member_table(spark, [("m", 1.0, [3, 1], [0.0] * 4, None, None, None, None)])).collect()
 
 
 def test_splits_are_exact_and_keep_siblings(spark):
