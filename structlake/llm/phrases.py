@@ -14,9 +14,10 @@ survived, since an n-gram is never more frequent than a part of it. Survivors tr
 as a Bloom filter of bounded size; what it lets through by mistake costs time, not
 exactness.
 
-Second pass: tasks count the n-grams that pass the filters by their words, Spark
-adds these up and drops what is below the threshold. Parts of frequent phrases are
-frequent, so the same table gives l and r by joins.
+Second pass: tasks count the n-grams that pass the filters by their words, and deal them
+packed to the same hash partitions, where they are added up and what is below the
+threshold is dropped. Parts of frequent phrases are frequent, so the same table gives l
+and r by joins.
 """
 
 from __future__ import annotations
@@ -188,6 +189,15 @@ class Summary:
         return self.keys[self.counts + self.taken >= self.threshold]
 
 
+def _parts(docs: DataFrame, mass: int) -> int:
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(mass / PART_MASS))
+
+
+def _edges(parts: int) -> np.ndarray:
+    """The least key of every hash partition but the first; key k is in floor(k * parts / 2**64)."""
+    return np.array([-((-p << 64) // parts) for p in range(1, parts)], dtype=np.uint64)
+
+
 def _task_summaries(docs: DataFrame, widths: list[int], parts: int, pairs: Bloom | None) -> DataFrame:
     """part, keys, counts: what each task saw, a row for each hash partition."""
 
@@ -195,9 +205,8 @@ def _task_summaries(docs: DataFrame, widths: list[int], parts: int, pairs: Bloom
         import pyarrow as pa
 
         keys, counts = np.unique(np.concatenate(pending), return_counts=True)
-        # the part of key k is floor(k * parts / 2**64), so sorted keys lie part by part
-        edges = np.searchsorted(keys, np.array([-((-p << 64) // parts) for p in range(1, parts)], dtype=np.uint64))
-        cut = np.concatenate([[0], edges, [len(keys)]])
+        # sorted keys lie part by part
+        cut = np.concatenate([[0], np.searchsorted(keys, _edges(parts)), [len(keys)]])
         some = np.flatnonzero(np.diff(cut))
         counts = counts.astype(np.uint32)
         packed = lambda a: pa.array([a[cut[p] : cut[p + 1]].tobytes() for p in some.tolist()], pa.binary())
@@ -237,8 +246,7 @@ def survivors(docs: DataFrame, widths: list[int], threshold: int, mass: int, pai
     ``docs`` has lang and text without nulls; ``mass`` is at least the number of n-grams
     (it sets the number of partitions and the least capacity).
     """
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, math.ceil(mass / PART_MASS))
+    parts = _parts(docs, mass)
     capacity = ROOM * mass // parts // threshold + 1
 
     def run(batches):
@@ -303,7 +311,7 @@ class _Held:
         self.rows: list = []
 
     def add(self, key: np.ndarray, check: np.ndarray, put) -> None:
-        """Count occurrences; ``put(which, counts)`` makes rows (lang, phrase, counts) of occurrences."""
+        """Count occurrences; ``put(which)`` gives the languages and phrases of some of them."""
         if not len(key):
             return
         unique, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
@@ -314,29 +322,41 @@ class _Held:
         # keys that meet by chance: such occurrences make rows of their own
         other = np.flatnonzero(check != want[inverse])
         if len(other):
-            self.rows.append(put(other, np.ones(len(other), dtype=np.int64)))
+            self.rows.append((key[other], *put(other), np.ones(len(other), dtype=np.int64)))
             counts -= np.bincount(inverse[other], minlength=len(unique))
         self.counts[self.slots[place[known]]] += counts[known]
         new = np.flatnonzero(~known)
         if len(new):
             slots = len(self.counts) + np.arange(len(new))
-            self.rows.append(put(first[new], None))
+            self.rows.append((unique[new], *put(first[new]), None))
             self.counts = np.concatenate([self.counts, counts[new]])
             self.checks = np.concatenate([self.checks, want[new]])
             keys = np.concatenate([self.keys, unique[new]])
             order = np.argsort(keys, kind="stable")
             self.keys, self.slots = keys[order], np.concatenate([self.slots, slots])[order]
 
-    def flushed(self):
-        """Everything held, as record batches; nothing is held afterwards."""
+    def flushed(self, parts: int):
+        """Everything held, packed by hash partition and language; nothing is held afterwards."""
         import pyarrow as pa
 
-        at, counts = 0, self.counts
-        for langs, phrases, own in self.rows:
-            if own is None:
-                own, at = counts[at : at + len(phrases)], at + len(phrases)
-            yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(own)], names=["lang", "phrase", "f"])
+        if not self.rows:
+            return None
+        at, own = 0, []
+        for keys, _, _, counts in self.rows:
+            if counts is None:
+                counts, at = self.counts[at : at + len(keys)], at + len(keys)
+            own.append(counts)
+        part = np.searchsorted(_edges(parts), np.concatenate([r[0] for r in self.rows]), side="right")
+        langs = pa.chunked_array([r[1] for r in self.rows]).combine_chunks().dictionary_encode()
+        phrases = pa.chunked_array([r[2] for r in self.rows]).combine_chunks()
+        code = langs.indices.to_numpy()
+        order = np.lexsort((code, part))
+        part, code = part[order], code[order]
+        first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (code[1:] != code[:-1])]))
+        off = pa.array(np.append(first, len(order)).astype(np.int32))
+        packed = [pa.ListArray.from_arrays(off, a) for a in (phrases.take(pa.array(order)), pa.array(np.concatenate(own)[order]))]
         self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(part[first]), langs.dictionary.take(pa.array(code[first])), *packed], names=["part", "lang", "phrases", "counts"])
 
 
 def _phrase_texts(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, n: int):
@@ -358,8 +378,8 @@ def _phrase_texts(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.n
     return joined.cast(pa.large_string()).cast(pa.string())
 
 
-def _counted(docs: DataFrame, most: int, short: Bloom, long_: Bloom | None) -> DataFrame:
-    """lang, phrase, f: occurrences in each task of the n-grams that pass the filters."""
+def _counted(docs: DataFrame, most: int, parts: int, short: Bloom, long_: Bloom | None) -> DataFrame:
+    """part, lang, phrases, counts: what each task counted of the n-grams that pass the filters."""
 
     def run(batches):
         import pyarrow as pa
@@ -380,16 +400,53 @@ def _counted(docs: DataFrame, most: int, short: Bloom, long_: Bloom | None) -> D
                             fits &= good[at + k]
                         fits[fits] = long_.has(key[fits])
                     at, key = at[fits], key[fits]
+                    held.add(key, grams.checks(at, n), lambda which, at=at, n=n: (pa.array(names[grams.text[at[which]]], pa.string()), _phrase_texts(data, grams.start, grams.end, at[which], n)))
+                if len(held.counts) >= HELD:
+                    yield held.flushed(parts)
+        if held.rows:
+            yield held.flushed(parts)
 
-                    def put(which, counts, at=at, n=n):
-                        return pa.array(names[grams.text[at[which]]], pa.string()), _phrase_texts(data, grams.start, grams.end, at[which], n), counts
+    return docs.mapInArrow(lean(run), "part long, lang string, phrases array<string>, counts array<long>")
 
-                    held.add(key, grams.checks(at, n), put)
-                if len(held.counts) >= HELD:
-                    yield from held.flushed()
-        yield from held.flushed()
 
-    return docs.mapInArrow(lean(run), "lang string, phrase string, f long")
+def _added(packed: DataFrame, parts: int, threshold: int) -> DataFrame:
+    """lang, phrase, f of the phrases that reach the threshold, hash partition by hash partition."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, held, size = None, [], 0
+
+        def summed(tables):
+            got = pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+            return got.rename_columns({"f_sum": "f"}).select(["lang", "phrase", "f"])
+
+        def ended():
+            got = summed(held)
+            keep = got.column("f").to_numpy() >= threshold
+            return got.filter(pa.array(keep)).combine_chunks().to_batches()
+
+        for batch in batches:
+            parts_ = batch.column("part").to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], parts_[1:] != parts_[:-1]])[: len(parts_)])
+            for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(parts_)]):
+                if parts_[lo] != now:
+                    if held:
+                        yield from ended()
+                    now, held, size = parts_[lo], [], 0
+                rows = batch.slice(lo, hi - lo)
+                phrases = rows.column("phrases")
+                lang = rows.column("lang").take(pa.array(np.repeat(np.arange(len(rows)), np.diff(phrases.offsets.to_numpy()))))
+                held.append(pa.table({"lang": lang, "phrase": phrases.flatten(), "f": rows.column("counts").flatten()}))
+                size += len(lang)
+                if size > 2 * HELD:
+                    held = [summed(held)]
+                    size = 0
+        if held:
+            yield from ended()
+
+    dealt = packed.repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(lean(run), "lang string, phrase string, f long")
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 4, threshold: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -405,8 +462,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     mass = int(totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     short = bloom_filter(survivors(rows, [1, 2], threshold, 2 * mass))
     long_ = bloom_filter(survivors(rows, list(range(3, most + 1)), threshold, (most - 2) * mass, short)) if most > 2 else None
-    found = _counted(rows, most, short, long_).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= threshold)
-    return written(found, "phrase-counts"), totals
+    parts = _parts(docs, most * mass)
+    return written(_added(_counted(rows, most, parts, short, long_), parts, threshold), "phrase-counts"), totals
 
 
 def _wide(c: Column) -> Column:

@@ -88,11 +88,11 @@ def test_counts_are_exact_though_keys_meet(spark, monkeypatch):
         names = np.array(["x", "y"], dtype=object)
         for n, (at, key) in enumerate(grams_.keys(2), 1):
             assert every.has(key).all()
-            held.add(key, grams_.checks(at, n), lambda which, counts, at=at, n=n: (phrases_lang(names, grams_, at[which]), phrases._phrase_texts(data, grams_.start, grams_.end, at[which], n), counts))
+            held.add(key, grams_.checks(at, n), lambda which, at=at, n=n: (phrases_lang(names, grams_, at[which]), phrases._phrase_texts(data, grams_.start, grams_.end, at[which], n)))
     got = Counter()
-    for batch in held.flushed():
-        for r in batch.to_pylist():
-            got[r["lang"], tuple(r["phrase"].split(" "))] += r["f"]
+    for r in held.flushed(3).to_pylist():
+        for phrase, f in zip(r["phrases"], r["counts"], strict=True):
+            got[r["lang"], tuple(phrase.split(" "))] += f
     assert got == Counter({k: 2 * v for k, v in count.items()})
 
 
