@@ -18,9 +18,9 @@ a text's words, so groups of copies weigh as one and short texts need no wide ba
 all.
 
 A model whose arrays fit ``broadcast_bytes`` is broadcast and texts are scored
-where they lie. A larger one stays distributed: the n-grams of each text are
-counted and joined with it, order by order, by the same formulas in the same
-precision.
+where they lie. A larger one stays distributed: its arrays lie in shards, ranges of the
+hash, and the n-grams of all texts are dealt to the shards and looked up there, order by
+order, by the same formulas in the same precision.
 """
 
 from __future__ import annotations
@@ -36,9 +36,11 @@ from ..shipping import ship
 from .common import WordHasher, lean, mix64, text_blocks, windows, written
 
 ORDER = 5
-#: Of the model's arrays (16 bytes an n-gram, 24 a context); beyond it scoring is a join.
+#: Of the model's arrays (16 bytes an n-gram, 24 a context); beyond it texts meet them shard by shard.
 BROADCAST_BYTES = 128 << 20
-SHARDS = 64
+SHARDS, SHARD_BYTES = 64, 32 << 20
+#: n-grams that look into a shard from one task, about.
+SLOT_ROWS = 1 << 22
 #: Text that is scored at once: its n-grams take some hundred bytes each.
 SCORE_BYTES = 1 << 19
 #: Half widths in robust standard deviations of a text's length: nats a byte, nats a
@@ -447,17 +449,75 @@ def counted_and_scored(docs: DataFrame, model: Model, id_col: str = "doc_id", te
 
     out = picked.mapInArrow(lean(run), f"id {kind}, lang string, {', '.join(f'{c} long' for c in COUNTS)}, n_bytes long, log_ppl double{'' if local else ', key binary'}")
     if not local:
-        scored = _scored_by_join(picked, model).withColumnRenamed("key", "_key")
+        scored = _scored_by_shards(picked, model).withColumnRenamed("key", "_key")
         out = out.drop("log_ppl").join(scored, F.col("key") == F.col("_key"), "left").drop("key", "_key")
     return out.withColumn("log_ppl", F.round("log_ppl", 9)).withColumnRenamed("id", id_col).withColumn("base_failed", _failed())
 
 
-def _scored_by_join(picked: DataFrame, model: Model) -> DataFrame:
-    """key, log_ppl: each text's n-grams joined with the distributed model.
+def _hashed(rows: DataFrame, shards: int) -> DataFrame:
+    """Adds _shard and _h, by which ``hash_arrays`` holds (lang, k, gram)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lang, k = batch.column("lang").to_pylist(), batch.column("k").to_pylist()
+            salts = {x: _salt(*x) for x in set(zip(lang, k, strict=True))}
+            salt = np.array([salts[x] for x in zip(lang, k, strict=True)], dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                h = mix64(batch.column("gram").to_numpy(zero_copy_only=False).astype(np.uint64) + salt)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((h >> np.uint64(32)).astype(np.int64) * shards >> 32), pa.array(h.view(np.int64))], names=[*batch.schema.names, "_shard", "_h"])
+
+    return rows.mapInArrow(lean(run), ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", _shard long, _h long")
+
+
+def looked_up(rows: DataFrame, arrays: DataFrame, values: dict[str, str], shards: int, slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """``rows`` (lang, k, gram and more) with the ``values`` of their n-gram, nought where it is absent.
+
+    ``arrays`` is a written table of ``hash_arrays``. Rows are dealt to the shards; the rows
+    of a shard that many look into are spread over slots, each with the shard's arrays. A
+    task holds one shard's arrays, which come first, and a batch of rows.
+    """
+    hashed = _hashed(rows, shards)
+    # a row for each shard
+    busiest = hashed.groupBy("_shard").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    slots = max(1, -(-busiest // slot_rows))
+    asked = hashed.withColumn("_slot", F.pmod(F.xxhash64("_h", F.monotonically_increasing_id()), F.lit(slots)).cast("int"))
+    held = arrays.select(F.col("shard").alias("_shard"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("_slot"), F.col("hashes").alias("_hashes"), *(F.col(v).alias(f"_v_{v}") for v in values))
+    columns = rows.columns
+    both = asked.withColumn("_last", F.lit(1)).unionByName(held.withColumn("_last", F.lit(0)), allowMissingColumns=True)
+    dealt = both.repartition(shards * slots, "_shard", "_slot").sortWithinPartitions("_shard", "_slot", "_last")
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, table = None, None
+        for batch in batches:
+            place = list(zip(batch.column("_shard").to_pylist(), batch.column("_slot").to_pylist(), batch.column("_last").to_pylist(), strict=True))
+            edge = [k for k in range(len(place)) if not k or place[k] != place[k - 1]]
+            for lo, hi in zip(edge, [*edge[1:], len(place)]):
+                shard, slot, last = place[lo]
+                part = batch.slice(lo, hi - lo)
+                if not last:
+                    of = lambda c, kind: part.column(c)[0].values.to_numpy(zero_copy_only=False).astype(kind)  # noqa: B023, E731
+                    now, table = (shard, slot), HashArrays(of("_hashes", np.int64).view(np.uint64) ^ np.uint64(1 << 63), *(of(f"_v_{v}", np.float64 if t == "double" else np.int64) for v, t in values.items()))
+                    continue
+                if (shard, slot) != now:
+                    now, table = (shard, slot), HashArrays(np.zeros(0, dtype=np.uint64), *(np.zeros(0, dtype=np.float64 if t == "double" else np.int64) for t in values.values()))
+                found = table.look_up(part.column("_h").to_numpy().view(np.uint64))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *map(pa.array, found)], names=[*columns, *values])
+
+    return dealt.mapInArrow(lean(run), ", ".join(f"{c} {t}" for c, t in [*rows.dtypes, *values.items()]))
+
+
+def _scored_by_shards(picked: DataFrame, model: Model) -> DataFrame:
+    """key, log_ppl: each text's n-grams looked up in the shards of the model's arrays.
 
     The same steps as ``Scorer.score``: down the orders for what is left of counts,
     totals and discounted masses, then up for the probabilities.
     """
+    shards = [max(SHARDS, -(-t.count() * each // SHARD_BYTES)) for t, each in ((model.counts, 16), (model.contexts, 24))]
+    counts, contexts = (written(hash_arrays(t, v, n), "hash-arrays") for t, v, n in ((model.counts, ["n"], shards[0]), (model.contexts, ["total", "cut"], shards[1])))
     order = model.order
 
     def run(batches):
@@ -479,17 +539,16 @@ def _scored_by_join(picked: DataFrame, model: Model) -> DataFrame:
     rows = written(rows.groupBy("key", "lang", "gram").agg(F.first("own").alias("own"), F.first("times").alias("times")), "text-grams")
     level, levels = rows.select("key", "lang", "gram", "own"), {}
     for k in range(order, 0, -1):
-        on = F.col("lang").eqNullSafe(F.col("_l"))
-        here = lambda t: _renamed(t.filter(F.col("k") == k)).drop("_k")  # noqa: B023, E731
-        met = level.join(here(model.counts), on & (F.col("gram") == F.col("_g")), "left").drop("_l", "_g").join(here(model.discounts), on, "left").drop("_l")
-        met = met.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("left", F.greatest(F.col("n") - F.col("own"), F.lit(0)))
+        cuts = _renamed(model.discounts.filter(F.col("k") == k)).drop("_k")
+        met = looked_up(level.withColumn("k", F.lit(k)), counts, {"n": "long"}, shards[0]).join(cuts, F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l")
+        met = met.withColumn("left", F.greatest(F.col("n") - F.col("own"), F.lit(0)))
         met = met.withColumns({"kept": F.coalesce(_discount(F.col("left")), F.lit(0.0)), "was": F.coalesce(_discount(F.col("n")), F.lit(0.0)), "context": F.shiftright("gram", 8)})
         run_ = Window.partitionBy("key", "context")
         met = met.withColumns({"less": F.sum("own").over(run_), "less_cut": F.sum(F.col("was") - F.col("kept")).over(run_)})
-        met = met.join(here(model.contexts), on & (F.col("context") == F.col("_g")), "left")
+        met = looked_up(met.withColumnsRenamed({"gram": "whole", "context": "gram"}), contexts, {"total": "long", "cut": "double"}, shards[1]).withColumnsRenamed({"gram": "context", "whole": "gram"})
         suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
         levels[k] = written(
-            met.select("key", "lang", "gram", suffix.alias("suffix"), (F.col("left") - F.col("kept")).alias("seen"), (F.coalesce("total", F.lit(0)) - F.col("less")).alias("total"), (F.coalesce("cut", F.lit(0.0)) - F.col("less_cut")).alias("cut"), ((F.col("n") > 0) & (F.col("left") == 0)).alias("gone")),
+            met.select("key", "lang", "gram", suffix.alias("suffix"), (F.col("left") - F.col("kept")).alias("seen"), (F.col("total") - F.col("less")).alias("total"), (F.col("cut") - F.col("less_cut")).alias("cut"), ((F.col("n") > 0) & (F.col("left") == 0)).alias("gone")),
             f"text-grams-{k}",
         )
         level = levels[k].groupBy("key", "lang", F.col("suffix").alias("gram")).agg(F.count_if("gone").alias("own"))
