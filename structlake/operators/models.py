@@ -6,8 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .fitting import slot_sums
 from .networks import score_networks
 
+#: Up to so many columns sums of products are columns of one aggregation.
+FEW_COLUMNS = 8
+
 
 def _dot(vector: Column, weights: list[float]) -> Column:
     return F.aggregate(F.zip_with(vector, F.array(*map(F.lit, map(float, weights))), lambda x, w: x.cast("double") * w), F.lit(0.0), lambda a, x: a + x)
@@ -106,8 +110,14 @@ def filter_uncertainty_band(rows: DataFrame, std_per_atom: str, low: float, high
 
 
 def normal_sums(rows: DataFrame, columns: list[str], target: str, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """X'WX and X'Wy of a table by one aggregation; only k x k numbers come back."""
+    """X'WX and X'Wy of a table; only k x k numbers come back. Rows with a null count nought.
+
+    A few columns take one aggregation; many take one matrix product for each batch.
+    """
     w = F.lit(1.0) if weight is None else weight
+    if len(columns) > FEW_COLUMNS:
+        return gram_sums(rows.select(F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), F.col(target).cast("double").alias("y"), w.cast("double").alias("w")), len(columns))
+    rows = rows.dropna(subset=[*columns, target])
     names = [*columns, target]
     sums = [F.sum(w * F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(names) if j >= i]
     got = rows.agg(*sums).first()
@@ -120,6 +130,20 @@ def normal_sums(rows: DataFrame, columns: list[str], target: str, weight: Column
     return xtx, xty
 
 
+def gram_sums(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """X'WX and X'Wy of rows (x, y, w) with arrays of k numbers; rows with a null are left out."""
+
+    def add(total, batch):
+        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, k)
+        y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+        both = np.hstack([x, y[:, None]])
+        whole = np.isfinite(both).all(axis=1) & np.isfinite(w)
+        total += (both[whole] * w[whole, None]).T @ both[whole]
+
+    sums = slot_sums(rows.select("x", "y", "w").filter(F.col("x").isNotNull()), lambda: np.zeros((k + 1, k + 1)), add)
+    return sums[:k, :k], sums[:k, k]
+
+
 def fit_linear(rows: DataFrame, columns: list[str], target: str, weight: Column | None = None) -> list[float]:
     """Weighted least squares by normal equations (least norm where singular)."""
     return np.linalg.lstsq(*normal_sums(rows, columns, target, weight), rcond=None)[0].tolist()
@@ -158,9 +182,16 @@ def filter_ensemble_observations(scores: DataFrame, targets: DataFrame, label: s
 
 
 def nnls_ensemble_weights(scores: DataFrame, targets: DataFrame, label: str, members: list[str], drop: float = 1e-13) -> dict[str, float]:
-    """Non-negative weights of the members over total energies."""
-    wide = scores.groupBy(label).agg(*(F.max(F.when(F.col("model_id") == m, F.col("energy"))).alias(f"m{k}") for k, m in enumerate(members))).join(targets, label)
-    x = nnls(*normal_sums(wide, [f"m{k}" for k in range(len(members))], "target"))
+    """Non-negative weights of the members over total energies.
+
+    Labels that lack a member's score or a target are left out. A label's scores are a
+    row, so the plan doesn't grow with the members.
+    """
+    place = F.create_map(*(F.lit(x) for k, m in enumerate(members) for x in (m, k))) if members else F.create_map()
+    known = scores.filter(F.col("model_id").isin(members)).groupBy(F.col(label).alias("_l"), "model_id").agg(F.max("energy").alias("energy"))
+    wide = known.groupBy("_l").agg(F.array_sort(F.collect_list(F.struct(F.element_at(place, F.col("model_id")).alias("k"), F.col("energy").cast("double").alias("e")))).alias("_all")).filter(F.size("_all") == len(members))
+    rows = wide.join(targets, F.col("_l") == F.col(label)).select(F.transform("_all", lambda s: s["e"]).alias("x"), F.col("target").cast("double").alias("y"), F.lit(1.0).alias("w"))
+    x = nnls(*gram_sums(rows, len(members)))
     return {m: float(w) for m, w in zip(members, x, strict=True) if w > drop}
 
 

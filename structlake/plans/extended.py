@@ -335,6 +335,23 @@ def scan_extxyz(spark, sf_dir):
     return texts.extxyz_to_records(texts.scan_extxyz(spark, path)).select("label", _r("enthalpy", "enthalpy"), "natoms", "formula")
 
 
+@query("SELECT round(p_retailprice, 6) AS energy, CASE WHEN p_size % 2 = 0 THEN 'AB' ELSE 'A' END AS species, round(p_size / 64.0::DOUBLE, 6) AS fz, round(p_retailprice / 1000 + p_size, 4) AS pressure, count(*) AS n FROM part GROUP BY ALL")
+def scan_castep_frames(spark, sf_dir):
+    """Calculation logs made of the parts table, many frames a file, read frame by frame."""
+    part = table(spark, sf_dir, "part")
+    row = lambda *parts: F.concat_ws(" ", F.lit(" *"), *(x if not isinstance(x, str) else F.lit(x) for x in parts), F.lit("*"))
+    z = (F.col("p_size") / 64.0).cast("string")
+    second = F.when(F.col("p_size") % 2 == 0, row("B", "1", "0.5", "0.5", "-0.25"))
+    stress = F.round(F.col("p_retailprice") / 1000 + F.col("p_size"), 4).cast("decimal(20,4)").cast("string")
+    text = F.concat_ws("\n", F.lit("Title"), F.concat(F.lit("Final free energy (E-TS)    =  "), F.col("p_retailprice").cast("decimal(20,6)").cast("string"), F.lit("     eV")), row("A", "1", "0.5", "-0.5", z), second, row("x", stress, "0.0", "0.0"), row("y", "0.0", stress, "0.0"), row("z", "0.0", "0.0", stress))
+    path = scratch(spark, "logs")
+    part.select(text.alias("value")).write.text(path)
+    got = texts.scan_castep_frames(spark, path)
+    trace = sum((F.col("stress")[k][k] for k in range(3)), F.lit(0.0)) / 3
+    told = got.select(F.round("energy", 6).alias("energy"), F.array_join("species", "").alias("species"), _r(F.col("forces")[0][2], "fz"), F.round(trace, 4).alias("pressure"))
+    return told.groupBy("energy", "species", "fz", "pressure").agg(F.count("*").alias("n"))
+
+
 @query("SELECT event_type AS gen, count(*) AS n_structures, count(*) FILTER (value > 50) AS n_done FROM events GROUP BY 1")
 def stream_generation_progress(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumnRenamed("event_type", "gen")

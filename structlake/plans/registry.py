@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chem
-from ..operators import datasets, evaluate, features, fitting, forces, generate, hull, leaders, models, neighbours, networks, records
+from ..operators import datasets, evaluate, features, fitting, forces, generate, hull, leaders, models, neighbours, networks, records, similarity
 from ..sources import shelx, texts
 from ..streaming import jobs
 
@@ -407,11 +407,12 @@ def score_core_repulsion(spark, sf_dir):
     return neighbours.core_repulsion_energy(_pairs(spark, sf_dir), chem.core_repulsion(F.col("r"), 0.08)).select("label", "i", _r(F.log1p("core"), "log_core"))
 
 
-@query("SELECT vec_id FROM embeddings v WHERE NOT EXISTS (SELECT 1 FROM embeddings w WHERE w.vec_id <> v.vec_id AND sqrt(list_sum(list_transform(list_zip(v.embedding, w.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))) < 0.5)")
+@query("SELECT vec_id FROM embeddings v WHERE NOT EXISTS (SELECT 1 FROM embeddings w WHERE w.vec_id <> v.vec_id AND sqrt(list_sum(list_transform(list_zip(v.embedding, w.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))) < 1.1)")
 def novel_vectors(spark, sf_dir):
     """Vectors without another one near them."""
     e = table(spark, sf_dir, "embeddings")
-    return features.novel_vectors(e, e, "vec_id", "embedding", 0.5).select("vec_id")
+    # between the quartiles of the distances to the nearest
+    return similarity.novel_vectors(e, e, "vec_id", "embedding", 1.1).select("vec_id")
 
 
 @query("SELECT vec_id, CAST(a * 4 + b * 2 + c AS INTEGER) AS image, round((embedding[1]::DOUBLE + a) / 2, 6) AS fx, round((embedding[2]::DOUBLE + b) / 2, 6) AS fy, round((embedding[3]::DOUBLE + c) / 2, 6) AS fz FROM embeddings, range(2) x(a), range(2) y(b), range(2) z(c)")

@@ -101,3 +101,115 @@ def test_models_come_back_in_order_of_their_numbers(spark, tmp_path):
     models.save_models(rows, str(tmp_path / "m"))
     got = models.load_models(spark, str(tmp_path / "m")).orderBy("position").collect()
     assert [(r.model_id, r.kind) for r in got] == [("m2", "mlp"), ("m10", "linear")]
+
+
+def structures(spark, n=60, width=3, seed=0):
+    rng = np.random.default_rng(seed)
+    rows = [(k // 3, rng.normal(size=width).tolist()) for k in range(3 * n)]
+    targets = {}
+    for k, v in rows:
+        targets[k] = targets.get(k, 0.0) + float(np.sin(v[0]) + v[1] * v[2])
+    return spark.createDataFrame(rows, "label long, v array<double>"), spark.createDataFrame(sorted(targets.items()), "label long, h double"), rows, targets
+
+
+def test_sums_of_structures_equal_plain_numpy(spark, monkeypatch):
+    data, targets, rows, known = structures(spark)
+    sizes, p = [3, 4, 1], fitting.n_parameters([3, 4, 1])
+    thetas = [fitting.initial_parameters(sizes, k) for k in range(3)]
+    packed = fitting.packed_structures(data.repartition(3), targets, "label", "v", "h")
+    monkeypatch.setattr(fitting, "SLOPE_NUMBERS", 100)
+    full = fitting.normal_equations(packed, thetas, sizes)
+    vectors = [np.random.default_rng(k).normal(size=p) for k in range(3)]
+    products = fitting.normal_products(packed, thetas, vectors, sizes)
+    rmses = fitting._rmses(packed, thetas, sizes)
+    monkeypatch.setattr(fitting, "DIRECT", 5)
+    diagonals = fitting.normal_equations(packed, thetas, sizes)
+    for k, theta in enumerate(thetas):
+        g = np.zeros((60, p + 1))
+        np.add.at(g, [r[0] for r in rows], fitting.energies_and_slopes(np.array([r[1] for r in rows]), theta, sizes))
+        r, j = g[:, 0] - np.array([known[i] for i in range(60)]), g[:, 1:]
+        w = np.abs(r + 1e-4) ** -0.75
+        a = (j * w[:, None]).T @ j
+        assert full[k][0] == pytest.approx(a) and full[k][1] == pytest.approx(j.T @ (w * r)) and full[k][2] == pytest.approx((np.abs(r + 1e-4) ** 1.25).sum())
+        assert products[k] == pytest.approx(a @ vectors[k]) and diagonals[k][0] == pytest.approx(np.diag(a))
+        assert rmses[k] == pytest.approx(np.sqrt(np.mean(r * r)))
+
+
+def test_conjugate_gradients_take_the_same_steps(spark, monkeypatch):
+    data, targets, *_ = structures(spark, 30)
+    sizes = [3, 2, 1]
+    _, direct = fitting.fit_mlp_lm(data, targets, "label", "v", "h", sizes, steps=3)
+    monkeypatch.setattr(fitting, "DIRECT", 1)
+    monkeypatch.setattr(fitting, "CG_RESIDUAL", 1e-10)
+    _, free = fitting.fit_mlp_lm(data, targets, "label", "v", "h", sizes, steps=3)
+    assert len(free) == len(direct) and np.array(free) == pytest.approx(np.array(direct), rel=1e-5)
+
+
+def test_many_parameters_need_no_matrix(spark, monkeypatch):
+    data, targets, *_ = structures(spark, 40, width=40)
+    sizes = [40, 100, 1]
+    assert fitting.n_parameters(sizes) > 4000
+    monkeypatch.setattr(fitting, "CG_STEPS", 4)
+    most = []
+    whole = fitting.slot_sums
+    monkeypatch.setattr(fitting, "slot_sums", lambda *args: most.append(len(out := whole(*args)) and out.size) or out)
+    _, history = fitting.fit_mlp_lm(data, targets, "label", "v", "h", sizes, steps=1)
+    assert history[-1][1] < history[0][1] and max(most) <= 2 * fitting.n_parameters(sizes) + 1
+
+
+def test_damping_stays_within_bounds():
+    for factor, end in ((0.0, fitting.LEAST_DAMPING), (2.0, fitting.MOST_DAMPING)):
+        fit = fitting.Fit(0, np.zeros(1), end)
+        member = fitting._member(fit, 1, 5)
+        next(member)
+        member.send((np.eye(1), np.ones(1), 5.0))
+        member.send(1.0)
+        with pytest.raises(StopIteration):
+            # a step as good as foreseen, or a refused one
+            member.send((np.eye(1), np.ones(1), 1.0 if not factor else 9.0))
+            member.send(0.5)
+        assert fit.done and fit.damping == end and fit.step == 1
+
+
+def test_ensembles_are_refilled_and_go_on(spark, tmp_path, monkeypatch):
+    data, targets, *_ = structures(spark, 30)
+    sizes, run = [3, 2, 1], dict(label="label", vector="v", target="h", sizes=[3, 2, 1], steps=3)
+    begin = fitting.initial_parameters
+    # every second start is of no use
+    monkeypatch.setattr(fitting, "initial_parameters", lambda s, seed: begin(s, seed) * (np.nan if seed % 2 else 1.0))
+    good = fitting.train_ensemble(data, targets, n_models=3, batch=2, **run)
+    assert len(good) == 3 and np.isfinite(good).all()
+    with pytest.raises(ValueError, match="1 of 3"):
+        fitting.train_ensemble(data, targets, n_models=3, batch=2, most_tries=2, **run)
+
+    # a run that dies goes on from its last save and gives what a whole one gives
+    place, calls, whole = f"file://{tmp_path}/fits", [], fitting.normal_equations
+
+    def dies(rows, thetas, sizes_):
+        calls.append(len(thetas))
+        if len(calls) == 5:
+            raise RuntimeError("lost")
+        return whole(rows, thetas, sizes_)
+
+    monkeypatch.setattr(fitting, "normal_equations", dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        fitting.train_ensemble(data, targets, n_models=3, batch=2, store=place, **run)
+    before = fitting.FitStore(spark, place).load()
+    assert before and any(f.step > 0 for f in before)
+    again = fitting.train_ensemble(data, targets, n_models=3, batch=2, store=place, **run)
+    assert np.array(again) == pytest.approx(np.array(good), rel=1e-9)
+    done = len(calls)
+    assert np.array(fitting.train_ensemble(data, targets, n_models=3, batch=2, store=place, **run)) == pytest.approx(np.array(good), rel=1e-9) and len(calls) == done
+    assert fitting.n_parameters(sizes) == len(good[0])
+
+
+def test_weights_of_many_members(spark):
+    rng = np.random.default_rng(5)
+    a, names = rng.normal(size=(400, 256)), [f"m{k}" for k in range(256)]
+    true = np.where(np.arange(256) % 16 == 0, rng.uniform(0.5, 1, 256), 0.0)
+    scores = spark.createDataFrame([(n, names[k], float(a[n, k])) for n in range(400) for k in range(256)] + [(999, "m1", 1.0)], "label long, model_id string, energy double")
+    targets = spark.createDataFrame([(n, float(a[n] @ true)) for n in range(400)] + [(999, 5.0)], "label long, target double")
+    got = models.nnls_ensemble_weights(scores, targets, "label", names)
+    assert set(got) == {n for n, w in zip(names, true) if w} and got == pytest.approx({n: w for n, w in zip(names, true) if w})
+    wide = spark.createDataFrame([(*row.tolist(), float(row @ true[:12] * 2)) for row in a[:100, :12]], [*names[:12], "y"])
+    assert models.fit_linear(wide, names[:12], "y") == pytest.approx((2 * true[:12]).tolist(), abs=1e-9)

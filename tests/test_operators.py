@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from structlake.functions import chem
-from structlake.operators import datasets, hull, leaders, models, neighbours, networks, records
+from structlake.operators import datasets, hull, leaders, models, neighbours, networks, records, similarity
 from structlake.sources import shelx, texts
 from structlake.streaming import jobs
 
@@ -193,6 +193,95 @@ def test_many_networks_in_one_pass(spark):
         networks.score_networks(rows, "label", "v", networks.member_table(spark, [("m", 1.0, [3, 1], [0.0] * 4, None, None, None, None)])).collect()
 
 
+def far_from_all(some, others, tol):
+    far = lambda x, y: math.sqrt(sum((a - b) ** 2 for a, b in zip(x, y))) if x and y and len(x) == len(y) and None not in (*x, *y) else math.inf
+    near = {k for k, v in some for j, w in others if k is not None and j is not None and k != j and far(v, w) < tol}
+    return sorted((repr((k, v)) for k, v in some if k not in near))
+
+
+@pytest.mark.parametrize("block_rows", [4096, 20])
+def test_novel_vectors_equal_brute_force(spark, block_rows):
+    rng = np.random.default_rng(7)
+    middles = rng.normal(size=(12, 6)) * 3
+    some = [(k, (middles[k % 12] + rng.normal(size=6) * 0.2).tolist()) for k in range(200)]
+    some += [(k, rng.normal(size=6).tolist()) for k in range(200, 230)] + [(300, some[0][1]), (301, some[0][1][:3]), (302, some[0][1][:3]), (303, None), (304, []), (305, [None] * 6), (0, some[5][1])]
+    docs = spark.createDataFrame(some, "id long, v array<double>").repartition(3)
+    seen = []
+    for tol in (0.25, 1e-3, 4.0):
+        got = similarity.novel_vectors(docs, docs, "id", "v", tol, block_rows, lambda *n: seen.append(n)).collect()
+        assert sorted(repr((r.id, r.v)) for r in got) == far_from_all(some, some, tol)
+    others = spark.createDataFrame(some[:50], "id long, v array<double>")
+    got = similarity.novel_vectors(docs, others, "id", "v", 0.4, block_rows).collect()
+    assert sorted(repr((r.id, r.v)) for r in got) == far_from_all(some, some[:50], 0.4)
+    assert similarity.novel_vectors(docs, others.limit(0), "id", "v", 0.4).count() == len(some) and similarity.novel_vectors(docs.limit(0), others, "id", "v", 0.4).count() == 0
+
+
+def test_vectors_in_clusters_meet_few_others(spark):
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(40, 16)) * 5
+    some = [(k, (middles[k % 40] + rng.normal(size=16) * 0.1).tolist()) for k in range(2000)]
+    docs, seen = spark.createDataFrame(some, "id long, v array<double>"), []
+    x = np.array([v for _, v in some])
+    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, 9)
+    got = similarity.novel_vectors(docs, docs, "id", "v", 0.4, 50, lambda *n: seen.append(n))
+    assert {r.id for r in got.collect()} == set(np.flatnonzero(d.min(axis=1) >= 0.4).tolist()) and 0 < got.count() < 2000
+    ((compared, every),) = seen
+    assert every == 4_000_000 and compared < every / 4
+
+
+def xyz_texts(rng):
+    """Files with frames of all sizes, numbers for metadata, broken frames, and what the pattern finds in them."""
+    out = []
+    for f in range(3):
+        parts = ["loose line", "12"][: rng.choice([0, 1, 2])]
+        for k in range(60):
+            n = rng.randint(1, 9)
+            info = rng.choice([f"name=f{f}-{k} energy={k}.5", "7", "", "12 atoms"])
+            parts += [f" {n} ", info, *(f"{rng.choice(['H', 'Si'])} {rng.random():.3f} 0.5 {i}" for i in range(n))]
+            if rng.random() < 0.2:
+                parts += rng.choice([["", ""], ["3", "no atoms here", "lower case"], ["4"], ["4", "5"], ["note"]])
+        out.append("\n".join(parts) + rng.choice(["", "\n"]))
+    return out
+
+
+@pytest.mark.parametrize("size", [40, 333, 1 << 20])
+def test_packed_frames_are_read_in_byte_ranges(spark, tmp_path, size):
+    import random
+    import re
+
+    want = {}
+    for f, text in enumerate(xyz_texts(random.Random(size))):
+        (tmp_path / f"{f}.xyz").write_text(text)
+        want[f"{f}.xyz"] = [(k, int(m[1]), len(m[3].strip().split("\n")), m[2]) for k, m in enumerate(re.finditer(texts._FRAME.replace(r"\z", r"\Z"), text))]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        frames = texts.scan_extxyz(spark, str(tmp_path)).collect()
+        ranges = texts._lines(spark, str(tmp_path)).select("fname", "block").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert (ranges > 20) == (size < 1000) or size == 333 and ranges > 3
+    got = {}
+    for r in frames:
+        got.setdefault(r.fname.rsplit("/", 1)[1], []).append((r.frame, r.natoms, len(r.atoms), r.metadata.get("name")))
+    for name, rows in want.items():
+        assert sorted(got[name], key=lambda x: x[0]) == [(k, n, m, dict(re.findall(r"(\w+)=(\S+)", info)).get("name")) for k, n, m, info in rows]
+
+
+def test_logs_are_read_frame_by_frame(spark, tmp_path):
+    frame = " Final free energy (E-TS) = {e} eV\n * H 1 {e} 0.5 -1.0 *\n * O 1 0.0 0.0 {e} *\n junk\n * x {e} 0 0 *\n * y 0 1 0 *\n * z 0 0 2 *\n"
+    (tmp_path / "a.castep").write_text("head\n * H 9 9.0 9.0 9.0 *\n" + "".join(frame.format(e=float(k)) for k in range(40)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 300)
+    try:
+        got = {r.frame: r for r in texts.scan_castep_frames(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == list(range(1, 41))
+    for k, r in got.items():
+        e = float(k - 1)
+        assert (r.energy, r.species) == (e, ["H", "O"]) and r.forces == [[e, 0.5, -1.0], [0.0, 0.0, e]] and r.stress == [[e, 0, 0], [0, 1, 0], [0, 0, 2]]
+
+
 def test_splits_are_exact_and_keep_siblings(spark):
     labels = spark.createDataFrame([(f"P{k % 20}-shake-{k}",) for k in range(100)], "label string")
     got = datasets.split_grouped(labels, "label", chem.shake_parent_label(F.col("label")), [0.5, 0.25])
