@@ -1,6 +1,7 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-DataFrame functions only. Each document has a hash of its id. Words are summed
+DataFrame functions only. Each document has a hash of its id (and one of its text, for
+rows that repeat an id). Words are summed
 by source and hash bucket; the running sum over a source's buckets shows in
 which bucket the source's budget runs out. Only that bucket is split further,
 by the next bits of the hash, until it holds one hash. Documents under the
@@ -26,6 +27,11 @@ def id_hash(id_col: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("")), F.lit(seed))), 1, 15), 16, 10).cast("long")
 
 
+def text_hash(text_col: Column) -> Column:
+    """60 bits of an MD5 digest of the text; null counts as empty."""
+    return F.conv(F.substring(F.md5(F.coalesce(text_col.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size, target, full: words to take from each source.
 
@@ -59,45 +65,65 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def budget_thresholds(sizes: DataFrame, budgets: DataFrame, level_bits: int = LEVEL_BITS, hash_bits: int = HASH_BITS) -> DataFrame:
-    """source, threshold: documents with a smaller hash use up the budget.
+    """source, threshold, tied, tie_threshold: documents with a smaller hash use up the budget.
 
-    ``sizes`` (source, size, hash), ``budgets`` (source, budget, above nought and
+    ``sizes`` (source, size, hash, tie), ``budgets`` (source, budget, above nought and
     no more than the source). The document at the boundary is taken when at
-    least half of it fits. One job a level, over the boundary bucket only.
+    least half of it fits. Where several rows have the boundary's hash, ``tied`` is this
+    hash, and those of them with a smaller ``tie`` than ``tie_threshold`` are taken too. One
+    job a level, over the boundary bucket only.
     """
-    inside = sizes.filter("size > 0").select("source", "size", "hash")
+    done, several, inside = _thresholds(sizes.filter("size > 0").select("source", "size", "hash", "tie"), budgets, level_bits, hash_bits)
+    single = done.withColumns({"tied": F.lit(None).cast("long"), "tie_threshold": F.lit(None).cast("long")})
+    if several.isEmpty():
+        return single
+    keys = several.select(F.col("source").alias("_s"), F.col("least").alias("_h"))
+    rows = inside.join(keys, F.col("source").eqNullSafe(F.col("_s")) & (F.col("hash") == F.col("_h")), "left_semi")
+    ties, alike, _ = _thresholds(rows.select("source", "size", F.col("tie").alias("hash"), F.col("hash").alias("tie")), several.select("source", "budget"), level_bits, hash_bits)
+    # rows of one id and one text are taken together
+    last = ties.unionByName(_at_boundary(alike)).select(F.col("source").alias("_s"), F.col("threshold").alias("tie_threshold"))
+    return single.unionByName(several.join(last, F.col("source").eqNullSafe(F.col("_s"))).select("source", F.col("least").alias("threshold"), F.col("least").alias("tied"), "tie_threshold"))
+
+
+def _at_boundary(edge: DataFrame) -> DataFrame:
+    return edge.select("source", (F.col("least") + F.when(2 * F.col("budget") >= F.col("words"), 1).otherwise(0)).alias("threshold"))
+
+
+def _thresholds(inside: DataFrame, budgets: DataFrame, level_bits: int, hash_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(source, threshold), the boundaries where several rows share the hash, and the rows left at the end."""
     open_ = budgets.filter("budget > 0").select("source", F.col("budget").cast("double").alias("budget"))
-    done = []
+    edges = []
     low = hash_bits
     while low > 0:
         low = max(0, low - level_bits)
-        histogram = inside.groupBy("source", F.shiftright("hash", low).alias("bucket")).agg(F.sum("size").alias("words"), F.min("hash").alias("least"), F.max("hash").alias("top"))
+        histogram = inside.groupBy("source", F.shiftright("hash", low).alias("bucket")).agg(F.sum("size").alias("words"), F.min("hash").alias("least"), F.max("hash").alias("top"), F.count("*").alias("n"))
         run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         summed = histogram.withColumn("upto", F.sum("words").over(run))
         met = summed.alias("h").join(open_.alias("b"), F.col("h.source").eqNullSafe(F.col("b.source"))).filter("upto >= budget and upto - words < budget")
-        edge = written(met.select("h.source", "bucket", "words", "least", "top", (F.col("budget") - F.col("upto") + F.col("words")).alias("budget")), "mix-edge")
-        single = edge.filter("least = top").select("source", (F.col("least") + F.when(2 * F.col("budget") >= F.col("words"), 1).otherwise(0)).alias("threshold"))
-        done.append(single)
+        edge = written(met.select("h.source", "bucket", "words", "least", "top", "n", (F.col("budget") - F.col("upto") + F.col("words")).alias("budget")), "mix-edge")
+        edges.append(edge.filter("least = top"))
         rest = edge.filter("least < top")
         if low == 0 or rest.isEmpty():
             break
         open_ = rest.select("source", "budget")
         keys = rest.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"))
         inside = written(inside.join(keys, F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("hash", low) == F.col("_b")), "left_semi"), "mix-bucket")
-    return reduce(DataFrame.unionByName, done)
+    found = reduce(DataFrame.unionByName, edges)
+    return _at_boundary(found.filter("n = 1")), found.filter("n > 1"), inside
 
 
 def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: int, level_bits: int) -> DataFrame:
-    """_id, source, size, source_size, target, copies of every row."""
-    sizes = written(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash")), "mix-sizes")
+    """_id, source, tie, size, source_size, target, copies of every row."""
+    sizes = written(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash"), text_hash(F.col(text_col)).alias("tie")), "mix-sizes")
     whole = F.when(F.col("full"), F.lit(most)).otherwise(F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = written(source_targets(sizes, weights, share, float(most)).withColumn("whole", whole.cast("long")), "mix-targets")
     budgets = targets.select("source", F.when(F.col("full"), 0.0).otherwise(F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
     limits = budget_thresholds(sizes, budgets, level_bits)
-    plan = targets.alias("t").join(limits.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left").select("t.*", "threshold")
-    copies = F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
+    plan = targets.alias("t").join(limits.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left").select("t.*", "threshold", "tied", "tie_threshold")
+    taken = (F.col("hash") < F.col("threshold")) | ((F.col("hash") == F.col("tied")) & (F.col("tie") < F.col("tie_threshold")))
+    copies = F.col("whole") + F.when(taken, 1).otherwise(0)
     joined = sizes.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    return joined.select("d._id", "d.source", "size", F.col("source_size").cast("long"), "target", copies.cast("long").alias("copies"))
+    return joined.select("d._id", "d.source", "d.tie", "size", F.col("source_size").cast("long"), "target", copies.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2, level_bits: int = LEVEL_BITS) -> DataFrame:
@@ -106,8 +132,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A document's size is its number of words (null text: 0). It is taken whole,
     ``copies`` times: as often as its source is used up by the target, and once
     more while the rest of the target lasts. Null is a source like any other.
-    Rows with the same id have the same hash and are taken together. Other
-    columns are ignored. The same rows give the same mix on every run.
+    Rows that repeat an id are told apart by their texts; of rows alike in both, all are
+    taken equally often. Other columns are ignored. The same rows give the same mix on every run.
     """
     got = _copies(docs, id_col, text_col, source_col, weights, share, most, level_bits)
     return got.select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
@@ -116,12 +142,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2, level_bits: int = LEVEL_BITS) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its ``copies``.
 
-    Rows with the same id and source are taken together; one id in two sources is
-    two documents. All columns stay; an empty table gives no rows.
+    One id in two sources, or with two texts, is two documents; rows alike in all three
+    are taken together. All columns stay; an empty table gives no rows.
     """
     got = _copies(docs, id_col, text_col, source_col, weights, share, most, level_bits)
-    taken = got.filter("copies > 0").select(F.col("_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").cast("int").alias("__copies")).distinct()
-    times = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    taken = got.filter("copies > 0").select(F.col("_id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), F.col("copies").cast("int").alias("__copies")).distinct()
+    times = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (text_hash(F.col(text_col)) == F.col("__tie"))).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return times.select(*docs.columns)
 
 
