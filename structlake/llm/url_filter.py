@@ -24,10 +24,13 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 BROADCAST_BYTES = 32 << 20
 
 
+def _lower(host: Column) -> Column:
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to ``/ ? #`` or the end, A-Z in lower case."""
-    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
 def url_path(url: Column) -> Column:
@@ -46,14 +49,14 @@ def _prefix(digest: Column) -> Column:
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict.
 
-    Rules have columns host, path, verdict; null parts count as ''. A null url or
+    Rules have columns host (A-Z count as lower case), path, verdict; null parts count as ''. A null url or
     one without ``://`` has an empty host and path; no rule fits an empty host.
     Rows are judged by distinct (host, path), so a host with a third of all urls
     adds little to the join. Other columns are ignored.
     """
     split = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     posted = rules.select(
-        F.lower(F.coalesce("host", F.lit(""))).alias("_rhost"), F.coalesce("path", F.lit("")).alias("_rpath"), F.col("verdict").alias("_verdict")
+        _lower(F.coalesce("host", F.lit(""))).alias("_rhost"), F.coalesce("path", F.lit("")).alias("_rpath"), F.col("verdict").alias("_verdict")
     ).distinct().filter("_rhost != ''")
     posted = posted.withColumn("_digest", _digest(F.col("_rhost"), F.regexp_extract("_rpath", r"(?s)^.*/", 0))).withColumn("_short", _prefix(F.col("_digest")))
     posted = written(posted, "url-rules")
@@ -62,7 +65,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         F.coalesce(F.max(F.size(F.split("_rpath", "/")) - 1), F.lit(0)).alias("slashes"),
         F.coalesce(F.sum(F.length("_rhost") + F.length("_rpath") + 64), F.lit(0)).alias("bytes"),
     ).first()
-    # distinct (host, folder): what is expanded and joined
+    # distinct (host, path): what is expanded and joined
     folder = F.regexp_extract("path", r"(?s)^.*/", 0)
     labels, steps = F.split("host", r"\."), F.split("folder", "/")
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size("labels"), F.lit(deepest.labels))), lambda k: F.concat_ws(".", F.slice("labels", -k, k)))
