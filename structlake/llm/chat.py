@@ -36,14 +36,23 @@ def escape_role(role: Column) -> Column:
     return F.regexp_replace(F.coalesce(role, F.lit("")), r"(\\|#|:|</turn>)", r"\\$1")
 
 
-def reply_paths(messages: DataFrame, tree_col: str, id_col: str, parent_col: str, score_col: str | None = None, branches: int = 1) -> DataFrame:
+def unique_messages(messages: DataFrame, tree_col: str, id_col: str) -> DataFrame:
+    """Of the rows that repeat a tree's message id the least one, column by column; null ids go."""
+    rest = [c for c in messages.columns if c not in (tree_col, id_col)]
+    one = messages.filter(F.col(id_col).isNotNull()).groupBy(tree_col, id_col).agg(F.min(F.struct(*rest)).alias("_row") if rest else F.count("*").alias("_row"))
+    return one.select(*(F.col(c) if c in (tree_col, id_col) else F.col(f"_row.{c}").alias(c) for c in messages.columns))
+
+
+def reply_paths(messages: DataFrame, tree_col: str, id_col: str, parent_col: str, score_col: str | None = None, branches: int = 1, unique: bool = False) -> DataFrame:
     """tree, leaf, node, depth (0 at the root), rank: nodes of the chosen paths.
 
     A message without a parent, or whose parent is absent, is a root. Of a tree's
     paths the ``branches`` with the highest summed score stay, ties by the
     smallest leaf (null scores count as 0). Messages in a cycle have no root and
-    are left out. Ids need to be unique; rows with a null id are left out.
+    are left out, and rows with a null id. Of rows that repeat a tree's id only one counts
+    (``unique_messages``); ``unique`` says that there are none.
     """
+    messages = messages if unique else unique_messages(messages, tree_col, id_col)
     nodes = messages.filter(F.col(id_col).isNotNull()).select(F.col(tree_col).alias("tree"), F.col(id_col).alias("node"), F.col(parent_col).alias("up"), F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)).alias("score") if score_col else F.lit(0.0).alias("score"))
     present = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
@@ -96,9 +105,12 @@ def format_paths(turns: DataFrame, keys: list[str], depth_col: str, role_col: st
 def chat_conversations(messages: DataFrame, tree_col: str = "conv_id", id_col: str = "message", parent_col: str = "parent", role_col: str = "role", text_col: str = "text", score_col: str | None = None, branches: int = 1) -> DataFrame:
     """tree, leaf, rank, formatted, loss_spans: chosen paths as conversations.
 
-    Null roles and texts count as ''. Other columns are ignored.
+    Null roles and texts count as ''. Other columns are ignored. A repeated id gives one
+    turn, whatever its rows say (``unique_messages``).
     """
-    paths = reply_paths(messages, tree_col, id_col, parent_col, score_col, branches)
+    used = dict.fromkeys([tree_col, id_col, parent_col, role_col, text_col, *([score_col] if score_col else [])])
+    messages = written(unique_messages(messages.select(*used), tree_col, id_col), "unique-messages")
+    paths = reply_paths(messages, tree_col, id_col, parent_col, score_col, branches, unique=True)
     said = messages.select(F.col(tree_col).alias("_t"), F.col(id_col).alias("_n"), F.col(role_col).alias("_role"), F.col(text_col).alias("_text"))
     turns = paths.join(said, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")))
     return format_paths(turns, ["tree", "leaf", "rank"], "depth", "_role", "_text").withColumnRenamed("tree", tree_col)

@@ -150,6 +150,22 @@ def test_rows_of_one_id_in_two_sources_are_mixed_apart(spark):
     assert got == Counter({k: v for k, v in want.items() if v})
 
 
+def test_rows_of_one_id_come_near_their_target(spark):
+    """Null ids, and three ids that all rows repeat; rows of one id and text go together."""
+    docs = [(None, " ".join([f"w{k}"] * 20), "A") for k in range(100)] + [(k % 3, " ".join([f"v{k}"] * 15), "B") for k in range(100)] + [(7, "same text", "C")] * 10
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    for bits in (12, 60):
+        got = mix(table, level_bits=bits).collect()
+        for name, size in (("A", 20), ("B", 15)):
+            mine = [r for r in got if r.size == size]
+            assert len(mine) == 100 and abs(sum(r.taken for r in mine) - mine[0].target) <= size / 2
+        assert len({r.taken for r in got if r.size == 2}) == 1
+    want = Counter()
+    for r in mix(table).collect():
+        want[r.doc_id, r.size] += r.copies
+    assert Counter((r.doc_id, len(r.text.split())) for r in mixed(table).collect()) == Counter({k: v for k, v in want.items() if v})
+
+
 def test_mix_edges(spark):
     assert mix(empty(spark)).count() == 0 and mixed(empty(spark)).count() == 0
     assert mix(odd(spark)).count() == 7
@@ -259,7 +275,7 @@ def test_base_spans_equal_brute_force(spark):
         assert [(s.kind, s.start, s.end) for s in got[k].base] == brute_pii(t), t and t[:200]
 
 
-def test_trees_add_spans_and_spare_clean_texts(spark):
+def test_clean_texts_and_base_spans_get_no_more_spans(spark):
     rng = random.Random(9)
     number = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
     docs = [(k, f"word phone: +1 {number()} word" if k % 2 else f"order {rng.randint(100, 999)} {rng.randint(10, 99)} {rng.randint(10, 99)} {rng.randint(10, 99)} of stock") for k in range(600)]
@@ -332,3 +348,16 @@ def test_redaction_and_edges(spark):
     assert pii.find_pii(empty(spark)).count() == 0
     assert pii.find_pii(odd(spark)).count() == 7
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_rule_hosts_are_lowered_like_those_of_urls(spark):
+    rules = spark.createDataFrame([("block", "Ä.COM", "/")], "verdict string, host string, path string")
+    pages = spark.createDataFrame([(1, "http://Ä.com/x"), (2, "http://ä.com/x"), (3, "http://b.Ä.CoM/")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in judge_urls(pages, rules).collect()} == {1: "block", 2: "allow", 3: "block"}
+
+
+def test_repeated_message_ids_give_one_turn(spark):
+    said = [("t", 1, None, "user", "hello"), ("t", 1, None, "user", "hello"), ("t", 2, 1, "assistant", "b"), ("t", 2, 1, "assistant", "a"), ("u", 1, None, "user", "other"), ("t", None, 1, "user", "no id")]
+    rows = spark.createDataFrame(said, "conv_id string, message long, parent long, role string, text string")
+    got = chat.chat_conversations(rows).select("conv_id", chat.read_turns(F.col("formatted")).alias("turns")).collect()
+    assert {r.conv_id: [(x.role, x.text) for x in r.turns] for r in got} == {"t": [("user", "hello"), ("assistant", "a")], "u": [("user", "other")]}

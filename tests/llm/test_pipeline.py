@@ -14,6 +14,7 @@ from .data import empty, frame, odd, rows
 from .test_bpe import OWN
 from .test_exact_dedup import brute as brute_exact
 from .test_minhash import brute as brute_near
+from .test_minhash import brute_rows, two_texts
 from .test_others import brute_mix
 
 
@@ -52,6 +53,22 @@ def test_empty_and_odd_tables_run(spark, tmp_path):
         assert stage(spark, some, "").columns == some.columns
 
 
+def test_ids_with_two_texts_keep_their_links_in_the_pipeline(spark, tmp_path):
+    """Near copies of prose, some of whose ids have a second text that is no copy."""
+    base = frame(spark).columns
+    some = [(i, t, "en", "s1", None, *["x"] * (len(base) - 5)) for i, t in two_texts() if i is not None and t]
+    docs = frame(spark, some)
+    left = corpus_pipeline.near_duplicates(spark, corpus_pipeline.exact_duplicates(spark, docs, ""), "")
+    # exact duplicates first, as in the pipeline
+    first, texts = [], set()
+    for i, t in sorted(((r[0], r[1]) for r in some), key=lambda x: (-len(x[1]), x[0])):
+        if "".join(t.split()) not in texts:
+            texts.add("".join(t.split()))
+            first.append((i, t))
+    want = [r for r, w in zip(first, brute_rows(first), strict=True) if w[3]]
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted(want)
+
+
 def test_temporary_tables_go(spark, tmp_path):
     kept = common.written(spark.range(3), "stays")
     with common.temporary_tables(spark):
