@@ -36,7 +36,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, the least id.
 
-    Rows with a null id stay. Rows that repeat an id stay or go together.
+    Rows with a null id stay. Rows that repeat an id are told apart by their texts; of
+    rows alike in both, all stay or go.
     """
     return minhash.near_dedup(docs)
 
