@@ -90,15 +90,28 @@ def centre_atoms(atoms: DataFrame, label: str = "label", frac: tuple[str, str, s
 def neighbour_triplets(pairs: DataFrame, rcut: float, keep: tuple[str, ...] = (), vectors: bool = False) -> DataFrame:
     """label, i, j, k, rij, rik, rjk: both neighbours of i, each pair {j, k} once.
 
-    ``vectors`` adds dx1 ... dz2, from i to j and from i to k.
+    The pairs of an atom are packed into one list, so the shuffle holds a row for each pair;
+    triplets are made where the list is, and those beyond the cutoff never become
+    rows. ``vectors`` adds dx1 ... dz2, from i to j and from i to k.
     """
-    names = ["j", "sx", "sy", "sz", "dx", "dy", "dz", "r"]
-    one = pairs.select("label", "i", *(F.col(c).alias(f"{c}1") for c in names), *(F.col(f"{k}_j").alias(f"{k}_1") for k in keep), *(f"{k}_i" for k in keep))
-    two = pairs.select("label", "i", *(F.col(c).alias(f"{c}2") for c in names), *(F.col(f"{k}_j").alias(f"{k}_2") for k in keep))
-    after = F.struct("j2", "sx2", "sy2", "sz2") > F.struct("j1", "sx1", "sy1", "sz1")
-    rjk = F.sqrt(sum(((F.col(f"{d}1") - F.col(f"{d}2")) ** 2 for d in ("dx", "dy", "dz")), F.lit(0.0)))
-    both = one.join(two, ["label", "i"]).filter(after).withColumn("rjk", rjk).filter((F.col("rjk") <= rcut) & (F.col("rjk") > 0))
-    return both.select("label", "i", F.col("j1").alias("j"), F.col("j2").alias("k"), F.col("r1").alias("rij"), F.col("r2").alias("rik"), "rjk", *(f"{k}_{s}" for k in keep for s in ("i", "1", "2")), *(f"d{c}{e}" for c in "xyz" for e in "12" if vectors))
+    item = F.struct("j", "sx", "sy", "sz", "dx", "dy", "dz", "r", *(f"{k}_j" for k in keep))
+    lists = pairs.groupBy("label", "i", *(f"{k}_i" for k in keep)).agg(F.array_sort(F.collect_list(item)).alias("_n"))
+    far = lambda x, y: F.sqrt(sum(((x[d] - y[d]) ** 2 for d in ("dx", "dy", "dz")), F.lit(0.0)))
+    # list items go by atom and image, so what follows one makes each pair once
+    each = lists.select("*", F.posexplode("_n").alias("_p", "x"))
+    later = F.filter(F.slice("_n", F.col("_p") + 2, F.size("_n")), lambda y: (far(F.col("x"), y) <= rcut) & (far(F.col("x"), y) > 0))
+    both = each.select("label", "i", *(f"{k}_i" for k in keep), "x", F.explode(later).alias("y"))
+    return both.select(
+        "label",
+        "i",
+        F.col("x.j").alias("j"),
+        F.col("y.j").alias("k"),
+        F.col("x.r").alias("rij"),
+        F.col("y.r").alias("rik"),
+        far(F.col("x"), F.col("y")).alias("rjk"),
+        *(c for k in keep for c in (F.col(f"{k}_i"), F.col(f"x.{k}_j").alias(f"{k}_1"), F.col(f"y.{k}_j").alias(f"{k}_2"))),
+        *(F.col(f"{end}.d{c}").alias(f"d{c}{e}") for c in "xyz" for e, end in ((1, "x"), (2, "y")) if vectors),
+    )
 
 
 def filter_min_separation(structures: DataFrame, pairs: DataFrame, threshold: float, label: str = "label") -> DataFrame:

@@ -120,18 +120,19 @@ def novel_vectors(vectors: DataFrame, reference: DataFrame, key: str, vector: st
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     pairs = kept(met.withColumn("_part", every("_parts")).withColumn("_part2", every("_parts2")).select("_c", "_ring", "_part", "_c2", "_ring2", "_part2", F.monotonically_increasing_id().alias("_pair")), "block-pairs")
     one = left.join(pairs.select("_c", "_ring", "_part", "_pair"), ["_c", "_ring", "_part"]).select("_pair", "_k", "_v")
-    two = right.join(pairs.select(F.col("_c2").alias("_c"), F.col("_ring2").alias("_ring"), F.col("_part2").alias("_part"), "_pair"), ["_c", "_ring", "_part"]).select("_pair", "_k", "_v")
+    two = right.join(pairs.select(F.col("_c2").alias("_c"), F.col("_ring2").alias("_ring"), F.col("_part2").alias("_part"), "_pair"), ["_c", "_ring", "_part"]).select(F.col("_pair").alias("_pair2"), F.col("_k").alias("_k2"), F.col("_v").alias("_v2"))
 
     def run(a, b):
         import pyarrow as pa
 
+        b = b.rename_columns(a.column_names)
         hits, compared = _near(a, b, tol) if a.num_rows and b.num_rows else ([], 0)
         keys = a.column("_k").take(pa.array(hits, pa.int64())).combine_chunks()
         # the count goes in a row of its own
         keys = pa.concat_arrays([keys, pa.nulls(1, keys.type)])
         return pa.table({"_k": keys, "_n": pa.array([0] * len(hits) + [compared])})
 
-    near = kept(one.groupBy("_pair").cogroup(two.groupBy("_pair")).applyInArrow(lambda a, b: run(a, b), f"_k {dict(one.dtypes)['_k']}, _n long"), "near")
+    near = kept(one.groupBy("_pair").cogroup(two.groupBy("_pair2")).applyInArrow(lambda a, b: run(a, b), f"_k {dict(one.dtypes)['_k']}, _n long"), "near")
     if report is not None:
         report(int(near.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]), vectors.count() * n)
     gone = near.filter("_k is not null").select("_k").distinct()

@@ -41,7 +41,9 @@ def _cut(lines: DataFrame) -> DataFrame:
         now, rows, pending, found, whole, after = None, [], [], False, 0, False
 
         def is_frame(x):
-            return len(x) > 2 and bool(atom.match(x[2])) or len(x) > 3 and bool(number.match(x[1])) and bool(atom.match(x[3]))
+            # of several numbers the last, or the one before it, tells the atoms
+            r = next((k for k, line in enumerate(x) if not number.match(line)), len(x))
+            return any(len(x) > k and bool(atom.match(x[k])) for k in ((r, r + 1) if r > 1 else (r + 1,)))
 
         def closed(kind):
             if pending:

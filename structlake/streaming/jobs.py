@@ -65,13 +65,16 @@ def latest_progress(spark: SparkSession, out: str, gen: str) -> DataFrame:
     return newest.select(gen, "_c.n_structures", "_c.n_done")
 
 
-def stream_energy_admission(stream: DataFrame, key: str, energy: str, time: str, label: str, threshold: float) -> DataFrame:
-    """key, label, energy, admitted: against each key's running least energy.
-
-    A key's first record is admitted. Later ones lower the least energy, then are
-    admitted when within ``threshold`` of it. Within a batch rows go by time, then
-    label; a key's rows of one batch are put in order together. The state of a key is
-    one number.
+def stream_energy_admission(stream: DataFrame, key: str, energy: str, time: str, label: str, threshold: float, delay: str = "1 hour") -> DataFrame:
+    """key, label, energy, admitted: against each key's running least energy, in order of time, then label.
+
+    A record lowers the least energy of its key, and is admitted when within
+    ``threshold`` of it, so a key's first energy is. A record without an energy is not
+    admitted and lowers nothing. Records wait in the key's state until the watermark,
+    ``delay`` behind the latest time, has passed theirs, so the files they come in may be in any
+    order within it. Later ones (and those without a time) are late: Spark drops them and
+    counts them in the progress (numRowsDroppedByWatermark). The last records come out
+    when later ones, of any key, move the watermark on. ``time`` is a timestamp.
     """
     ship(stream.sparkSession)
     kinds = dict(stream.dtypes)
@@ -80,26 +83,29 @@ def stream_energy_admission(stream: DataFrame, key: str, energy: str, time: str,
         import numpy as np
         import pandas as pd
 
-        parts = [f for f in frames if len(f)]
-        if not parts:
-            return
-        times, labels, energies = (np.concatenate([f[c].to_numpy() for f in parts]) for c in (time, label, energy))
-        at = np.lexsort((labels, times))
-        labels, energies = labels[at], energies[at].astype(float)
-        least = np.fmin.accumulate(energies)
-        if state.exists:
-            least = np.fmin(least, state.get[0])
-        if not np.isnan(least[-1]):
-            state.update((float(least[-1]),))
-        yield pd.DataFrame({key: [keys[0]] * len(at), label: labels, energy: energies, "admitted": energies <= least + threshold})
+        least, times, labels, energies = state.get if state.exists else (np.nan, [], [], [])
+        waiting = [pd.DataFrame({"t": np.array(times, dtype=np.int64), "l": labels, "e": np.array(energies, dtype=float)})]
+        if not state.hasTimedOut:
+            waiting += [pd.DataFrame({"t": f["_t"], "l": f[label], "e": f[energy].astype(float)}) for f in frames if len(f)]
+        rows = pd.concat([w for w in waiting if len(w)] or waiting).sort_values(["t", "l"], kind="stable")
+        watermark = state.getCurrentWatermarkMs()
+        past = rows["t"] <= watermark * 1000
+        out, rows = rows[past], rows[~past]
+        run = np.fmin.accumulate(np.append(least, out["e"].to_numpy()))
+        if len(rows):
+            state.setTimeoutTimestamp(max(int(rows["t"].iloc[0]) // 1000, watermark) + 1)
+        state.update((float(run[-1]), rows["t"].tolist(), rows["l"].tolist(), rows["e"].tolist()))
+        yield pd.DataFrame({key: [keys[0]] * len(out), label: out["l"], energy: out["e"], "admitted": out["e"].to_numpy() <= run[1:] + threshold})
 
     schema = f"`{key}` {kinds[key]}, `{label}` {kinds[label]}, `{energy}` double, admitted boolean"
-    return stream.select(key, label, F.col(energy).cast("double").alias(energy), time).groupBy(key).applyInPandasWithState(admit, schema, "least double", "append", "NoTimeout")
+    kept = f"least double, times array<long>, labels array<{kinds[label]}>, energies array<double>"
+    timed = stream.select(key, label, F.col(energy).cast("double").alias(energy), F.col(time), F.unix_micros(time).alias("_t")).withWatermark(time, delay)
+    return timed.groupBy(key).applyInPandasWithState(admit, schema, kept, "append", "EventTimeTimeout")
 
 
 def energy_admission_batch(rows: DataFrame, key: str, energy: str, time: str, label: str, threshold: float) -> DataFrame:
-    """The same rule over a stored table, by a running minimum."""
+    """The same rule over a stored table, by a running minimum; rows without a time come first."""
     from pyspark.sql import Window
 
     run = F.min(energy).over(Window.partitionBy(key).orderBy(time, label).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(key, label, F.col(energy).cast("double").alias(energy), (F.col(energy) <= run + threshold).alias("admitted"))
+    return rows.select(key, label, F.col(energy).cast("double").alias(energy), F.coalesce(F.col(energy) <= run + threshold, F.lit(False)).alias("admitted"))

@@ -10,30 +10,35 @@ from structlake.operators import features, fitting, forces, generate, models, ne
 BOX, RC = 4.0, 1.9
 
 
-def _energy_and_forces(spark, points, slopes_of):
+def _energy_and_forces(spark, points, slopes_of, basis=(chem.cutoff_fr, chem.cutoff_gfr)):
     rows = [("s", k + 1, *map(float, p), "AB"[k % 2]) for k, p in enumerate(points)]
     atoms = spark.createDataFrame(rows, "label string, atom int, x double, y double, z double, species string")
     pairs = neighbours.neighbour_pairs(atoms, RC, BOX, keep=("species",))
     triplets = neighbours.neighbour_triplets(pairs, RC, keep=("species",), vectors=True)
     spec = features.build_feature_spec(spark, ["A", "B"], [2.0, 3.0], [2.0], [2.0])
-    table = features.two_body_features(pairs, spec, RC).unionByName(features.three_body_features(triplets, spec, RC))
+    table = features.two_body_features(pairs, spec, RC, basis[0]).unionByName(features.three_body_features(triplets, spec, RC, basis[0]))
     slopes = slopes_of(spec)
     core = pairs.agg(F.sum(chem.core_repulsion(F.col("r"), 1.0, 3))).first()[0] or 0.0
     energy = table.join(slopes, "slot").agg(F.sum(F.col("slope") * F.col("value"))).first()[0] + core
-    bonds = forces.two_body_bonds(pairs, spec, slopes, RC).unionByName(forces.three_body_bonds(triplets, spec, slopes, RC)).unionByName(forces.core_bonds(pairs, chem.core_repulsion_grad(F.col("r"), 1.0, 3)))
+    bonds = forces.two_body_bonds(pairs, spec, slopes, RC, basis).unionByName(forces.three_body_bonds(triplets, spec, slopes, RC, basis)).unionByName(forces.core_bonds(pairs, chem.core_repulsion_grad(F.col("r"), 1.0, 3)))
     return energy, bonds, atoms
 
 
-def test_forces_are_slopes_of_the_energy(spark):
+#: A basis that isn't the default one: (1 + cos(pi r / rcut)) / 2.
+COSINE = (lambda r, c: (1 + F.cos(r * (np.pi / c))) / 2, lambda r, c: -F.sin(r * (np.pi / c)) * (np.pi / c / 2))
+
+
+@pytest.mark.parametrize("basis", [(chem.cutoff_fr, chem.cutoff_gfr), COSINE])
+def test_forces_are_slopes_of_the_energy(spark, basis):
     points = np.random.default_rng(3).uniform(0.5, 2.6, (5, 3))
     slopes = lambda spec: spec.select("slot", F.sin("slot").alias("slope"))
-    _, bonds, atoms = _energy_and_forces(spark, points, slopes)
+    _, bonds, atoms = _energy_and_forces(spark, points, slopes, basis)
     got = {r.atom: (r.fx, r.fy, r.fz) for r in forces.score_forces(bonds, atoms).collect()}
     assert len(got) == 5 and np.abs(np.sum(list(got.values()), axis=0)).max() < 1e-9
     for atom, axis in ((4, 2),):
         step = np.zeros_like(points)
         step[atom - 1, axis] = 1e-5
-        up, down = (_energy_and_forces(spark, points + s * step, slopes)[0] for s in (1, -1))
+        up, down = (_energy_and_forces(spark, points + s * step, slopes, basis)[0] for s in (1, -1))
         assert got[atom][axis] == pytest.approx(-(up - down) / 2e-5, rel=1e-4, abs=1e-5)
     stress = forces.score_stress(bonds, spark.createDataFrame([("s", BOX**3), ("empty", 1.0)], "label string, volume double"))
     rows = {r.label: r for r in stress.collect()}
