@@ -471,7 +471,7 @@ def _hashed(rows: DataFrame, shards: int) -> DataFrame:
     return rows.mapInArrow(lean(run), ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", _shard long, _h long")
 
 
-def looked_up(rows: DataFrame, arrays: DataFrame, values: dict[str, str], shards: int, slot_rows: int = SLOT_ROWS) -> DataFrame:
+def looked_up(rows: DataFrame, arrays: DataFrame, values: dict[str, str], shards: int) -> DataFrame:
     """``rows`` (lang, k, gram and more) with the ``values`` of their n-gram, nought where it is absent.
 
     ``arrays`` is a written table of ``hash_arrays``. Rows are dealt to the shards; the rows
@@ -481,7 +481,7 @@ def looked_up(rows: DataFrame, arrays: DataFrame, values: dict[str, str], shards
     hashed = _hashed(rows, shards)
     # a row for each shard
     busiest = hashed.groupBy("_shard").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    slots = max(1, -(-busiest // slot_rows))
+    slots = max(1, -(-busiest // SLOT_ROWS))
     asked = hashed.withColumn("_slot", F.pmod(F.xxhash64("_h", F.monotonically_increasing_id()), F.lit(slots)).cast("int"))
     held = arrays.select(F.col("shard").alias("_shard"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("_slot"), F.col("hashes").alias("_hashes"), *(F.col(v).alias(f"_v_{v}") for v in values))
     columns = rows.columns

@@ -66,7 +66,8 @@ def brute_ppl(n, cuts, text, order):
 
 
 @pytest.mark.parametrize("limit", [quality.BROADCAST_BYTES, 0])
-def test_equals_brute_force(spark, limit):
+def test_equals_brute_force(spark, limit, monkeypatch):
+    monkeypatch.setattr(quality, "SHARDS", 4)
     order, some = 4, [r for r in rows() if not r[1] or len(r[1]) < 5000]
     got = {r.doc_id: r for r in judge(frame(spark, some), order=order, broadcast_bytes=limit).collect()}
     used = {lang: [r for r in some if r[2] == lang and not counts(r[1])[-1]] for lang in {r[2] for r in some}}
@@ -126,7 +127,11 @@ def test_every_ngram_is_counted_and_discounts_are_estimated(spark):
     assert sum(v == 1 for v in want["en"][5].values()) > 0 and cuts["en", 5] != [0, 0.5, 1, 1.5]
 
 
-def test_both_ways_give_the_same_verdicts(spark):
+@pytest.mark.parametrize("slot_rows", [quality.SLOT_ROWS, 500])
+def test_both_ways_give_the_same_verdicts(spark, monkeypatch, slot_rows):
+    """Also where several slots look into each shard."""
+    monkeypatch.setattr(quality, "SHARDS", 3)
+    monkeypatch.setattr(quality, "SLOT_ROWS", slot_rows)
     docs = frame(spark).unionByName(frame(spark, [(r[0], "other words under the same id, ten of them at least here", *r[2:]) for r in rows()[20:30]]))
     sides = [sorted(map(str, judge(docs, broadcast_bytes=limit).collect())) for limit in (quality.BROADCAST_BYTES, 0)]
     assert sides[0] == sides[1]
