@@ -184,8 +184,8 @@ def filter_ensemble_observations(scores: DataFrame, targets: DataFrame, label: s
 def nnls_ensemble_weights(scores: DataFrame, targets: DataFrame, label: str, members: list[str], drop: float = 1e-13) -> dict[str, float]:
     """Non-negative weights of the members over total energies.
 
-    Labels that lack a member's score or a target are left out. A label's scores are a
-    row, so the plan doesn't grow with the members.
+    Labels that lack a member's score or a target are left out. A label's scores are
+    one array, so a member adds a name to the plan, and no column.
     """
     place = F.create_map(*(F.lit(x) for k, m in enumerate(members) for x in (m, k))) if members else F.create_map()
     known = scores.filter(F.col("model_id").isin(members)).groupBy(F.col(label).alias("_l"), "model_id").agg(F.max("energy").alias("energy"))
