@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their DuckDB forms."""
+"""The registered queries of the thirteen operators, and their DuckDB forms."""
 
 from __future__ import annotations
 
