@@ -3,8 +3,11 @@
 Only the step to least-energy records reads the large table. The lower hull of all
 formulas is the lower hull of the lower hulls of any parts of them, so candidates are
 first thinned in parts of bounded size, side by side, then once more until few are left;
-the last part gives the facets. Two elements take a monotone chain, more an incremental
-hull. Points meet facets by the cells of a grid over the composition, an equi-join.
+the last part gives the facets. Where too many stay, the hull itself is that large: then the
+space of slopes is cut into boxes. A facet is the set of points that are least at its slope,
+so a box needs only points that can be least at one of its slopes, and boxes of many
+points are cut again. Two elements take a monotone chain, more an incremental hull.
+Points meet facets by the cells of a grid over the composition, an equi-join.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ TOLERANCE, SINGULAR = 1e-8, 1e-12
 PART_ROWS, CELLS = 2048, (1024, 32)
 #: Relative size of the shifts that keep points off common planes while facets are found.
 JOGGLE = 1e-9
+#: Cuts of a box of slopes at most, and room for rounding while points are dealt to boxes (one
+#: axis, where points on an edge are vertices; several axes).
+LEVELS, SLACK = 32, (1e-8, 1e-12)
 
 
 def elemental_references(least: DataFrame, is_element: Column, element: str, energy: str, needed: DataFrame | None = None) -> DataFrame:
@@ -82,11 +88,12 @@ def _independent(x: np.ndarray) -> list[int]:
     return rows
 
 
-def lower_facets(x: np.ndarray, e: np.ndarray) -> list[tuple[int, ...]] | None:
+def lower_facets(x: np.ndarray, e: np.ndarray, joggle: float | None = None) -> list[tuple[int, ...]] | None:
     """Facets (rows of d + 1 vertices) of the lower hull of energies over d coordinates.
 
     An apex far above closes the hull; facets without it that face down are the lower
-    ones. None where all points lie in a flat part of the coordinates.
+    ones. None where all points lie in a flat part of the coordinates. Points that are
+    shifted off common planes already take a ``joggle`` of 0.
     """
     n, d = x.shape
     if d == 1:
@@ -94,7 +101,8 @@ def lower_facets(x: np.ndarray, e: np.ndarray) -> list[tuple[int, ...]] | None:
     start = _independent(x) if n > d else []
     if len(start) <= d:
         return None
-    shift = np.random.default_rng(1).uniform(-JOGGLE, JOGGLE, (n, d + 1))
+    reach = JOGGLE if joggle is None else joggle
+    shift = np.random.default_rng(1).uniform(-reach, reach, (n, d + 1))
     size = max(1.0, float(np.ptp(e)))
     points = np.column_stack([x, e / size]) + shift
     apex = np.append(points[start, :d].mean(axis=0), points[:, d].max() + 10.0)
@@ -110,7 +118,8 @@ def lower_facets(x: np.ndarray, e: np.ndarray) -> list[tuple[int, ...]] | None:
         side = 1.0 if normal @ inside < offset else -1.0
         return np.append(normal, offset) * side
 
-    for facet in itertools.combinations([*start, n], d + 1):
+    # in order, as ridges of neighbours are told to be the same by their vertices
+    for facet in itertools.combinations([*sorted(start), n], d + 1):
         facets.append(facet)
         planes = np.vstack([planes, plane(facet)])
     for k in np.argsort(points[:n, d], kind="stable").tolist():
@@ -145,11 +154,110 @@ def _thinned(candidates: DataFrame, coords: list[str], energy: str) -> DataFrame
         before, n, turn = n, left.count(), turn + 1
         candidates = left
         if n > 0.9 * before:
-            # nearly all are vertices: the hull itself is that large
+            # nearly all are vertices: the hull itself is that large, and found by boxes
             break
     return candidates
 
 
+def _faces(d: int) -> list[tuple[int, float]]:
+    """Slopes of any steepness as faces of a cube: (d, 1) holds those of at most one on each
+    axis, (k, +-1) those that are steepest along axis k, up or down."""
+    return [(d, 1.0), *((k, sign) for k in range(d) for sign in (1.0, -1.0))]
+
+
+def _boxed(points: DataFrame, d: int) -> DataFrame:
+    """Points with every box of slopes (``box``, ``lo``, ``hi``) at which they can be least.
+
+    points: x0, x1 ..., e and more. A plane of slopes s touches the hull where e - s x is
+    least; divided by the largest of 1, |s0|, |s1| ... this is a sum ``base + p0 g0 + p1 g1 ...``
+    with a bounded p on each face of a cube. A box of more than PART_ROWS points is cut
+    in half along each p. At the corners and the middle of each half the least point is
+    found (one aggregate over all boxes); a point goes where it can be below each of these
+    somewhere in the half. No such test drops a point that is least at a slope of the box.
+    A box is left as it is after LEVELS cuts.
+    """
+    halves = list(itertools.product((0, 1), repeat=d))
+    # corners are shared by halves; beyond three axes they are too many, and the middles do
+    probes = {tuple(2 * h + 1 for h in half) for half in halves}
+    if d <= 3:
+        probes |= set(itertools.product((0, 2, 4), repeat=d))
+    names = {probe: "p" + "".join(map(str, probe)) for probe in sorted(probes)}
+    at = lambda k, quarter: F.col("lo")[k] + (F.col("hi")[k] - F.col("lo")[k]) * (quarter / 4)
+    value = lambda probe: F.col("base") + _total([at(k, q) * F.col("g")[k] for k, q in enumerate(probe)])
+
+    def face(number, axis, sign):
+        terms = [*(-F.col(f"x{k}") for k in range(d)), F.col("e")]
+        floor = [-1.0] * d + [0.0]
+        free = [k for k in range(d + 1) if k != axis]
+        lo, hi = F.array(*(F.lit(floor[k]) for k in free)), F.array(*[F.lit(1.0)] * d)
+        return F.struct(F.lit(str(number)).alias("box"), lo.alias("lo"), hi.alias("hi"), (terms[axis] * sign).alias("base"), F.array(*(terms[k] for k in free)).alias("g"))
+
+    def child(half):
+        lo, hi = (F.array(*(at(k, 2 * h + end) for k, h in enumerate(half))) for end in (0, 2))
+        rivals = [names[p] for p in sorted(probes) if all(2 * h <= q <= 2 * h + 2 for h, q in zip(half, p, strict=True))]
+        return F.struct(F.concat("box", F.lit("." + "".join(map(str, half)))).alias("box"), lo.alias("lo"), hi.alias("hi"), F.array(*rivals).alias("rivals"))
+
+    def below(c, rival):
+        """The point can be as low as ``rival`` somewhere in ``c``."""
+        steps = [F.col("g")[k] - rival["g"][k] for k in range(d)]
+        least = [F.least(c["lo"][k] * step, c["hi"][k] * step) for k, step in enumerate(steps)]
+        return F.col("base") - rival["base"] + _total(least) <= SLACK[d > 1]
+
+    faces = F.explode(F.array(*(face(number, *which) for number, which in enumerate(_faces(d)))))
+    active, done = points.withColumn("_f", faces).select(*points.columns, "_f.*"), []
+    for level in range(LEVELS + 1):
+        least = [F.min_by(F.struct("base", "g"), value(probe)).alias(name) for probe, name in names.items()]
+        boxes = kept(active.groupBy("box", "lo", "hi").agg(F.count("*").alias("n"), *least), "slope-boxes")
+        large = boxes.filter((F.col("n") > PART_ROWS) & F.lit(level < LEVELS))
+        last = large.isEmpty()
+        done.append(active if last else active.join(boxes.filter(F.col("n") <= PART_ROWS).select("box"), "box"))
+        if last:
+            break
+        cut = large.select("box", F.array(*(child(half) for half in halves)).alias("children"))
+        dealt = active.drop("lo", "hi").join(cut, "box").drop("box")
+        fits = F.filter("children", lambda c: F.forall(c["rivals"], lambda rival: below(c, rival)))
+        dealt = dealt.withColumn("_c", F.explode(F.transform(fits, lambda c: F.struct(c["box"].alias("box"), c["lo"].alias("lo"), c["hi"].alias("hi")))))
+        active = kept(dealt.select(*points.columns, "base", "g", "_c.box", "_c.lo", "_c.hi"), "slope-points")
+    return reduce(lambda a, b: a.unionByName(b), done).drop("base", "g")
+
+
+def _facets_of_boxes(few: DataFrame, coords: list[str], energy: str, names: list[str], schema: str) -> DataFrame:
+    """The facets of a hull too large for a task, found box by box of slopes."""
+    d = len(coords)
+    # rows at the same place: the lowest (least key on ties) is enough
+    few = few.groupBy(*coords).agg(F.min(F.struct(energy, "key")).alias("_b")).select(*coords, "_b.*")
+    low, high = few.agg(F.min(energy), F.max(energy)).first()
+    size = max(1.0, 1.01 * (high - low))
+    # the shift depends on the key, so that all boxes see one and the same hull
+    shift = lambda k: ((F.pmod(F.xxhash64("key", F.lit(k)), F.lit(1 << 30)) / float(1 << 29)) - 1) * (JOGGLE if d > 1 else 0.0)
+    moved = {f"x{k}": F.col(f"k{k}") + shift(k) for k in range(d)} | {"e": F.col("energy") / size + shift(d)}
+    points = kept(few.select("key", *(F.col(c).alias(f"k{k}") for k, c in enumerate(coords)), F.col(energy).alias("energy")).withColumns(moved), "hull-points")
+    boxes = kept(_boxed(points, d), "slope-points")
+
+    def facets(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("key", kind="stable")
+        x, e = pdf[[f"x{k}" for k in range(d)]].to_numpy(dtype=float), pdf["e"].to_numpy(dtype=float)
+        found = np.array([sorted(f) for f in lower_facets(x, e, 0.0) or []], dtype=int).reshape(-1, d + 1)
+        edges = x[found[:, 1:]] - x[found[:, :1]]
+        whole = np.abs(np.linalg.det(edges)) > 0
+        found, edges = found[whole], edges[whole]
+        slopes = np.linalg.solve(edges, (e[found[:, 1:]] - e[found[:, :1]])[..., None])[..., 0]
+        # where the slopes lie on the box's face; one at a border may be found twice
+        axis, sign = _faces(d)[int(pdf["box"].iloc[0].split(".")[0])]
+        full = np.column_stack([slopes, np.ones(len(slopes))])
+        scale = full[:, axis] * sign
+        faced = scale > 0
+        p = np.delete(full, axis, axis=1) / np.where(faced, scale, 1.0)[:, None]
+        mine = faced & ((p >= pdf["lo"].iloc[0] - 1e-9) & (p <= pdf["hi"].iloc[0] + 1e-9)).all(axis=1)
+        source = [*(f"k{k}" for k in range(d)), "energy", "key"]
+        return pd.DataFrame([[pdf[c].iloc[i] for i in f for c in source] for f in found[mine].tolist()], columns=names)
+
+    out = boxes.groupBy("box").applyInPandas(lambda pdf: facets(pdf), schema)
+    return out.dropDuplicates([f"v{k}key" for k in range(d + 1)])
+
+
 def lower_hull(candidates: DataFrame, coords: list[str], energy: str) -> DataFrame:
     """Facets of the lower hull of the candidates with energy <= 0.
 
@@ -171,8 +279,11 @@ def lower_hull(candidates: DataFrame, coords: list[str], energy: str) -> DataFra
         rows = [[pdf[c].iloc[i] for i in f for c in [*coords, energy, "key"]] for f in found]
         return pd.DataFrame(rows, columns=names)
 
-    # the thinned hull is one part
-    out = few.groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: facets(pdf), ", ".join(f"`{c}` {kind if c.endswith('key') else 'double'}" for c in names))
+    schema = ", ".join(f"`{c}` {kind if c.endswith('key') else 'double'}" for c in names)
+    if few.count() > PART_ROWS:
+        out = _facets_of_boxes(few, coords, energy, names, schema)
+    else:
+        out = few.groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: facets(pdf), schema)
     edge = [[F.col(f"v{k}{c}") - F.col(f"v0{c}") for c in coords] for k in range(1, d + 1)]
     out = kept(out.withColumn("det", _det(edge)).filter(F.abs("det") >= SINGULAR), "facets")
     unit = lambda c: [F.lit(1.0 if x == c else 0.0) for x in coords]

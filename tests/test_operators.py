@@ -424,6 +424,63 @@ def test_hull_of_parts_equals_all_simplices(spark, d, monkeypatch):
     assert hull.e_above_hull(pts.limit(0), pts.limit(0), names, "e").count() == 0
 
 
+def _bowl(d, n, seed=3):
+    """Points whose lower hull has nearly all of them as vertices, some repeated or collinear."""
+    rng = np.random.default_rng(seed)
+    x = np.vstack([np.zeros(d), np.eye(d), rng.dirichlet(np.ones(d + 1), n)[:, :d]])
+    e = ((x - 0.3) ** 2).sum(axis=1)
+    e = np.where(np.arange(len(x)) <= d, 0.0, e - e.max() - 0.1)
+    return np.vstack([x, x[-3:]]), np.concatenate([e, e[-3:]])
+
+
+@pytest.mark.parametrize("d", [2, 3])
+def test_facets_lie_below_all_points(d):
+    """For many subsets, whatever the order of the first simplex."""
+    x, e = _bowl(d, 300)
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        k = rng.choice(len(x) - 3, 50, replace=False)
+        found = [list(f) for f in hull.lower_facets(x[k], e[k])]
+        assert {v for f in found for v in f} == set(range(50))
+        for f in found:
+            edges = x[k][f[1:]] - x[k][f[0]]
+            slope = np.linalg.lstsq(edges, e[k][f[1:]] - e[k][f[0]], rcond=None)[0]
+            assert (e[k] - x[k] @ slope).min() > e[k][f[0]] - x[k][f[0]] @ slope - 1e-6
+
+
+@pytest.mark.parametrize("d,n,part", [(1, 200, 60), (2, 500, 150), (3, 300, 150)])
+def test_hulls_larger_than_a_task_are_found_by_slopes(spark, d, n, part, monkeypatch):
+    x, e = _bowl(d, n)
+    names = [f"x{k}" for k in range(d)]
+    pts = spark.createDataFrame([(k, *map(float, p), float(v)) for k, (p, v) in enumerate(zip(x, e, strict=True))], ["key", *names, "e"])
+    whole = {r.key: r.e_above_hull for r in hull.e_above_hull(pts.withColumn("e", F.col("e") + 0.01 * (F.col("key") % 3 == 0).cast("int")), pts, names, "e").collect()}
+    monkeypatch.setattr(hull, "PART_ROWS", part)
+    sizes = []
+    plain = hull._boxed
+
+    def watched(points, dims):
+        out = hull.kept(plain(points, dims), "boxes")
+        sizes.extend(r["count"] for r in out.groupBy("box").count().collect())
+        return out
+
+    monkeypatch.setattr(hull, "_boxed", watched)
+    parted = {r.key: r.e_above_hull for r in hull.e_above_hull(pts.withColumn("e", F.col("e") + 0.01 * (F.col("key") % 3 == 0).cast("int")), pts, names, "e").collect()}
+    assert len(sizes) > 2 and max(sizes) <= part
+    keys = sorted(whole)
+    assert np.allclose([parted[k] for k in keys], [whole[k] for k in keys], atol=1e-7)
+    assert all(abs(parted[k]) < 1e-7 for k in keys if k % 3)
+
+
+def test_a_flat_hull_ends_after_some_cuts(spark, monkeypatch):
+    """All points on one plane have one slope, so no cut tells them apart."""
+    monkeypatch.setattr(hull, "PART_ROWS", 100)
+    monkeypatch.setattr(hull, "LEVELS", 2)
+    grid = [(i / 16, j / 16) for i in range(17) for j in range(17 - i)]
+    pts = spark.createDataFrame([(k, x, y, -x - y / 2) for k, (x, y) in enumerate(grid)], "key int, x double, y double, e double")
+    got = [r.e_above_hull for r in hull.e_above_hull(pts, pts, ["x", "y"], "e").collect()]
+    assert len(got) == len(grid) and np.allclose(np.array(got, dtype=float), 0, atol=1e-7)
+
+
 def test_moving_average_over_many_blocks(spark):
     rows = spark.range(1000).select("id", (F.col("id") * F.col("id") % 17).cast("double").alias("v"))
     got = {r.id: r.m for r in datasets.moving_average(rows, "id", "v", 10, "m", block=64).collect()}
