@@ -50,15 +50,43 @@ def tied_rank(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
 
 
 def spearman_by_composition(predictions: DataFrame) -> DataFrame:
-    ranked = tied_rank(tied_rank(per_atom(predictions), GROUP, "t", "_rt"), GROUP, "p", "_rp")
-    return ranked.groupBy(GROUP).agg(F.corr("_rt", "_rp").alias("spearman"))
+    """formula, spearman: the correlation of both tied ranks; null where one side is all tied.
+
+    Both columns are ranked from one table of counts: a column is part of the group, so
+    values are dealt to ranges, summed and written once.
+    """
+    rows = per_atom(predictions)
+    sides = rows.select(F.col(GROUP).alias("_g"), F.explode(F.array(*(F.struct(F.lit(side).alias("s"), F.col(c).alias("v")) for side, c in enumerate("tp")))).alias("_x"))
+    counts = sides.groupBy(F.struct(F.col("_x.s").alias("s"), F.col("_g").alias("g")).alias("_k"), F.col("_x.v").alias("_v")).agg(F.count("*").alias("_c"))
+    summed = running(counts, [F.col("_v")], "_upto", F.col("_c"), "_k")
+    ranks = kept(summed.select("_k.s", F.col("_k.g").alias("_g"), "_v", (F.col("_upto") - (F.col("_c") - 1) / 2).alias("_r")), "ranks")
+    for side, c in enumerate("tp"):
+        mine = ranks.filter(F.col("s") == side).select("_g", "_v", F.col("_r").alias(f"_r{c}"))
+        rows = rows.join(mine, F.col(GROUP).eqNullSafe(F.col("_g")) & F.col(c).eqNullSafe(F.col("_v"))).drop("_g", "_v")
+    # corr itself would divide by the zero spread of one row or of like values
+    spread = F.stddev_pop("_rt") * F.stddev_pop("_rp")
+    return rows.groupBy(GROUP).agg((F.covar_pop("_rt", "_rp") / F.nullif(spread, F.lit(0.0))).alias("spearman"))
 
 
 def evaluation_summary(predictions: DataFrame, label: str) -> DataFrame:
-    """One row: rows, formulas, RMSE, MAE, worst error, mean Spearman."""
-    one = predictions.agg(F.count("*").alias("n"), F.count_distinct(GROUP).alias("n_formulas"))
-    mean = spearman_by_composition(predictions).agg(F.avg("spearman").alias("spearman"))
-    return one.crossJoin(regression_errors(predictions).select("rmse", "mae")).crossJoin(worst_structure(predictions, label)).crossJoin(mean)
+    """One row: rows, formulas, RMSE, MAE, worst error, mean Spearman.
+
+    All but the last come from one pass over the rows.
+    """
+    e = (F.col(PRED) - F.col(TARGET)) / F.col(SIZE)
+    worst = F.min(F.struct((-F.abs(F.col(PRED) - F.col(TARGET))).alias("ae"), F.col(label).alias("label"), F.col(SIZE).alias("n")))
+    # formulas are counted by group, so that no row is copied for the distinct count
+    sums = {"se": F.sum(e * e), "ae": F.sum(F.abs(e)), "ne": F.count(e), "n": F.count("*"), "w": worst}
+    parts = predictions.groupBy(GROUP).agg(*(v.alias(k) for k, v in sums.items()))
+    one = parts.agg(
+        F.sum("n").alias("n"),
+        F.count(GROUP).alias("n_formulas"),
+        F.sqrt(F.sum("se") / F.nullif(F.sum("ne"), F.lit(0))).alias("rmse"),
+        (F.sum("ae") / F.nullif(F.sum("ne"), F.lit(0))).alias("mae"),
+        F.min("w").alias("_w"),
+    )
+    one = one.select(F.coalesce("n", F.lit(0)).alias("n"), "n_formulas", "rmse", "mae", F.col("_w.label").alias("label"), (-F.col("_w.ae") / F.col("_w.n")).alias("max_error_per_atom"))
+    return one.crossJoin(spearman_by_composition(predictions).agg(F.avg("spearman").alias("spearman")))
 
 
 def r2_mean(predictions: DataFrame) -> DataFrame:

@@ -481,6 +481,19 @@ def test_a_flat_hull_ends_after_some_cuts(spark, monkeypatch):
     assert len(got) == len(grid) and np.allclose(np.array(got, dtype=float), 0, atol=1e-7)
 
 
+def test_summary_of_odd_tables(spark):
+    from structlake.operators import evaluate
+
+    kind = "label string, formula string, natoms int, target double, pred double"
+    rows = [("a", "X", 2, 1.0, 2.0), ("b", "X", 2, 3.0, 5.0), ("c", "Y", 1, None, 1.0), ("d", None, 1, 2.0, 2.0), ("d", None, 1, 2.0, 2.0)]
+    got = evaluate.evaluation_summary(spark.createDataFrame(rows, kind).dropna(subset=["target"]), "label").first()
+    assert (got.n, got.n_formulas, got.label) == (4, 1, "b") and got.mae == pytest.approx(1.5 / 4) and got.spearman == pytest.approx(1.0)
+    unknown = evaluate.evaluation_summary(spark.createDataFrame(rows[2:3], kind), "label").first()
+    assert (unknown.n, unknown.n_formulas, unknown.rmse, unknown.mae) == (1, 1, None, None)
+    empty = evaluate.evaluation_summary(spark.createDataFrame([], kind), "label").first()
+    assert (empty.n, empty.n_formulas, empty.rmse, empty.label) == (0, 0, None, None)
+
+
 def test_moving_average_over_many_blocks(spark):
     rows = spark.range(1000).select("id", (F.col("id") * F.col("id") % 17).cast("double").alias("v"))
     got = {r.id: r.m for r in datasets.moving_average(rows, "id", "v", 10, "m", block=64).collect()}
