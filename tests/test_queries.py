@@ -38,3 +38,11 @@ def test_query_equals_sql(spark, duck, name):
     assert len(mine) == len(theirs)
     for a, b in zip(mine, theirs, strict=True):
         assert a == pytest.approx(b) if all(isinstance(x, (int, float)) for x in a) else str(a) == str(b)
+
+
+def test_feature_text_keeps_the_sign_of_numbers_that_round_to_nought(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql("create table embeddings as select * from (values (1::BIGINT, [-3e-7, 3e-7, 0.0, '-0.0'::FLOAT, -0.0000005, 0.0000005, -1.5]::FLOAT[], 7), (2, [0.1, -0.1, 1/128, -1/128, 1e-9, -1e-9, 2]::FLOAT[], 7)) v(vec_id, embedding, label)")
+    con.sql(f"copy embeddings to '{tmp_path}/embeddings.parquet' (format parquet)")
+    want = con.sql(SQL["export_feature_text"]).fetchall()
+    assert [tuple(r) for r in QUERIES["export_feature_text"](spark, str(tmp_path)).collect()] == want
