@@ -32,9 +32,10 @@ def filter_group_threshold(records: DataFrame, group: str, value: str, threshold
     """Rows with value below select(values of the group) + threshold.
 
     The group's value comes from an aggregation that combines before the shuffle,
-    so a hot group isn't gathered; groups are joined back null-safely.
+    so a hot group isn't gathered; groups are joined back null-safely, written first so
+    that few of them go to all tasks.
     """
-    least = records.groupBy(F.col(group).alias("_g")).agg(select(F.col(value)).alias("_base"))
+    least = kept(records.groupBy(F.col(group).alias("_g")).agg(select(F.col(value)).alias("_base")), "least")
     return records.join(least, F.col(group).eqNullSafe(F.col("_g"))).filter(F.col(value) < F.col("_base") + threshold).drop("_g", "_base")
 
 
@@ -52,7 +53,9 @@ def select_by_label(records: DataFrame, wanted: DataFrame, label: str, position:
     """
     kinds = [f for f in records.schema.fields if f.name not in (label, order) and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     # few labels are wanted: only their records are compared, and a hot label's combine before the shuffle
-    of = records.join(wanted.select(F.col(label).alias("_l")).distinct(), F.col(label) == F.col("_l"), "left_semi")
+    # (written, so that they go to all tasks and a hot label's records aren't shuffled into one)
+    labels = kept(wanted.select(F.col(label).alias("_l")).distinct(), "labels")
+    of = records.join(labels, F.col(label) == F.col("_l"), "left_semi")
     least = of.groupBy(F.col(label).alias("_l")).agg(F.min_by(F.struct(*records.columns), F.struct(order, *(f.name for f in kinds))).alias("_r"))
     return wanted.withColumnRenamed(label, "_w").join(least, F.col("_w") == F.col("_l")).select("_r.*", *(c for c in wanted.columns if c != label))
 
