@@ -31,7 +31,7 @@ def worst_structure(predictions: DataFrame, label: str) -> DataFrame:
 def r2_by_composition(predictions: DataFrame) -> DataFrame:
     """formula, r2: 1 - SSres / SStot; null where the target is constant."""
     rows = per_atom(predictions)
-    means = rows.groupBy(F.col(GROUP).alias("_g")).agg(F.avg("t").alias("_mean"))
+    means = kept(rows.groupBy(F.col(GROUP).alias("_g")).agg(F.avg("t").alias("_mean")), "means")
     joined = rows.join(means, F.col(GROUP).eqNullSafe(F.col("_g")))
     res, tot = F.sum((F.col("t") - F.col("p")) ** 2), F.sum((F.col("t") - F.col("_mean")) ** 2)
     return joined.groupBy(GROUP).agg((1 - res / F.nullif(tot, F.lit(0.0))).alias("r2"))
@@ -107,7 +107,8 @@ def relative_energies(predictions: DataFrame, always: bool = True) -> DataFrame:
     rows = per_atom(predictions)
     if not always and rows.agg(F.min(GROUP).eqNullSafe(F.max(GROUP))).first()[0]:
         return rows.withColumns({"rel_target": F.col("t"), "rel_pred": F.col("p")})
-    least = rows.groupBy(F.col(GROUP).alias("_g")).agg(F.min("t").alias("_m"))
+    # written: few formulas then go to all tasks, and a hot one's rows need no shuffle
+    least = kept(rows.groupBy(F.col(GROUP).alias("_g")).agg(F.min("t").alias("_m")), "least")
     return rows.join(least, F.col(GROUP).eqNullSafe(F.col("_g"))).withColumns({"rel_target": F.col("t") - F.col("_m"), "rel_pred": F.col("p") - F.col("_m")}).drop("_g", "_m")
 
 
