@@ -111,7 +111,13 @@ def bond_modules(atoms: DataFrame, pairs: DataFrame, cutoff: float) -> DataFrame
     Each round takes the least module among the neighbours, then follows the
     module's own module; rounds end when nothing changes.
     """
-    bonds = kept(pairs.filter(F.col("r") <= cutoff).select("label", F.col("i").alias("atom"), "j").distinct(), "bonds")
+    return linked_modules(atoms, pairs.filter(F.col("r") <= cutoff).select("label", "i", "j"))
+
+
+def linked_modules(atoms: DataFrame, links: DataFrame) -> DataFrame:
+    """As ``bond_modules``, from links (label, i, j) of either direction, such as ``dense.bond_links``."""
+    both = links.unionByName(links.select("label", F.col("j").alias("i"), F.col("i").alias("j")))
+    bonds = kept(both.filter("i <> j").select("label", F.col("i").alias("atom"), "j").distinct(), "bonds")
     now = kept(atoms.select("label", "atom", F.col("atom").alias("module")), "modules")
     while True:
         least = bonds.join(now.select("label", F.col("atom").alias("j"), F.col("module").alias("_m")), ["label", "j"]).groupBy("label", "atom").agg(F.min("_m").alias("_m"))
